@@ -2,6 +2,8 @@
 
 from ebbtide.catalog import (  # noqa: F401
     features,
+    general,
+    targets,
 )
 from ebbtide.catalog.registry import REGISTRY
 
