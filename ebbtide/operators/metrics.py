@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
@@ -22,9 +21,9 @@ from ebbtide.operators.ranks import (
     SMALL,
     bucket_count,
     hash_rank,
-    is_small,
     running_totals,
     sketch_splits,
+    step_lookup,
 )
 from ebbtide.operators.skew import salted_join
 from ebbtide.session import materialize
@@ -134,28 +133,10 @@ def censoring_curve(df: DataFrame, time: str = "time", event: str = "event", sma
 
 
 def with_censoring_weight(df: DataFrame, curve: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
-    """Adds ``ipcw`` = 1/G(T) on event rows (0 on censored rows); join on time, hot times salted.
-
-    Times of ``df`` that the curve does not hold take the last earlier step.
-    """
-    times = df.select(F.col(time).cast("double").alias("t")).distinct()
-    merged = times.withColumn("g", F.lit(None).cast("double")).unionByName(curve.select(F.col("t").cast("double"), "g"))
-    per_time = merged.groupBy("t").agg(F.max("g").alias("g"))
-    filled = _last_known(per_time, "t", "g")
-    keyed = df.withColumn("t", F.col(time).cast("double"))
-    joined = salted_join(keyed, filled, "t", [c for c in df.columns])
-    weight = F.when(F.col(event) == 1, F.try_divide(F.lit(1.0), F.coalesce("g", F.lit(1.0)))).otherwise(F.lit(0.0))
-    return joined.withColumn("ipcw", F.coalesce(weight, F.lit(0.0))).drop("t", "g")
-
-
-def _last_known(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Carry the last non-NULL value forward along a unique global order."""
-    if is_small(df):
-        w = W.partitionBy(F.lit(0)).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
-    marked = running_totals(df.withColumn("_known", F.col(value).isNotNull().cast("int")), order, ["_known"])
-    values = marked.filter("_known = 1").select("cum__known", F.col(value).alias("_v"))
-    return salted_join(marked.drop(value), values, "cum__known", [order]).select(order, F.col("_v").alias(value))
+    """Adds ``ipcw`` = 1/G(T) on event rows (0 on censored rows), G read at the last step before or at T."""
+    found = step_lookup(df, time, curve, "t", "g", "_g")
+    weight = F.when(F.col(event) == 1, F.try_divide(F.lit(1.0), F.coalesce("_g", F.lit(1.0)))).otherwise(F.lit(0.0))
+    return found.withColumn("ipcw", F.coalesce(weight, F.lit(0.0))).drop("_g")
 
 
 def ipcw_brier(df: DataFrame, times: Sequence[float], survival: Sequence[str], curve: DataFrame) -> DataFrame:

@@ -314,3 +314,53 @@ def equal_frequency_bin(rank: Column, n: Column, bins: int) -> Column:
     """
     position = F.greatest(F.lit(1), F.ceil((rank - 1) * bins / (n - 1)))
     return (F.lit(bins + 1) - position).cast("int")
+
+
+def step_lookup(
+    df: DataFrame, value: str, steps: DataFrame, key: str, payload: str, out: str, forward: bool = False, small: int = 10_000
+) -> DataFrame:
+    """Payload of the last step with ``key <= value`` (or, ``forward``, the first with ``key >= value``).
+
+    ``steps`` has one row per key. A small step table becomes a literal binary search and ``df`` is not
+    moved. Otherwise both sides are cut at the same buckets and met by a window inside each bucket; a row
+    before (after) all steps of its bucket takes the payload carried over from the nearest other bucket.
+    """
+    if is_small(steps, small):
+        rows = sorted((float(r[0]), r[1]) for r in steps.select(key, payload).filter(F.col(key).isNotNull()).collect())
+        if not rows:
+            return df.withColumn(out, F.lit(None).cast(dict(steps.dtypes)[payload]))
+        keys = [k for k, _ in rows]
+        # forward: value <= key, so cut just above each key
+        cuts = [math.nextafter(k, math.inf) for k in keys] if forward else keys
+        found = assign_bucket(df, value, [-math.inf, *cuts, math.inf], "_step")
+        values = F.array(*[F.lit(v) for _, v in rows]).cast(f"array<{dict(steps.dtypes)[payload]}>")
+        position = F.col("_step") + 1 if forward else F.col("_step")
+        inside = F.when((position >= 1) & (position <= len(rows)), position)
+        return found.withColumn(out, F.element_at(values, inside)).drop("_step")
+    splits, _ = sketch_splits(steps, [key], bucket_count(df))[key]
+    row = F.struct(*[F.col(c) for c in df.columns])
+    left = assign_bucket(df.select(F.col(value).cast("double").alias("_k"), row.alias("_row")), "_k", splits, "_bucket")
+    right = assign_bucket(steps.select(F.col(key).cast("double").alias("_k"), F.col(payload).alias("_p")), "_k", splits, "_bucket")
+    edge = F.min(F.struct("_k", "_p")) if forward else F.max(F.struct("_k", "_p"))
+    edges = right.groupBy("_bucket").agg(edge.alias("_e")).select("_bucket", F.col("_e._p").alias("_edge"))
+    edges = left.select("_bucket").distinct().join(edges, "_bucket", "left").unionByName(
+        edges.join(left.select("_bucket").distinct(), "_bucket", "left_anti")
+    )
+    if forward:
+        beyond = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
+        carried = F.first("_edge", ignorenulls=True).over(beyond)
+        inside = W.partitionBy("_bucket").orderBy("_k", F.col("_tag").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
+        nearest = F.first("_p", ignorenulls=True).over(inside)
+    else:
+        beyond = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        carried = F.last("_edge", ignorenulls=True).over(beyond)
+        inside = W.partitionBy("_bucket").orderBy("_k", "_tag").rowsBetween(W.unboundedPreceding, W.currentRow)
+        nearest = F.last("_p", ignorenulls=True).over(inside)
+    carried_rows = edges.select("_bucket", carried.alias("_carried"))
+    row_tag, step_tag = 1, 0  # at equal keys the step precedes the row, or follows it when looking forward
+    merged = left.withColumn("_p", F.lit(None).cast(dict(steps.dtypes)[payload])).withColumn("_tag", F.lit(row_tag)).unionByName(
+        right.withColumn("_tag", F.lit(step_tag)), allowMissingColumns=True
+    )
+    matched = merged.withColumn("_near", nearest).filter(F.col("_tag") == row_tag)
+    joined = join_null_safe(matched, carried_rows, ["_bucket"])
+    return joined.select("_row.*", F.coalesce("_near", "_carried").alias(out))
