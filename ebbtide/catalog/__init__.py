@@ -3,6 +3,7 @@
 from ebbtide.catalog import (  # noqa: F401
     features,
     general,
+    modelling,
     targets,
 )
 from ebbtide.catalog.registry import REGISTRY

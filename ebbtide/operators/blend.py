@@ -176,3 +176,14 @@ def banded_score(df: DataFrame, hidden: str, behaviour: str, row_id: Sequence[st
     retained = retained.withColumn("score", 0.60 * F.col("_d") / max(1, n_retained)).withColumn("band", F.lit("C"))
     kept = [*df.columns, "score", "band"]
     return certain.select(*kept).unionByName(unknown.select(*kept)).unionByName(retained.select(*kept))
+
+
+def monotone_second_stage(
+    df: DataFrame, hidden: str, model_score: str, label: str, out: str, weight: float = 0.5
+) -> DataFrame:
+    """Score that never rises with ``hidden``: a decreasing isotonic curve of it, averaged with a model
+    that does not see it."""
+    curve = fit_isotonic(df, hidden, label, increasing=False)
+    return apply_isotonic(df, curve, hidden, "_iso").withColumn(
+        out, weight * F.col("_iso") + (1 - weight) * F.col(model_score)
+    ).drop("_iso")
