@@ -8,6 +8,7 @@ from ebbtide.catalog.registry import query
 from ebbtide.functions.columns import apply_categories, fit_categories
 from ebbtide.operators import activity, assemble, balance, derived, network
 from ebbtide.plans import features as plan
+from ebbtide.session import materialize
 from ebbtide.sources import roles
 
 Q, EW, OW = roles.QUARTER, roles.EVENTS_WINDOW, roles.ORDERS_WINDOW
@@ -150,7 +151,7 @@ WIDE_CTES, WIDE_SPEC = S.wide(Q)
 
 
 def _wide(spark, folder):
-    trx = roles.ledger(spark, folder)
+    trx = materialize(roles.ledger(spark, folder))  # a fact join, read by five aggregations
     return plan.assemble_features(
         trx, roles.running_balance(trx), roles.profiles(spark, folder), Q, exact_senders=True
     )
@@ -239,7 +240,7 @@ def _register(name: str, columns: str):
 
     @query(name, spec, S.with_(*WIDE_CTES, FILLED, DERIVED, select=f"SELECT id, {', '.join(columns.split())} FROM step2"))
     def _(spark, folder):
-        return derived.derive_all(_wide(spark, folder), Q)
+        return derived.derive_all(materialize(_wide(spark, folder)), Q)
 
 
 _register("recency_and_rhythm", f"{RHYTHM} {SCORES}")
@@ -267,7 +268,7 @@ MATRIX_SQL = S.with_(
 
 
 def matrix(spark, folder):
-    trx = roles.ledger(spark, folder)
+    trx = materialize(roles.ledger(spark, folder))
     return plan.feature_matrix(
         trx, roles.running_balance(trx), roles.profiles(spark, folder), Q, exact_senders=True
     )

@@ -40,7 +40,9 @@ COVARIATES = ["recency_days", "cnt_all", "cnt_1y", "gap_mean", "amt_mean_all"]
 def frame(spark, folder):
     """Order history before the cutoff as features, joined to the time to the next order."""
     orders = roles.order_activity(spark, folder).filter(F.col("d") < F.lit(roles.LEDGER_END))
-    profile = activity.activity_profile(activity.daily_activity(orders), HISTORY_WINDOW)
+    daily = activity.daily_activity(orders)
+    counts = activity.window_counts(daily, HISTORY_WINDOW)
+    profile = counts.join(activity.gap_stats(daily, HISTORY_WINDOW), "id", "left")
     amounts = orders.groupBy(F.col("src").alias("id")).agg(
         F.avg("amt").alias("amt_mean_all"), F.max("amt").alias("amt_max_all")
     )
@@ -399,7 +401,7 @@ def _ensemble_sql(weights: str, blended: str, select: str) -> str:
     "weight:f auc:f",
     _ensemble_sql(
         "wt AS (SELECT k, k / 20.0 AS w FROM range(21) AS t(k))",
-        "w * ra + (1 - w) * rb",
+        "k * ra + (20 - k) * rb",
         "SELECT wt.w AS weight, auc FROM ba JOIN wt USING (k)",
     ),
 )
@@ -413,7 +415,7 @@ def _(spark, folder):
     _ensemble_sql(
         """wt AS (SELECT i * 100 + j AS k, i / 20.0 AS w0, j / 20.0 AS w1, (20 - i - j) / 20.0 AS w2
              FROM range(21) AS p(i), range(21) AS q(j) WHERE i + j <= 20)""",
-        "w0 * ra + w1 * rb + w2 * rc",
+        "20 * (w0 * ra + w1 * rb + w2 * rc)",
         "SELECT w0, w1, w2, auc FROM ba JOIN wt USING (k)",
     ),
 )
@@ -424,8 +426,8 @@ def _(spark, folder):
 BANDS = """hid AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 7 END AS hidden, o_totalprice AS b FROM orders),
   ru AS (SELECT id, 'B' AS band, 0.62 + 0.37 * (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS score
     FROM hid WHERE hidden IS NULL),
-  rc AS (SELECT id, 0.8 * (rank() OVER (ORDER BY -hidden) + (count(*) OVER (PARTITION BY hidden) - 1) / 2.0)
-    + (1 - 0.8) * (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) AS m FROM hid WHERE hidden > 0),
+  rc AS (SELECT id, round(0.8 * (rank() OVER (ORDER BY -hidden) + (count(*) OVER (PARTITION BY hidden) - 1) / 2.0)
+    + (1 - 0.8) * (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0), 9) AS m FROM hid WHERE hidden > 0),
   rd AS (SELECT id, 'C' AS band, 0.60 * (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0) / count(*) OVER () AS score FROM rc)"""
 
 

@@ -96,19 +96,10 @@ def hex_suffix_to_long(column: Column) -> Column:
 
 
 def fill_missing(df: DataFrame, by_column: dict[str, float], rest: float | None = None) -> DataFrame:
-    """Fill named columns with their own constant, then every other numeric column with ``rest``."""
-    types = dict(df.dtypes)
-    numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
-    out = []
-    for name in df.columns:
-        column = F.col(name)
-        value = by_column.get(name, rest if types[name] in numeric else None)
-        if value is not None:
-            if types[name] in ("double", "float"):
-                column = F.when(~F.isnan(column), column)
-            column = F.coalesce(column, F.lit(value)).alias(name)
-        out.append(column)
-    return df.select(*out)
+    """Fill NULL and NaN: named columns with their own constant, then all other numeric columns with ``rest``."""
+    if by_column:
+        df = df.na.fill(by_column)
+    return df if rest is None else df.na.fill(rest)
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str], bound: int = 1000) -> dict[str, list]:

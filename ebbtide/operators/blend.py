@@ -103,7 +103,8 @@ def rank_ensemble(df: DataFrame, models: Sequence[str], label: str, row_id: Sequ
     for start in range(0, len(grid), 64):
         batch = grid[start : start + 64]
         blends = {
-            str(start + j): V.total([F.col(f"_r{i}") * (w / parts) for i, w in enumerate(weights)]) for j, weights in enumerate(batch)
+            # whole weights on half-integer ranks: sums are exact, so equal blends tie
+            str(start + j): V.total([F.col(f"_r{i}") * float(w) for i, w in enumerate(weights)]) for j, weights in enumerate(batch)
         }
         found = auc_of_blends(ranked, blends, label)
         rows += [([w / parts for w in weights], found[str(start + j)]) for j, weights in enumerate(batch)]
@@ -171,7 +172,8 @@ def banded_score(df: DataFrame, hidden: str, behaviour: str, row_id: Sequence[st
     unknown = unknown.withColumn("score", 0.62 + 0.37 * F.col("_b") / max(1, n_unknown)).withColumn("band", F.lit("B"))
     retained = average_rank(retained.withColumn("_h", -F.col(hidden)), "_h", "_a", row_id)
     retained = average_rank(retained, behaviour, "_b", row_id)
-    retained = retained.withColumn("_c", weight * F.col("_a") + (1 - weight) * F.col("_b"))
+    # rounded so that blends that differ by floating-point noise tie
+    retained = retained.withColumn("_c", F.round(weight * F.col("_a") + (1 - weight) * F.col("_b"), 9))
     retained = average_rank(retained, "_c", "_d", row_id)
     retained = retained.withColumn("score", 0.60 * F.col("_d") / max(1, n_retained)).withColumn("band", F.lit("C"))
     kept = [*df.columns, "score", "band"]

@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators.quality import fit_scaler
@@ -35,30 +34,49 @@ from ebbtide.operators.ranks import (
     with_offsets,
 )
 from ebbtide.session import materialize
+FEW_TIMES = 5_000  # per-time tables up to this size are read by the driver
 
-_TIES = T.StructType([T.StructField(name, T.DoubleType()) for name in ("s0", "s1", "q0", "q1", "q2", "l")])
 
+def _efron_sums(d: np.ndarray, r: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Per event time, sums over k = 0 … d-1 of functions of the Efron denominator ``r - (k/d) e``.
 
-@F.pandas_udf(_TIES)
-def _efron_sums(d: pd.Series, r: pd.Series, e: pd.Series) -> pd.DataFrame:
-    """Sums over k = 0 … d-1 of the Efron denominators ``r - (k/d) e`` of one event time.
-
-    ``d`` is a count, so a time with very many events is worked off in fixed-size chunks.
+    Columns: 1/phi, f/phi, 1/phi^2, f/phi^2, f^2/phi^2 and ln(phi) with f = k/d. ``d`` is a count, so a time
+    with very many events is worked off in fixed-size chunks.
     """
-    dv, rv, ev = d.to_numpy(np.float64), r.to_numpy(np.float64), e.to_numpy(np.float64)
-    out = np.zeros((len(dv), 6))
-    single = dv == 1
-    if single.any():
-        out[single, 0], out[single, 2], out[single, 5] = 1 / rv[single], 1 / rv[single] ** 2, np.log(rv[single])
-    for i in np.flatnonzero(dv > 1):
-        for start in range(0, int(dv[i]), 1_000_000):
-            f = np.arange(start, min(start + 1_000_000, int(dv[i]))) / dv[i]
-            phi = rv[i] - f * ev[i]
-            out[i] += [
-                np.sum(1 / phi), np.sum(f / phi), np.sum(1 / phi**2), np.sum(f / phi**2), np.sum(f * f / phi**2),
-                np.sum(np.log(phi)),
-            ]
-    return pd.DataFrame(out, columns=["s0", "s1", "q0", "q1", "q2", "l"])
+    out = np.zeros((len(d), 6))
+    single = d == 1
+    out[single, 0], out[single, 2], out[single, 5] = 1 / r[single], 1 / r[single] ** 2, np.log(r[single])
+    for i in np.flatnonzero(d > 1):
+        for start in range(0, int(d[i]), 1_000_000):
+            f = np.arange(start, min(start + 1_000_000, int(d[i]))) / d[i]
+            phi = r[i] - f * e[i]
+            terms = (1 / phi, f / phi, 1 / phi**2, f / phi**2, f * f / phi**2, np.log(phi))
+            out[i] += [float(term.sum()) for term in terms]
+    return out
+
+
+def _moments(table: pd.DataFrame, side: str, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of weight, weighted covariates and weighted products of each time, the last as p-by-p matrices."""
+    zero = table[f"{side}0"].to_numpy(np.float64)
+    one = table[[f"{side}1_{i}" for i in range(p)]].to_numpy(np.float64)
+    two = np.zeros((len(table), p, p))
+    for i in range(p):
+        for j in range(i, p):
+            two[:, i, j] = two[:, j, i] = table[f"{side}2_{i}_{j}"].to_numpy(np.float64)
+    return zero, one, two
+
+
+def _likelihood_parts(table: pd.DataFrame, p: int) -> np.ndarray:
+    """``[ll, gradient…, Hessian…]`` summed over the event times of a table with cumulated risk sets."""
+    r0, r1, r2 = _moments(table, "R", p)
+    d0, d1, d2 = _moments(table, "D", p)
+    s0, s1, q0, q1, q2, logs = _efron_sums(table["d"].to_numpy(np.float64), r0, d0).T
+    ll = float(table["eta"].sum() - logs.sum())
+    gradient = table[[f"X{i}" for i in range(p)]].to_numpy(np.float64).sum(0) - (s0 @ r1 - s1 @ d1)
+    second = np.einsum("t,tij->ij", s0, r2) - np.einsum("t,tij->ij", s1, d2)
+    crossed = np.einsum("t,ti,tj->ij", q1, r1, d1)
+    outer = np.einsum("t,ti,tj->ij", q0, r1, r1) - crossed - crossed.T + np.einsum("t,ti,tj->ij", q2, d1, d1)
+    return np.concatenate([[ll], gradient, (outer - second).ravel()])
 
 
 class RiskSets:
@@ -88,6 +106,7 @@ class RiskSets:
         self.n, self.events = counts["n"], counts["d"] or 0
         times = stop.select(*self.strata, "t").distinct()
         self.bucketed = not is_small(times, small)
+        self.few = is_small(times, min(small, FEW_TIMES))
         if self.bucketed:
             splits = sketch_splits(times, ["t"], bucket_count(df))["t"][0]
             stop = assign_bucket(stop, "t", splits, "bucket")
@@ -96,10 +115,9 @@ class RiskSets:
         self.rows = materialize(stop)
 
     def table(self, beta: np.ndarray, second: bool = True) -> DataFrame:
-        """Per event time: risk-set sums ``R…``, event sums ``D…`` and the Efron sums."""
+        """Per event time: risk-set sums ``R…``, event sums ``D…`` and ``X…``, events at or after it ``cum_d``."""
         p, z = len(self.z), [F.col(name) for name in self.z]
-        eta = V.dot(z, beta) if p else F.lit(0.0)
-        rows = self.rows.withColumn("eta", eta).withColumn("w", F.exp("eta"))
+        rows = self.rows.withColumn("eta", V.dot(z, beta)).withColumn("w", F.exp("eta"))
         w, e, sign = F.col("w"), F.col("e"), F.col("sign")
         moments = {"0": F.lit(1.0)} | {f"1_{i}": z[i] for i in range(p)}
         if second:
@@ -121,29 +139,31 @@ class RiskSets:
         else:
             running = {s: F.sum(s).over(backwards) for s in cumulated}
         running["cum_d"] = running.pop("d")
-        at_events = per_time.withColumns(running).filter(F.col("d") > 0)
-        return at_events.withColumn("k", _efron_sums("d", "R0", "D0"))
-
-    def _gradient_columns(self) -> list[Column]:
-        k = {name: F.col(f"k.{name}") for name in ("s0", "s1")}
-        return [F.col(f"X{i}") - (F.col(f"R1_{i}") * k["s0"] - F.col(f"D1_{i}") * k["s1"]) for i in range(len(self.z))]
+        return per_time.withColumns(running).filter(F.col("d") > 0)
 
     def evaluate(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log partial likelihood, gradient and Hessian at ``beta`` (on scaled covariates)."""
+        """Log partial likelihood, gradient and Hessian at ``beta`` (on scaled covariates).
+
+        With few distinct times their cumulated sums are read directly. Otherwise every task reduces its
+        event times to one vector of ``1 + p + p*p`` numbers and only their sum leaves the cluster.
+        """
         p = len(self.z)
-        k = {name: F.col(f"k.{name}") for name in ("s0", "s1", "q0", "q1", "q2", "l")}
-        out = [F.sum(F.col("eta") - k["l"]).alias("ll")]
-        out += [F.sum(g).alias(f"g{i}") for i, g in enumerate(self._gradient_columns())]
-        for i in range(p):
-            for j in range(i, p):
-                ri, rj, di, dj = (F.col(f"{s}1_{x}") for s, x in (("R", i), ("R", j), ("D", i), ("D", j)))
-                mixed = ri * rj * k["q0"] - (ri * dj + di * rj) * k["q1"] + di * dj * k["q2"]
-                second = F.col(f"R2_{i}_{j}") * k["s0"] - F.col(f"D2_{i}_{j}") * k["s1"]
-                out.append(F.sum(mixed - second).alias(f"h{i}_{j}"))
-        row = self.table(beta).agg(*out).first()
-        gradient = np.array([row[f"g{i}"] or 0.0 for i in range(p)])
-        hessian = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)]).reshape(p, p)
-        return float(row["ll"] or 0.0), gradient, hessian
+        if self.few:
+            values = _likelihood_parts(self.table(beta).toPandas(), p)
+            return float(values[0]), values[1 : 1 + p], values[1 + p :].reshape(p, p)
+
+        def reduce(batches):
+            total = np.zeros(1 + p + p * p)
+            for pdf in batches:
+                total += _likelihood_parts(pdf, p)
+            yield pd.DataFrame({"parts": [total]})
+
+        parts = self.table(beta).mapInPandas(reduce, "parts array<double>")
+        values = np.zeros(1 + p + p * p)
+        summed = parts.select(F.posexplode("parts")).groupBy("pos").agg(F.sum("col").alias("v"))
+        for row in summed.collect():
+            values[row["pos"]] = row["v"]
+        return float(values[0]), values[1 : 1 + p], values[1 + p :].reshape(p, p)
 
 
 @dataclass
@@ -275,11 +295,21 @@ def proportional_hazard_test(model: CoxModel) -> DataFrame:
         table = sets.table(model._scaled, second=False).withColumn(
             "rank", deaths - F.col("cum_d") + (F.col("d") + 1) / 2
         )
-    centred = F.col("rank") - (deaths + 1) / 2
-    row = table.agg(
-        F.sum(F.col("d") * centred * centred).alias("spread"),
-        *[F.sum(centred * g).alias(f"u{i}") for i, g in enumerate(sets._gradient_columns())],
-    ).first()
+    middle = (deaths + 1) / 2
+
+    def reduce(batches):
+        spread, u = 0.0, np.zeros(p)
+        for pdf in batches:
+            d, centred = pdf["d"].to_numpy(np.float64), pdf["rank"].to_numpy(np.float64) - middle
+            r1, d1 = (pdf[[f"{s}1_{i}" for i in range(p)]].to_numpy(np.float64) for s in "RD")
+            ties = _efron_sums(d, pdf["R0"].to_numpy(np.float64), pdf["D0"].to_numpy(np.float64))
+            residual = pdf[[f"X{i}" for i in range(p)]].to_numpy(np.float64) - (ties[:, :1] * r1 - ties[:, 1:2] * d1)
+            spread += float((d * centred**2).sum())
+            u += centred @ residual
+        yield pd.DataFrame({"spread": [spread], "u": [u]})
+
+    sums = table.mapInPandas(reduce, "spread double, u array<double>")
+    row = sums.agg(F.sum("spread").alias("spread"), *[F.sum(F.col("u")[i]).alias(f"u{i}") for i in range(p)]).first()
     scales = np.array([sets.scaler[c][1] for c in sets.columns])
     variance = model.covariance * np.outer(scales, scales)
     u = np.array([row[f"u{i}"] or 0.0 for i in range(p)])

@@ -186,6 +186,6 @@ def finalize_features(df: DataFrame, categories: dict[str, list], key: str = "id
     """Category codes, then every numeric column as a filled double."""
     coded = apply_categories(df, categories)
     features = [name for name in coded.columns if name != key]
-    return fill_missing(coded.select(key, *[c(f).cast("double").alias(f) for f in features]), {}, rest=0.0)
+    return fill_missing(coded.selectExpr(key, *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features]), {}, rest=0.0)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     this machine, may fall back to a temporary folder.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
+    if current := context.getCheckpointDir():
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
@@ -41,14 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="ebbtide-checkpoint-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and continue from the files.
+    """Write ``df`` once as a Parquet table in the checkpoint folder and continue from the files.
 
-    Used where a table feeds several jobs (iterative fits, rank offsets): the files outlive the
-    executors, so a lost one never triggers a recomputation that could shift values between jobs.
+    Used where a table feeds several jobs (iterative fits, rank offsets, a fact join read for many
+    aggregates): the files outlive the executors, so a lost one never triggers a recomputation that could
+    shift values between jobs, later reads fetch only their columns, and the planner knows the size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
