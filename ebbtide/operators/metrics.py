@@ -21,6 +21,7 @@ from ebbtide.operators.ranks import (
     SMALL,
     bucket_count,
     hash_rank,
+    plain_double,
     running_totals,
     sketch_splits,
     step_lookup,
@@ -290,7 +291,7 @@ def concordance(
     """
     keyed = _comparison_time(df.select(time, event, risk), time, event, tied_times)
     counts = materialize(
-        keyed.groupBy("t", F.col(risk).cast("double").alias("risk")).agg(
+        keyed.groupBy((F.col("t") + F.lit(0.0)).alias("t"), plain_double(risk).alias("risk")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("ev")
         )
     )

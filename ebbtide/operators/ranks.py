@@ -44,18 +44,23 @@ def sketch_splits(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[s
     ).first()
     out = {}
     for i, column in enumerate(columns):
-        cuts = [c for c in (row[f"q{i}"] or []) if c is not None and math.isfinite(c)]
+        cuts = [c + 0.0 for c in (row[f"q{i}"] or []) if c is not None and math.isfinite(c)]
         heavy = {a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}
         inner = sorted(set(cuts) | {math.nextafter(v, math.inf) for v in heavy})
         out[column] = ([-math.inf, *inner, math.inf], heavy)
     return out
 
 
+def plain_double(column: str) -> Column:
+    """The column as a double with -0.0 turned into 0.0, which the bucket search would tell apart."""
+    return F.col(column).cast("double") + F.lit(0.0)
+
+
 def assign_bucket(df: DataFrame, column: str, splits: list[float], out: str) -> DataFrame:
     """Bucket number of each row; values outside the sketch's sample fall in the open end buckets."""
     as_double = f"{out}_value"
     bucketizer = Bucketizer(inputCol=as_double, outputCol=out, splits=splits, handleInvalid="keep")
-    with_double = df.withColumn(as_double, F.col(column).cast("double"))
+    with_double = df.withColumn(as_double, plain_double(column))
     return bucketizer.transform(with_double).withColumn(out, F.col(out).cast("int")).drop(as_double)
 
 
@@ -236,7 +241,7 @@ def exact_quantiles(
     columns = list(columns)
     buckets = buckets or bucket_count(df)
     plan = sketch_splits(df, columns, buckets)
-    keyed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    keyed = df.select(*[plain_double(c).alias(c) for c in columns])
     bucketizer = Bucketizer(
         inputCols=columns,
         outputCols=[f"_b{i}" for i in range(len(columns))],
@@ -326,7 +331,7 @@ def step_lookup(
     before (after) all steps of its bucket takes the payload carried over from the nearest other bucket.
     """
     if is_small(steps, small):
-        rows = sorted((float(r[0]), r[1]) for r in steps.select(key, payload).filter(F.col(key).isNotNull()).collect())
+        rows = sorted((float(r[0]) + 0.0, r[1]) for r in steps.select(key, payload).filter(F.col(key).isNotNull()).collect())
         if not rows:
             return df.withColumn(out, F.lit(None).cast(dict(steps.dtypes)[payload]))
         keys = [k for k, _ in rows]
