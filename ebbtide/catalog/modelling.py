@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ebbtide.catalog import sql as S
 from ebbtide.catalog import targets as base
 from ebbtide.catalog.registry import query
-from ebbtide.operators import activity, audit, blend, boosting, cox, models, parametric, splits, tuning
+from ebbtide.operators import activity, audit, blend, boosting, cox, km, metrics, models, parametric, splits, tuning
 from ebbtide.operators.assemble import attach_labels
 from ebbtide.operators.quality import apply_scaler, fit_scaler, log_copies
+from ebbtide.plans import churn
 from ebbtide.plans import survival as plan
 from ebbtide.session import materialize
 from ebbtide.sources import roles
@@ -464,3 +465,31 @@ def _(spark, folder):
     df = frame(spark, folder)
     train, test = df.filter(F.col("id") % 4 != 0), df.filter(F.col("id") % 4 == 0)
     return plan.run(train, test, FEATURES, folds=2, trees=2, rounds=2).submission
+
+
+def _churn(spark, folder, blocks=None):
+    df = frame(spark, folder).withColumn("label", F.col("event")).drop("time", "event")
+    train, test = df.filter(F.col("id") % 4 != 0), df.filter(F.col("id") % 4 == 0).drop("label")
+    return churn.run(train, test, FEATURES, blocks=blocks, logged=["amt_mean_all", "gap_mean"], folds=2, trees=2)
+
+
+@query("churn_plan", "ACCOUNT_ID:i CHURN_PROB:f")
+def _(spark, folder):
+    return _churn(spark, folder).submission
+
+
+@query("churn_plan_banded_lift", "decile:i customers:i churners:i churn_rate:f lift:f cum_recall:f")
+def _(spark, folder):
+    """The bands need id blocks; order keys per customer stand in for them."""
+    blocks = audit.id_blocks(table(spark, folder, "orders"), "o_custkey", "o_orderkey")
+    return _churn(spark, folder, blocks.withColumn("hidden", F.greatest(F.col("hidden"), F.lit(0)))).lift
+
+
+@query("mean_time_auc", "mean_auc:f n_times:i")
+def _(spark, folder):
+    scored = base.survival_scores(spark, folder, base.mixed_outcomes)
+    train, test = scored.filter("id % 2 = 0"), scored.filter("id % 2 = 1")
+    times = metrics.evaluation_times(train, test, 5)
+    aucs = metrics.time_dependent_auc(test, "risk", times, metrics.censoring_curve(train))
+    mean = metrics.mean_time_auc(aucs, km.survival_table(test), times)
+    return test.agg(F.lit(mean).alias("mean_auc"), F.lit(len(times)).alias("n_times"))

@@ -7,7 +7,8 @@ from ebbtide.sources.roles import EVENT_TYPES, FOLLOW_UP, KINDS, LEDGER_BASE, LE
 
 
 def case(column: str, mapping: dict[str, str], default: str = "NULL") -> str:
-    arms = " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in mapping.items())
+    quoted = {k: v.replace("'", "''") for k, v in mapping.items()}
+    arms = " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in quoted.items())
     return f"CASE {arms} ELSE {default} END"
 
 

@@ -913,3 +913,26 @@ def _(spark, folder):
     return km.survival_table(segmented, by=["segment"])
 
 
+
+
+DRIVERS = """drv AS (SELECT id, CASE WHEN recency > 400 THEN 'gap_z' WHEN risk >= 12 THEN 'trend_30_90' ELSE 'rec_bill' END AS driver
+  FROM scores)"""
+
+
+@query(
+    "driver_actions",
+    "id:i driver:s action:s",
+    S.with_(
+        S.OUTCOMES,
+        HISTORY,
+        PROBABILITIES,
+        DRIVERS,
+        select=f"SELECT id, driver, {S.case('driver', decisions.DRIVER_ACTIONS)} AS action FROM drv",
+    ),
+)
+def _(spark, folder):
+    driver = (
+        F.when(F.col("recency") > 400, "gap_z").when(F.col("risk") >= 12, "trend_30_90").otherwise("rec_bill").alias("driver")
+    )
+    scored = survival_scores(spark, folder).select("id", driver)
+    return decisions.with_actions(scored, "driver", decisions.DRIVER_ACTIONS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -51,21 +52,28 @@ def blend_sweep(
     timing: Sequence[str],
     row_id: Sequence[str],
     weights: Sequence[float] = SWEEP_WEIGHTS,
+    parallelism: int = 4,
     **concordance_options,
 ) -> DataFrame:
     """Rows ``(signal, weight, c_index, best)``: the survival risk alone and blended by rank with each signal.
 
-    Ranks are computed once; every candidate is then a column of the same materialised table.
+    Ranks are computed once; every candidate is then a column of the same materialised table. The threads
+    only submit the jobs of several candidates side by side.
     """
     ranked = average_rank(df, survival_risk, "_r", row_id)
     for i, signal in enumerate(timing):
         ranked = average_rank(ranked, signal, f"_t{i}", row_id)
     ranked = materialize(ranked)
-    rows = [("", 1.0, concordance_index(ranked, survival_risk, **concordance_options))]
+    candidates = [("", 1.0, F.col(survival_risk))]
     for i, signal in enumerate(timing):
-        for w in weights:
-            blended = ranked.withColumn("_blend", w * F.col("_r") + (1 - w) * F.col(f"_t{i}"))
-            rows.append((signal, float(w), concordance_index(blended, "_blend", **concordance_options)))
+        candidates += [(signal, float(w), w * F.col("_r") + (1 - w) * F.col(f"_t{i}")) for w in weights]
+
+    def evaluate(candidate):
+        signal, weight, blended = candidate
+        return signal, weight, concordance_index(ranked.withColumn("_blend", blended), "_blend", **concordance_options)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(evaluate, candidates))
     best = max(range(len(rows)), key=lambda i: rows[i][2])
     table = [(*row, int(i == best)) for i, row in enumerate(rows)]
     return df.sparkSession.createDataFrame(table, "signal string, weight double, c_index double, best int")

@@ -21,6 +21,7 @@ from ebbtide.operators.ranks import (
     SMALL,
     bucket_count,
     hash_rank,
+    is_small,
     plain_double,
     running_totals,
     sketch_splits,
@@ -249,6 +250,12 @@ def _within_risk_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"concordant": [_dominated(*columns)], "tied": [_tied(*columns)]})
 
 
+def _whole_table(pdf: pd.DataFrame) -> pd.DataFrame:
+    t, risk, n, ev = (pdf[c].to_numpy() for c in ("t", "risk", "n", "ev"))
+    pairs = _tied(t, np.zeros(len(t)), n, ev)
+    return pd.DataFrame({"concordant": [_dominated(t, risk, n, ev)], "tied_risk": [_tied(t, risk, n, ev)], "comparable": [pairs]})
+
+
 def _within_time_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     columns = [pdf[c].to_numpy() for c in ("t", "rb", "n", "ev")]
     return pd.DataFrame({"concordant": [_dominated(*columns)], "tied": [0.0]})
@@ -287,7 +294,8 @@ def concordance(
     censored at that very time. No pair join: rows are counted per (time, risk) and both axes cut into
     equi-depth buckets. Pairs in different buckets on both axes follow from the small grid of bucket
     totals; pairs sharing a risk bucket or a time bucket are counted inside that bucket. Values too
-    frequent for a bucket stand alone in one, where only ties remain and those are running sums.
+    frequent for a bucket stand alone in one, where only ties remain and those are running sums. Up to
+    ``small`` distinct (time, risk) pairs are counted in one task instead.
     """
     keyed = _comparison_time(df.select(time, event, risk), time, event, tied_times)
     counts = materialize(
@@ -295,6 +303,12 @@ def concordance(
             F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("ev")
         )
     )
+    share = F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("comparable"))
+    c_index = F.coalesce(share, F.lit(0.5)).alias("c_index")
+    if is_small(counts, small):
+        one = counts.groupBy().applyInPandas(_whole_table, "concordant double, tied_risk double, comparable double")
+        sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in one.columns]
+        return one.agg(*sums).select("*", c_index)
     buckets = min(MAX_GRID, buckets or bucket_count(df))
     risk_splits = sketch_splits(counts, ["risk"], buckets)["risk"][0]
     distinct = [r[0] for r in counts.select("t").distinct().limit(exact_times + 1).collect()]
@@ -348,8 +362,7 @@ def concordance(
         (F.coalesce(F.sum("concordant"), F.lit(0.0)) + concordant).alias("concordant"),
         F.coalesce(F.sum("tied"), F.lit(0.0)).alias("tied_risk"),
     ).withColumn("comparable", comparable.scalar())
-    share = F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("comparable"))
-    return total.withColumn("c_index", F.coalesce(share, F.lit(0.5)))
+    return total.select("*", c_index)
 
 
 def concordance_index(df: DataFrame, risk: str, **options) -> float:

@@ -46,7 +46,7 @@ def sketch_splits(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[s
     for i, column in enumerate(columns):
         cuts = [c + 0.0 for c in (row[f"q{i}"] or []) if c is not None and math.isfinite(c)]
         heavy = {a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}
-        inner = sorted(set(cuts) | {math.nextafter(v, math.inf) for v in heavy})
+        inner = sorted(set(cuts) | {math.nextafter(v, math.inf) for v in heavy}) or [0.0]
         out[column] = ([-math.inf, *inner, math.inf], heavy)
     return out
 

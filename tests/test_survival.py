@@ -60,7 +60,9 @@ def brute_force(t, e, r, tied):
     return won, ties, pairs
 
 
-@pytest.mark.parametrize("options", [{}, {"buckets": 7, "exact_times": 0, "small": 0}], ids=["plain", "bucketed"])
+@pytest.mark.parametrize(
+    "options", [{}, {"small": 0}, {"buckets": 7, "exact_times": 0, "small": 0}], ids=["one_task", "exact_times", "bucketed"]
+)
 @pytest.mark.parametrize("tied", [False, True])
 @pytest.mark.parametrize("kind", ["discrete", "continuous", "hot_time"])
 def test_concordance_equals_pair_count(spark, kind, tied, options):
