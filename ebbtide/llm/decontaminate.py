@@ -178,3 +178,12 @@ def _outer(left: DataFrame, right: DataFrame) -> DataFrame:
     joined = left.withColumn("own_key", _key())
     joined = joined.join(right, (F.col("own_key") == F.col("other_key")) & joined.fp.eqNullSafe(F.col("other_fp")), "left")
     return joined.drop("own_key", "other_key", "other_fp")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without an exact match, all columns unchanged."""
+    windows = materialize(benchmark_windows(benchmark, width))
+    matches = find_matches(build_index(docs, vocabulary(windows)), windows)
+    hit = matches.where("exact").select(_key().alias("__hit_key"), F.col("fp").alias("__hit_fp")).distinct()
+    same = (_key() == F.col("__hit_key")) & (F.xxhash64("text") == F.col("__hit_fp"))
+    return docs.join(broadcast_if_small(hit), same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import chat, compression, decontaminate, language, mixing, rules, secrets, simhash, warc
+from ebbtide.llm import chat, compression, decontaminate, language, mixing, pii, rules, secrets, simhash, warc
 from ebbtide.llm.common import read, remainder
 from ebbtide.llm.oracle import ORACLES, mixing_sql
 
@@ -19,6 +19,9 @@ LANGUAGES = {"en": 4, "de": 2, "fr": 2, "es": 1}
 SOURCES = {"src0": 1, "src1": 3, "src2": 2}
 MAX_EPOCHS = 3
 
+#: Key of the registered query; a deployment passes its own secret.
+PII_KEY = b"key of the registered query"
+
 
 def domain_of_source():
     """Domain of a source name: ``src`` and a number, four domains in turn; anything else is ``other``."""
@@ -78,6 +81,12 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    replaced = pii.replace_entities(pii.fit(docs, PII_KEY), F.col("text"))
+    return docs.select("doc_id", replaced.alias("new")).select("doc_id", "new.text", F.col("new.n_entities").cast("long").alias("n_entities"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "labels").where("quality = 1 and toxic = 0")
     return rules.judge(read(spark, folder, "documents"), labels)
@@ -112,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_decontaminate,
         op4_secrets,
         op5_simhash,
+        op6_pii,
         op7_quality_rules,
         op8_warc,
         op9_quality,

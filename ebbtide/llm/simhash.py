@@ -230,12 +230,45 @@ def components(edges: DataFrame) -> DataFrame:
         state = materialize(small(large(state).where("u != v").distinct()).where("u != v").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: components of fingerprints within ``radius`` bits."""
-    prints = materialize(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")))
+def grouped(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
+    """``doc_id, text_hash, fp, root, component_id`` of every row; ``root`` names the group of fingerprints."""
+    prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text"), words).alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_edges(distinct.select("fp"), distinct.count(), radius))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = materialize(named.join(lows, "root").select("fp", "component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = materialize(named.join(lows, "root").select("fp", "root", "component_id"))
+    return prints.join(final, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row: components of fingerprints within ``radius`` bits."""
+    return grouped(docs, radius, words).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
+    """One row of ``docs`` per near-duplicate group: the smallest id, then the smallest text hash.
+
+    A null id comes last. Of rows equal in id and text one stays, whichever their other columns.
+    """
+    found = materialize(grouped(docs.select("doc_id", "text"), radius, words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
+    winners = materialize(found.groupBy("root").agg(first).select("first.*"))
+    kept = _semi(docs, winners)
+    same = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    twice = materialize(_semi(same, winners, F.col("text_hash")))
+    if twice.isEmpty():
+        return kept
+    several = _semi(kept, twice).dropDuplicates(["doc_id", "text"])
+    return _semi(kept, twice, kind="left_anti").unionByName(several)
+
+
+def _semi(rows: DataFrame, keys: DataFrame, text_hash: Column | None = None, kind: str = "left_semi") -> DataFrame:
+    """Rows with (or without) their id and text hash among ``keys``; null ids are equal."""
+    text_hash = F.xxhash64("text") if text_hash is None else text_hash
+    keys = keys.select(_id_text().alias("__key_id"), F.col("text_hash").alias("__key_hash"))
+    return rows.join(keys, (_id_text() == F.col("__key_id")) & (text_hash == F.col("__key_hash")), kind)
+
+
+def _id_text() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
