@@ -18,6 +18,7 @@ without payload that name it; smaller ones are all responses; an empty table giv
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 import zlib
@@ -123,32 +124,27 @@ class Inflater:
     """Reads a gzip file of one or many members as one stream, piece by piece."""
 
     def __init__(self, source):
-        self.source, self.engine, self.buffer, self.at_end = source, zlib.decompressobj(GZIP), bytearray(), False
+        self.source, self.engine, self.pending, self.buffer = source, None, b"", bytearray()
 
     def more(self) -> bool:
-        """Add the next piece to the buffer; False at the end of the file."""
-        while not self.at_end:
-            data = self.engine.unconsumed_tail or self.engine.unused_data
-            if self.engine.eof:
-                data = data or self.source.read(CHUNK)
-                if not data.strip(b"\0"):
-                    self.at_end = not self.source_has_more(data)
+        """Add the next piece to the buffer; False at the end of the file. Zero bytes after a member are padding."""
+        while True:
+            data, self.pending = self.pending or self.source.read(CHUNK), b""
+            if self.engine is None:
+                if not data:
+                    return False
+                if not (data := data.lstrip(b"\0")):
                     continue
                 self.engine = zlib.decompressobj(GZIP)
-            else:
-                data = data or self.source.read(CHUNK)
-                if not data:
-                    raise ValueError("the gzip stream ends inside a member")
             piece = self.engine.decompress(data, CHUNK)
+            if not data and not piece and not self.engine.eof:
+                raise ValueError("the gzip stream ends inside a member")
+            self.pending = self.engine.unconsumed_tail or self.engine.unused_data
+            if self.engine.eof:
+                self.engine = None
             if piece:
                 self.buffer += piece
                 return True
-        return False
-
-    def source_has_more(self, data: bytes) -> bool:
-        """After a member: padding of zero bytes may follow; nothing at all is the end."""
-        self.engine = zlib.decompressobj(GZIP) if data else self.engine
-        return bool(data)
 
     def line_block(self) -> bytes | None:
         """The header of the next record with its blank line; None at the end."""
@@ -229,8 +225,6 @@ def parse_record(data: bytes) -> dict:
     size = int(fields_of(http + b"\r\n")["content-length"])
     revisit = fields["warc-type"] == "revisit"
     if not revisit:
-        import hashlib
-
         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         if found != stated or size != len(payload):
             raise ValueError(f"the payload of page {page} differs from its digest")

@@ -89,7 +89,7 @@ def test_shortage_goes_to_siblings_first(spark):
     found = defaultdict(int)
     for r in run(frame, {}, (1, 2), 1, 1):
         found[r[1:4]] += r[6]
-    assert dict(found) == {("a", "en", "short"): 10, ("a", "en", "long"): 91, ("a", "fr", "x"): 101, ("b", "en", "y"): 203} or found[("a", "en", "short")] == 10 and found[("a", "en", "short")] + found[("a", "en", "long")] == found[("a", "fr", "x")]
+    assert dict(found) == {("a", "en", "short"): 10, ("a", "en", "long"): 92, ("a", "fr", "x"): 101, ("b", "en", "y"): 202}
 
 
 def test_awkward_rows(awkward, nothing):
