@@ -99,7 +99,7 @@ def _(spark, folder):
         F.dayofweek(day).isin(1, 7).cast("int").alias("weekend"),
         F.datediff(end, day).alias("days_left"),
         (F.datediff(end, day) * 24 - hour).alias("hours_left"),
-        C.hex_suffix_to_long(F.concat(F.lit("T-"), F.hex("event_id"))).alias("hexval"),
+        C.hex_suffix_to_number(F.concat(F.lit("T-"), F.hex("event_id"))).alias("hexval"),
         F.greatest(F.lit(0), value - 30).alias("over30"),
         C.clip(value, high=100.0).alias("cap"),
         F.log1p(F.abs(value)).alias("logv"),

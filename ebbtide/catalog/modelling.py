@@ -424,7 +424,7 @@ def _(spark, folder):
     return blend.rank_ensemble(_three_scores(spark, folder), ["a", "b", "c"], "y", ["id"])
 
 
-BANDS = """hid AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 7 END AS hidden, o_totalprice AS b FROM orders),
+BANDS = """hid AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 7 - 1 END AS hidden, o_totalprice AS b FROM orders),
   ru AS (SELECT id, 'B' AS band, 0.62 + 0.37 * (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS score
     FROM hid WHERE hidden IS NULL),
   rc AS (SELECT id, round(0.8 * (rank() OVER (ORDER BY -hidden) + (count(*) OVER (PARTITION BY hidden) - 1) / 2.0)
@@ -438,11 +438,11 @@ BANDS = """hid AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN N
     S.with_(
         BANDS,
         select="""SELECT id, 'A' AS band, 1.0 AS score FROM hid WHERE hidden = 0 UNION ALL SELECT id, band, score FROM ru
-          UNION ALL SELECT id, band, score FROM rd""",
+          UNION ALL SELECT id, band, score FROM rd UNION ALL SELECT id, 'D', 0.0 FROM hid WHERE hidden < 0""",
     ),
 )
 def _(spark, folder):
-    hidden = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey") % 7)
+    hidden = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey") % 7 - 1)
     df = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), hidden.alias("hidden"), F.col("o_totalprice").alias("b"))
     return blend.banded_score(df, "hidden", "b", ["id"])
 
@@ -482,7 +482,7 @@ def _(spark, folder):
 def _(spark, folder):
     """The bands need id blocks; order keys per customer stand in for them."""
     blocks = audit.id_blocks(table(spark, folder, "orders"), "o_custkey", "o_orderkey")
-    return _churn(spark, folder, blocks.withColumn("hidden", F.greatest(F.col("hidden"), F.lit(0)))).lift
+    return _churn(spark, folder, blocks).lift
 
 
 @query("mean_time_auc", "mean_auc:f n_times:i")

@@ -231,11 +231,17 @@ def _(spark, folder):
     return audit.leak_verdict(_orders_clock(spark, folder), "o_custkey", "clock", "o_orderkey", ["o_orderkey"])
 
 
-BLOCKS = """ranges AS (SELECT l_orderkey AS id, min(l_orderkey * 7 + l_linenumber) AS fid,
-    max(l_orderkey * 7 + l_linenumber) AS lid, count(*) AS n FROM lineitem GROUP BY 1),
-  blocks AS (SELECT id, fid, lid, n,
-    coalesce(lead(fid) OVER (ORDER BY fid), (SELECT max(lid) + 1 FROM ranges)) - lid - 1 AS hidden,
-    lid - fid + 1 - n AS internal_holes FROM ranges)"""
+def _blocks_sql(entity: str, number: str, source: str) -> str:
+    """Holes are the gaps between an entity's ordered numbers; what is hidden ends where the next span starts."""
+    return f"""steps AS (SELECT {entity} AS id, {number} AS x, {number} - lag({number}) OVER (PARTITION BY {entity} ORDER BY {number}) - 1 AS gap
+    FROM {source}),
+  spans AS (SELECT id, min(x) AS fid, max(x) AS lid, count(x) AS n, CAST(coalesce(sum(gap), 0) AS BIGINT) AS internal_holes FROM steps GROUP BY id),
+  placed AS (SELECT *, row_number() OVER (ORDER BY fid, id) AS place, max(lid) OVER () + 1 AS past FROM spans),
+  blocks AS (SELECT a.id, a.fid, a.lid, a.n, CASE WHEN b.id IS NULL THEN a.past ELSE b.fid END - (a.lid + 1) AS hidden, a.internal_holes
+    FROM placed a LEFT JOIN placed b ON b.place = a.place + 1)"""
+
+
+BLOCKS = _blocks_sql("l_orderkey", "l_orderkey * 7 + l_linenumber", "lineitem")
 
 
 def _line_blocks(spark, folder):
@@ -258,9 +264,7 @@ def _(spark, folder):
     "id_contiguity",
     "blocks:i contiguous_share:f valid:i",
     S.with_(
-        BLOCKS.replace("l_orderkey * 7 + l_linenumber", "o_orderkey")
-        .replace("l_orderkey AS id", "o_custkey AS id")
-        .replace("FROM lineitem", "FROM orders"),
+        _blocks_sql("o_custkey", "o_orderkey", "orders"),
         select="""SELECT count(*) AS blocks, avg(CAST(internal_holes = 0 AS INT)) AS contiguous_share,
                   min(CAST(internal_holes = 0 AND hidden >= 0 AS INT)) AS valid FROM blocks""",
     ),
@@ -704,6 +708,8 @@ def _(spark, folder):
     return blend.risk_candidates(survival_scores(spark, folder), ("s30", "s60", "s90"), "recency", ["id"])
 
 
+TIER_CODES = {name: f"T{i}" for i, name in enumerate(decisions.TIER_NAMES)}
+
 TIERED = """t AS (SELECT id, time, event, 1 - s30 AS churn30, 1 - s90 AS churn90,
   CASE WHEN 1 - s30 <= 0.02 THEN 'watch' WHEN 1 - s30 <= 0.05 THEN 'soon' WHEN 1 - s30 <= 0.15 THEN 'urgent' ELSE 'critical' END AS tier
   FROM scores)"""
@@ -724,11 +730,11 @@ def _tiered(spark, folder):
         HISTORY,
         PROBABILITIES,
         TIERED,
-        select=f"SELECT id, churn30, tier, {S.case('tier', decisions.TIER_ACTIONS)} AS action FROM t",
+        select=f"SELECT id, churn30, tier, {S.case('tier', TIER_CODES)} AS action FROM t",
     ),
 )
 def _(spark, folder):
-    return decisions.with_actions(_tiered(spark, folder))
+    return decisions.with_actions(_tiered(spark, folder), TIER_CODES)
 
 
 @query(
@@ -915,6 +921,8 @@ def _(spark, folder):
 
 
 
+DRIVER_CODES = {"gap_z": "D0", "trend_30_90": "D1", "rec_bill": "D2"}
+
 DRIVERS = """drv AS (SELECT id, CASE WHEN recency > 400 THEN 'gap_z' WHEN risk >= 12 THEN 'trend_30_90' ELSE 'rec_bill' END AS driver
   FROM scores)"""
 
@@ -927,7 +935,7 @@ DRIVERS = """drv AS (SELECT id, CASE WHEN recency > 400 THEN 'gap_z' WHEN risk >
         HISTORY,
         PROBABILITIES,
         DRIVERS,
-        select=f"SELECT id, driver, {S.case('driver', decisions.DRIVER_ACTIONS)} AS action FROM drv",
+        select=f"SELECT id, driver, {S.case('driver', DRIVER_CODES)} AS action FROM drv",
     ),
 )
 def _(spark, folder):
@@ -935,4 +943,4 @@ def _(spark, folder):
         F.when(F.col("recency") > 400, "gap_z").when(F.col("risk") >= 12, "trend_30_90").otherwise("rec_bill").alias("driver")
     )
     scored = survival_scores(spark, folder).select("id", driver)
-    return decisions.with_actions(scored, "driver", decisions.DRIVER_ACTIONS)
+    return decisions.with_actions(scored, DRIVER_CODES, "driver")

@@ -32,16 +32,22 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+WORD = 63
+
+
 def distinct_units(index: Column, units: int) -> Column:
-    """Exact number of distinct unit indexes, as one bit set while they fit in a long.
+    """Exact number of distinct unit indexes in ``0 … units - 1``, as bit sets of ``WORD`` units each.
 
-    A bit set merges on the map side and needs neither ``Expand`` nor a second shuffle; longer windows
-    fall back to ``count(DISTINCT)``.
+    Bit sets merge on the map side and need neither ``Expand`` nor a second shuffle. An index outside the
+    window is not a unit of it and does not count.
     """
-    if units <= 63:
-        one = F.lit(1).cast("bigint")
-        return F.bit_count(F.bit_or(F.call_function("shiftleft", one, index))).cast("bigint")
-    return F.countDistinct(index)
+    one = F.lit(1).cast("bigint")
+    total = F.lit(0).cast("bigint")
+    for low in range(0, max(units, 1), WORD):
+        inside = index.between(low, min(low + WORD, units) - 1)
+        bits = F.bit_or(F.when(inside, F.call_function("shiftleft", one, (index - low).cast("int"))))
+        total = total + F.coalesce(F.bit_count(bits).cast("bigint"), F.lit(0))
+    return total
 
 
 def zero_if_null(column: Column) -> Column:
@@ -89,10 +95,27 @@ def interval_labels(edges: Sequence[float]) -> list[str]:
     return [f"({text(a)}, {text(b)}]" for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def hex_suffix_to_long(column: Column) -> Column:
-    """Integer value of the hexadecimal text after the last dash, NULL when it is not hexadecimal."""
+HEX_DIGITS = 31
+
+
+def hex_suffix_to_number(column: Column) -> Column:
+    """Value of the hexadecimal text after the last dash as ``decimal(38, 0)``, exact for up to 31 digits.
+
+    Text that is not hexadecimal, or longer, has no value; ``unparsed_share`` tells how much that is.
+    """
     tail = F.substring_index(column, "-", -1)
-    return F.when(tail.rlike("^[0-9A-Fa-f]{1,15}$"), F.conv(tail, 16, 10).cast("bigint"))
+    padded = F.lpad(tail, HEX_DIGITS + 1, "0")
+    whole = F.lit(0).cast("decimal(38,0)")
+    for start in range(1, HEX_DIGITS + 1, 8):
+        digits = F.conv(F.substring(padded, start, 8), 16, 10).cast("decimal(10,0)")
+        whole = (whole * F.lit(16**8).cast("decimal(10,0)")).cast("decimal(38,0)") + digits
+    return F.when(tail.rlike(f"^[0-9A-Fa-f]{{1,{HEX_DIGITS}}}$"), whole.cast("decimal(38,0)"))
+
+
+def unparsed_share(df: DataFrame, column: str) -> DataFrame:
+    """One row ``(n, unparsed)``: rows with an id, and the share of them without a hexadecimal value."""
+    missing = hex_suffix_to_number(F.col(column)).isNull().cast("int")
+    return df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(missing).alias("unparsed"))
 
 
 def fill_missing(df: DataFrame, by_column: dict[str, float], rest: float | None = None) -> DataFrame:

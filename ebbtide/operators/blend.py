@@ -166,26 +166,40 @@ def calibrate(
     return out.withColumns(dict(zip(survival, V.running_minimum(clipped), strict=True)))
 
 
-def banded_score(df: DataFrame, hidden: str, behaviour: str, row_id: Sequence[str], weight: float = 0.8) -> DataFrame:
-    """Score in three bands from a leaked count: 0 hidden -> 1; unknown -> (0.62, 0.99]; positive -> [0, 0.6].
+# fixed values: foot and width of the bands of unknown and of positive counts, and the weight of the count's rank
+UNKNOWN_BAND = (0.62, 0.37)
+POSITIVE_BAND = (0.0, 0.60)
+HIDDEN_WEIGHT = 0.8
+
+
+def banded_score(
+    df: DataFrame, hidden: str, behaviour: str, row_id: Sequence[str], weight: float = HIDDEN_WEIGHT
+) -> DataFrame:
+    """Score in bands from a leaked count: A, 0 hidden -> 1; B, unknown -> (0.62, 0.99]; C, positive -> (0, 0.6];
+    D, a negative count, which overlapping id blocks give -> 0. Every row of ``df`` is in one band.
 
     Inside a band the order is the rank of the behavioural score, blended with the rank of ``-hidden``
-    in the last band.
+    in band C. A NaN count is unknown.
     """
+    df = df.withColumn(hidden, F.when(~F.isnan(F.col(hidden).cast("double")), F.col(hidden)))
+    overlapping = df.filter(F.col(hidden) < 0).withColumn("score", F.lit(0.0)).withColumn("band", F.lit("D"))
     certain = df.filter(F.col(hidden) == 0).withColumn("score", F.lit(1.0)).withColumn("band", F.lit("A"))
     unknown = df.filter(F.col(hidden).isNull())
     retained = df.filter(F.col(hidden) > 0)
     n_unknown, n_retained = unknown.count(), retained.count()
     unknown = average_rank(unknown, behaviour, "_b", row_id)
-    unknown = unknown.withColumn("score", 0.62 + 0.37 * F.col("_b") / max(1, n_unknown)).withColumn("band", F.lit("B"))
+    unknown = unknown.withColumn("score", UNKNOWN_BAND[0] + UNKNOWN_BAND[1] * F.col("_b") / max(1, n_unknown)).withColumn("band", F.lit("B"))
     retained = average_rank(retained.withColumn("_h", -F.col(hidden)), "_h", "_a", row_id)
     retained = average_rank(retained, behaviour, "_b", row_id)
     # rounded so that blends that differ by floating-point noise tie
     retained = retained.withColumn("_c", F.round(weight * F.col("_a") + (1 - weight) * F.col("_b"), 9))
     retained = average_rank(retained, "_c", "_d", row_id)
-    retained = retained.withColumn("score", 0.60 * F.col("_d") / max(1, n_retained)).withColumn("band", F.lit("C"))
+    retained = retained.withColumn("score", POSITIVE_BAND[0] + POSITIVE_BAND[1] * F.col("_d") / max(1, n_retained)).withColumn("band", F.lit("C"))
     kept = [*df.columns, "score", "band"]
-    return certain.select(*kept).unionByName(unknown.select(*kept)).unionByName(retained.select(*kept))
+    out = certain.select(*kept)
+    for band in (unknown, retained, overlapping):
+        out = out.unionByName(band.select(*kept))
+    return out
 
 
 def monotone_second_stage(

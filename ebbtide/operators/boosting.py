@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ebbtide.functions.columns import left_closed_bin
 from ebbtide.operators.parametric import SHORTEST, _normal_tail
-from ebbtide.operators.ranks import assign_bucket, running_totals, step_lookup
+from ebbtide.operators.ranks import running_totals
 from ebbtide.session import materialize
 
 # ---- person-period models ---------------------------------------------------------------------------------------
@@ -140,35 +140,22 @@ def martingale_residuals(rows: DataFrame) -> DataFrame:
     risk = running_totals(per_time, "t", ["w"], descending=True)
     steps = risk.select("t", (F.col("d") / F.col("cum_w")).alias("h"))
     hazard = running_totals(steps, "t", ["h"]).select("t", F.col("cum_h").alias("h0"))
-    found = step_lookup(rows, "t", hazard, "t", "h0", "_h0")
-    return found.withColumn("r", F.col("e") - F.exp("f") * F.col("_h0")).drop("_h0")
+    # every time of the rows is a time of the table; a frequent one is split by the skew join
+    found = rows.join(hazard, "t")
+    return found.withColumn("r", F.col("e") - F.exp("f") * F.col("h0")).drop("h0")
 
 
 def _event_times(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(F.exp("f")).alias("w"), F.sum(F.col("e").cast("double")).alias("d"))
 
 
-def _discrete_residuals(rows: DataFrame) -> DataFrame:
-    """The same for few distinct times, numbered in ``_slot``: one aggregation, the hazard as a literal array."""
-    table = sorted((r["_slot"], r["w"], r["d"]) for r in _event_times(rows, "_slot").collect())
-    weight = np.cumsum([w for _, w, _ in table][::-1])[::-1]
-    hazard = np.cumsum([d for _, _, d in table] / weight)
-    h0 = F.element_at(F.array(*[F.lit(float(h)) for h in hazard]), F.col("_slot"))
-    return rows.withColumn("r", F.col("e") - F.exp("f") * h0)
-
-
 def fit_boosted_cox(
     df: DataFrame, features: Sequence[str], row_id: Sequence[str], rounds: int = 50, rate: float = 0.1, depth: int = 3,
-    subsample: float = 0.8, seed: int = 42, time: str = "time", event: str = "event", few_times: int = 2_000,
+    subsample: float = 0.8, seed: int = 42, time: str = "time", event: str = "event",
 ) -> BoostedModel:
     """Trees on martingale residuals, the negative gradient of the Cox loss; higher score = sooner event."""
     rows = _training_rows(df.withColumn("_time", F.greatest(F.col(time), F.lit(1))), features, "_time", event, 0.0, row_id)
-    times = [r[0] for r in rows.select("t").distinct().limit(few_times + 1).collect()]
-    residual = martingale_residuals
-    if len(times) <= few_times:
-        rows = assign_bucket(rows, "t", [-math.inf, *sorted(times), math.inf], "_slot")
-        residual = _discrete_residuals
-    return BoostedModel(list(features), 0.0, rate, _boost(rows, residual, rounds, rate, depth, subsample, seed))
+    return BoostedModel(list(features), 0.0, rate, _boost(rows, martingale_residuals, rounds, rate, depth, subsample, seed))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -24,34 +24,56 @@ from pyspark.sql import functions as F
 from ebbtide.functions import vectors as V
 from ebbtide.operators.quality import fit_scaler
 from ebbtide.operators.ranks import (
-    SMALL,
     assign_bucket,
     bucket_count,
-    is_small,
+    join_null_safe,
     running_totals,
     sketch_splits,
     step_lookup,
     with_offsets,
 )
 from ebbtide.session import materialize
-FEW_TIMES = 5_000  # per-time tables up to this size are read by the driver
+
+DIRECT = 256  # tied events of one time that are summed one by one
+TAIL = 64  # of more, as many at the end, where the terms change fastest
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(32)
+
+
+def _efron_terms(k, d, r, e) -> np.ndarray:
+    f = k / d
+    phi = r - f * e
+    return np.stack([1 / phi, f / phi, 1 / phi**2, f / phi**2, f * f / phi**2, np.log(phi)], axis=-1)
 
 
 def _efron_sums(d: np.ndarray, r: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Per event time, sums over k = 0 … d-1 of functions of the Efron denominator ``r - (k/d) e``.
 
-    Columns: 1/phi, f/phi, 1/phi^2, f/phi^2, f^2/phi^2 and ln(phi) with f = k/d. ``d`` is a count, so a time
-    with very many events is worked off in fixed-size chunks.
+    Columns: 1/phi, f/phi, 1/phi^2, f/phi^2, f^2/phi^2 and ln(phi) with f = k/d. The cost of a time does not
+    depend on ``d``: beyond ``DIRECT`` ties all but the last ``TAIL`` terms are an Euler-Maclaurin sum, whose
+    integral runs over the logarithm of the denominator, where 32 Gauss nodes are exact to rounding.
     """
     out = np.zeros((len(d), 6))
-    single = d == 1
-    out[single, 0], out[single, 2], out[single, 5] = 1 / r[single], 1 / r[single] ** 2, np.log(r[single])
-    for i in np.flatnonzero(d > 1):
-        for start in range(0, int(d[i]), 1_000_000):
-            f = np.arange(start, min(start + 1_000_000, int(d[i]))) / d[i]
-            phi = r[i] - f * e[i]
-            terms = (1 / phi, f / phi, 1 / phi**2, f / phi**2, f * f / phi**2, np.log(phi))
-            out[i] += [float(term.sum()) for term in terms]
+    many = d > DIRECT
+    first = np.where(many, d - TAIL, 0.0)  # the terms from here on are added one by one
+    for k in range(int(np.max(d - first, initial=0.0))):
+        i = np.flatnonzero(first + k < d)
+        out[i] += _efron_terms(first[i] + k, d[i], r[i], e[i])
+    if many.any():
+        d, r, e, last = d[many], r[many], e[many], first[many] - 1
+        c, x = e / d, r * d / e
+        low, high = np.log(x - last), np.log(x)
+        u = (high + low)[:, None] / 2 + (high - low)[:, None] / 2 * NODES
+        y = np.exp(u)
+        at = _efron_terms(x[:, None] - y, d[:, None], r[:, None], e[:, None])
+        total = np.einsum("tn,tnf->tf", WEIGHTS * y * (high - low)[:, None] / 2, at)
+        total += (_efron_terms(np.zeros_like(d), d, r, e) + _efron_terms(last, d, r, e)) / 2
+        for side, y in ((1.0, x - last), (-1.0, x)):
+            slope = [1 / (c * y**2), x / (d * c * y**2), 2 / (c**2 * y**3), (2 * x / y**3 - 1 / y**2) / (d * c**2)]
+            slope += [(2 * x**2 / y**3 - 2 * x / y**2) / (d * c) ** 2, -1 / y]
+            third = [6 / (c * y**4), 6 * x / (d * c * y**4), 24 / (c**2 * y**5), (24 * x / y**5 - 6 / y**4) / (d * c**2)]
+            third += [(24 * x**2 / y**5 - 12 * x / y**4) / (d * c) ** 2, -2 / y**3]
+            total += side * (np.stack(slope, -1) / 12 - np.stack(third, -1) / 720)
+        out[many] += total
     return out
 
 
@@ -90,7 +112,6 @@ class RiskSets:
         event: str,
         strata: Sequence[str] = (),
         start: str | None = None,
-        small: int = SMALL,
     ):
         self.columns, self.strata = list(columns), list(strata)
         self.scaler = {c: (m, s or 1.0) for c, (m, s) in fit_scaler(df, columns).items()}
@@ -105,14 +126,8 @@ class RiskSets:
         counts = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("d")).first()
         self.n, self.events = counts["n"], counts["d"] or 0
         times = stop.select(*self.strata, "t").distinct()
-        self.bucketed = not is_small(times, small)
-        self.few = is_small(times, min(small, FEW_TIMES))
-        if self.bucketed:
-            splits = sketch_splits(times, ["t"], bucket_count(df))["t"][0]
-            stop = assign_bucket(stop, "t", splits, "bucket")
-        else:
-            stop = stop.withColumn("bucket", F.lit(0))
-        self.rows = materialize(stop)
+        splits = sketch_splits(times, ["t"], bucket_count(df))["t"][0]
+        self.rows = materialize(assign_bucket(stop, "t", splits, "bucket"))
 
     def table(self, beta: np.ndarray, second: bool = True) -> DataFrame:
         """Per event time: risk-set sums ``R…``, event sums ``D…`` and ``X…``, events at or after it ``cum_d``."""
@@ -133,24 +148,18 @@ class RiskSets:
             W.partitionBy(*self.strata, "bucket").orderBy(F.col("t").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
         )
         cumulated = [*sums, "d"]
-        if self.bucketed:
-            per_time = with_offsets(per_time, ["bucket"], self.strata, {s: F.sum(s) for s in cumulated}, descending=True)
-            running = {s: F.col(f"{s}_before") + F.sum(s).over(backwards) for s in cumulated}
-        else:
-            running = {s: F.sum(s).over(backwards) for s in cumulated}
+        per_time = with_offsets(per_time, ["bucket"], self.strata, {s: F.sum(s) for s in cumulated}, descending=True)
+        running = {s: F.col(f"{s}_before") + F.sum(s).over(backwards) for s in cumulated}
         running["cum_d"] = running.pop("d")
         return per_time.withColumns(running).filter(F.col("d") > 0)
 
     def evaluate(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log partial likelihood, gradient and Hessian at ``beta`` (on scaled covariates).
 
-        With few distinct times their cumulated sums are read directly. Otherwise every task reduces its
-        event times to one vector of ``1 + p + p*p`` numbers and only their sum leaves the cluster.
+        Every task reduces its event times to one vector of ``1 + p + p*p`` numbers; only their sum leaves
+        the cluster.
         """
         p = len(self.z)
-        if self.few:
-            values = _likelihood_parts(self.table(beta).toPandas(), p)
-            return float(values[0]), values[1 : 1 + p], values[1 + p :].reshape(p, p)
 
         def reduce(batches):
             total = np.zeros(1 + p + p * p)
@@ -214,10 +223,9 @@ def fit_cox(
     start: str | None = None,
     tolerance: float = 1e-8,
     max_iterations: int = 25,
-    small: int = SMALL,
 ) -> CoxModel:
     """Maximise ``log-likelihood / n - penalizer / 2 * |beta|^2`` over standardised covariates (Efron ties)."""
-    sets = RiskSets(df, columns, time, event, strata, start, small)
+    sets = RiskSets(df, columns, time, event, strata, start)
     p = len(sets.z)
     ridge = penalizer * sets.n
     objective = lambda ll, b: ll - ridge / 2 * float(b @ b)
@@ -255,26 +263,56 @@ def fit_cox(
     )
 
 
-def baseline_hazard(model: CoxModel, small: int = SMALL) -> DataFrame:
+def baseline_hazard(model: CoxModel) -> DataFrame:
     """Breslow cumulative baseline hazard at each event time: ``(strata…, t, h0)``."""
     table = model._sets.table(model._scaled, second=False)
     steps = materialize(table.select(*model.strata, "t", (F.col("d") / F.col("R0")).alias("h")))
-    return running_totals(steps, "t", ["h"], model.strata, small=small).select(*model.strata, "t", F.col("cum_h").alias("h0"))
+    return running_totals(steps, "t", ["h"], model.strata).select(*model.strata, "t", F.col("cum_h").alias("h0"))
+
 
+def predict_survival(df: DataFrame, model: CoxModel, times: Sequence[float]) -> DataFrame:
+    """Columns ``surv_{t}``: ``exp(-H0(t) * partial hazard)`` with the baseline of the row's stratum.
 
-def predict_survival(df: DataFrame, model: CoxModel, times: Sequence[float], small: int = SMALL) -> DataFrame:
-    """Columns ``surv_{t}`` for models without strata: ``exp(-H0(t) * partial hazard)``."""
-    base = baseline_hazard(model, small)
-    at = base.agg(*[F.max(F.when(F.col("t") <= t, F.col("h0"))).alias(f"h{i}") for i, t in enumerate(times)]).first()
+    A stratum of the fit without events so far has ``H0 = 0``; a stratum the fit has not seen gives NULL.
+    """
+    base = baseline_hazard(model)
+    at = [F.max(F.when(F.col("t") <= t, F.col("h0"))).alias(f"_h{i}") for i, t in enumerate(times)]
+    known = model._sets.rows.select(*model.strata).distinct() if model.strata else base.sparkSession.range(1).select()
+    hazards = base.groupBy(*model.strata).agg(*at)
+    if model.strata:
+        hazards = join_null_safe(known, hazards, model.strata, "left")
+    hazards = hazards.select(*model.strata, *[F.coalesce(F.col(f"_h{i}"), F.lit(0.0)).alias(f"_h{i}") for i in range(len(times))])
+    if model.strata:
+        placed = join_null_safe(df, hazards, model.strata, "left")
+    else:
+        row = hazards.first()
+        placed = df.withColumns({f"_h{i}": F.lit(float(row[f"_h{i}"])) for i in range(len(times))})
     risk = model.partial_hazard()
-    return df.withColumns({f"surv_{t:g}": F.exp(-float(at[f"h{i}"] or 0.0) * risk) for i, t in enumerate(times)})
+    out = placed.withColumns({f"surv_{t:g}": F.exp(-F.col(f"_h{i}") * risk) for i, t in enumerate(times)})
+    return out.drop(*[f"_h{i}" for i in range(len(times))])
 
 
-def predict_median(df: DataFrame, model: CoxModel, out: str = "median", small: int = SMALL) -> DataFrame:
-    """First time with predicted survival at or below one half; NULL when it is never reached."""
+def predict_median(df: DataFrame, model: CoxModel, out: str = "median") -> DataFrame:
+    """First time with predicted survival at or below one half; NULL when it is never reached.
+
+    With strata, each stratum's rows meet its own baseline, one lookup per stratum of the fit.
+    """
     needed = df.withColumn("_need", math.log(2) / model.partial_hazard())
-    steps = baseline_hazard(model, small).groupBy("h0").agg(F.min("t").alias("t"))
-    return step_lookup(needed, "_need", steps, "h0", "t", out, forward=True).drop("_need")
+    base = baseline_hazard(model)
+    if not model.strata:
+        steps = base.groupBy("h0").agg(F.min("t").alias("t"))
+        return step_lookup(needed, "_need", steps, "h0", "t", out, forward=True).drop("_need")
+    base, missing = materialize(base), F.lit(True)
+    found = None
+    for values in base.select(*model.strata).distinct().collect():
+        own = F.lit(True)
+        for name in model.strata:
+            own = own & F.col(name).eqNullSafe(F.lit(values[name]))
+        steps = base.filter(own).groupBy("h0").agg(F.min("t").alias("t"))
+        part = step_lookup(needed.filter(own), "_need", steps, "h0", "t", out, forward=True)
+        found, missing = part if found is None else found.unionByName(part), missing & ~own
+    rest = needed.filter(missing).withColumn(out, F.lit(None).cast("double"))
+    return (rest if found is None else found.unionByName(rest)).drop("_need")
 
 
 def proportional_hazard_test(model: CoxModel) -> DataFrame:
@@ -332,14 +370,13 @@ def fit_elastic_net(
     event: str = "event",
     max_iterations: int = 10,
     tolerance: float = 1e-6,
-    small: int = SMALL,
 ) -> DataFrame:
     """Elastic-net path: rows ``(alpha, feature, coef)`` on standardised covariates.
 
     Minimises ``-loglik/n + alpha * (l1_ratio |b|_1 + (1 - l1_ratio)/2 |b|^2)`` by proximal Newton steps: one
     Spark job gives gradient and Hessian, coordinate descent on the small quadratic model runs on the driver.
     """
-    sets = RiskSets(df, columns, time, event, small=small)
+    sets = RiskSets(df, columns, time, event)
     p, n = len(columns), float(sets.n)
     beta = np.zeros(p)
     _, g, h = sets.evaluate(beta)

@@ -12,22 +12,9 @@ from ebbtide.functions import vectors as V
 from ebbtide.functions.columns import right_closed_bin
 from ebbtide.operators.ranks import equal_frequency_bin, unique_rank
 
-# fixed values: tier edges on the 30-day churn probability, and the action of each tier and driver
+# fixed values: tier edges on the 30-day churn probability
 TIER_EDGES = (-1.0, 0.02, 0.05, 0.15, 1.0)
 TIER_NAMES = ("watch", "soon", "urgent", "critical")
-TIER_ACTIONS = {
-    "critical": "call within the week with a fee waiver",
-    "urgent": "push message and cashback on the main payment type within 7 days",
-    "soon": "automatic reminder to come back",
-    "watch": "regular marketing",
-}
-DRIVER_ACTIONS = {
-    "gap_z": "voucher within 48 hours of unusual silence",
-    "bal_last_over_max": "bonus on the next cash-in",
-    "trend_30_90": "cashback on the customer's usual payment type",
-    "no_inflow_90d": "referral campaign",
-    "rec_bill": "bill reminder and autopay discount",
-}
 
 
 def deciles(df: DataFrame, score: str, row_id: Sequence[str], bins: int = 10) -> DataFrame:
@@ -99,8 +86,8 @@ def tier_summary(df: DataFrame, churn90: str = "churn90") -> DataFrame:
     )
 
 
-def with_actions(df: DataFrame, key: str = "tier", actions: Mapping[str, str] = TIER_ACTIONS) -> DataFrame:
-    """Attach the action of each tier (or driver) from a fixed mapping."""
+def with_actions(df: DataFrame, actions: Mapping[str, str], key: str = "tier") -> DataFrame:
+    """Attach the caller's action of each tier (or driver); a value without one gets NULL."""
     mapping = df.sparkSession.createDataFrame(list(actions.items()), f"{key} string, action string")
     return df.join(F.broadcast(mapping), key, "left")
 

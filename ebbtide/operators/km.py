@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import left_closed_bin
-from ebbtide.operators.ranks import SMALL, quantile_map, running_totals
+from ebbtide.operators.ranks import quantile_map, running_totals
 from ebbtide.session import materialize
 
 MAX_GROUPS = 64
 
 
 def survival_table(
-    df: DataFrame, time: str = "time", event: str = "event", by: Sequence[str] = (), small: int = SMALL
+    df: DataFrame, time: str = "time", event: str = "event", by: Sequence[str] = ()
 ) -> DataFrame:
     """Rows ``(by…, t, n_risk, d, censored, surv, variance, cum_hazard)`` with ties grouped by time.
 
@@ -34,7 +34,7 @@ def survival_table(
             F.count(F.lit(1)).alias("leaving"), F.sum(F.col(event).cast("bigint")).alias("d")
         )
     )
-    risk = running_totals(counts, "t", ["leaving"], by, small=small).withColumn(
+    risk = running_totals(counts, "t", ["leaving"], by).withColumn(
         "n_risk", F.col("tot_leaving") - F.col("cum_leaving") + F.col("leaving")
     )
     survivors = F.col("n_risk") - F.col("d")
@@ -48,7 +48,7 @@ def survival_table(
         (F.col("d") / F.col("n_risk")).alias("hazard"),
         F.when(survivors > 0, F.col("d") / (F.col("n_risk") * survivors)).otherwise(F.lit(0.0)).alias("green"),
     )
-    run = running_totals(steps, "t", ["log_step", "hazard", "green"], by, small=small)
+    run = running_totals(steps, "t", ["log_step", "hazard", "green"], by)
     # nobody is left only at the very last time of a group
     surv = F.when(F.col("n_risk") == F.col("d"), F.lit(0.0)).otherwise(F.exp("cum_log_step"))
     return run.select(
@@ -116,7 +116,7 @@ def chi_square_tail(x: float, dof: int) -> float:
 
 
 def logrank_components(
-    df: DataFrame, group: str, time: str = "time", event: str = "event", small: int = SMALL
+    df: DataFrame, group: str, time: str = "time", event: str = "event"
 ) -> tuple[list, np.ndarray, np.ndarray]:
     """Group values, observed minus expected events, and their covariance matrix.
 
@@ -136,7 +136,7 @@ def logrank_components(
             F.sum(F.when(mine, F.col(event).cast("bigint")).otherwise(F.lit(0))).alias(f"d{i}"),
         ]
     counts = materialize(df.filter(F.col(group).isNotNull()).groupBy(F.col(time).alias("t")).agg(*per_group))
-    run = running_totals(counts, "t", [f"leaving{i}" for i in range(k)], small=small)
+    run = running_totals(counts, "t", [f"leaving{i}" for i in range(k)])
     n = [F.col(f"tot_leaving{i}") - F.col(f"cum_leaving{i}") + F.col(f"leaving{i}") for i in range(k)]
     d = [F.col(f"d{i}") for i in range(k)]
     all_n, all_d = sum(n[1:], n[0]), sum(d[1:], d[0])
@@ -155,9 +155,9 @@ def logrank_components(
     return groups, z, v
 
 
-def logrank_test(df: DataFrame, group: str, time: str = "time", event: str = "event", small: int = SMALL) -> DataFrame:
+def logrank_test(df: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:
     """One row ``(statistic, dof, p_value)`` comparing the survival of two or more groups."""
-    groups, z, v = logrank_components(df, group, time, event, small)
+    groups, z, v = logrank_components(df, group, time, event)
     dof = max(len(groups) - 1, 0)
     statistic = float(z[:dof] @ np.linalg.pinv(v[:dof, :dof]) @ z[:dof]) if dof else 0.0
     row = [(statistic, dof, chi_square_tail(statistic, dof))]

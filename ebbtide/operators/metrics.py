@@ -18,10 +18,8 @@ from ebbtide.functions import vectors as V
 from ebbtide.operators.decisions import top_capture
 from ebbtide.operators.km import survival_table
 from ebbtide.operators.ranks import (
-    SMALL,
     bucket_count,
     hash_rank,
-    is_small,
     plain_double,
     running_totals,
     sketch_splits,
@@ -41,10 +39,10 @@ def score_histogram(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     )
 
 
-def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), small: int = SMALL) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve with half weight on ties; NULL when a class is missing."""
     hist = materialize(score_histogram(df, score, label, by))
-    run = running_totals(hist, "score", ["pos", "neg"], by, small=small)
+    run = running_totals(hist, "score", ["pos", "neg"], by)
     below = F.col("cum_neg") - F.col("neg") / 2
     return run.groupBy(*by).agg(
         F.try_divide(
@@ -53,10 +51,10 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), small: in
     )
 
 
-def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = (), small: int = SMALL) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of precision times the recall gained at each distinct threshold, from high to low."""
     hist = materialize(score_histogram(df, score, label, by)).withColumn("all", F.col("pos") + F.col("neg"))
-    run = running_totals(hist, "score", ["pos", "all"], by, descending=True, small=small)
+    run = running_totals(hist, "score", ["pos", "all"], by, descending=True)
     gained = F.try_divide(F.col("pos"), F.col("tot_pos"))
     return run.groupBy(*by).agg(F.sum(gained * F.col("cum_pos") / F.col("cum_all")).alias("ap"))
 
@@ -122,15 +120,15 @@ def scorecard(c_index: float, ibs: float, spark: SparkSession) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def censoring_curve(df: DataFrame, time: str = "time", event: str = "event", small: int = SMALL) -> DataFrame:
+def censoring_curve(df: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
     """Survival function of the censoring time, ``(t, g)``; events leave before censorings of the same time."""
-    table = survival_table(df, time, event, small=small)
+    table = survival_table(df, time, event)
     at_risk = F.col("n_risk") - F.col("d")
     # the last time with nobody at risk but the censored themselves ends at 0
     factor = F.when(at_risk > F.col("censored"), F.ln(1 - F.col("censored") / at_risk)).otherwise(F.lit(0.0))
     ends = (F.col("censored") > 0) & (at_risk == F.col("censored"))
     steps = table.select("t", factor.alias("log_step"), ends.cast("int").alias("ends"))
-    run = running_totals(steps, "t", ["log_step", "ends"], small=small)
+    run = running_totals(steps, "t", ["log_step", "ends"])
     return run.select("t", F.when(F.col("cum_ends") > 0, F.lit(0.0)).otherwise(F.exp("cum_log_step")).alias("g"))
 
 
@@ -171,7 +169,7 @@ def evaluation_times(train: DataFrame, test: DataFrame, n: int = 10) -> list[flo
     return [low + (high - low) * i / (n + 1) for i in range(1, n + 1)]
 
 
-def time_dependent_auc(df: DataFrame, risk: str, times: Sequence[float], curve: DataFrame, small: int = SMALL) -> DataFrame:
+def time_dependent_auc(df: DataFrame, risk: str, times: Sequence[float], curve: DataFrame) -> DataFrame:
     """Rows ``(t, auc)``: chance that a case by ``t`` outranks a row still at risk after ``t``.
 
     Cases weigh 1/G(T) from the training censoring curve; equal risks count one half.
@@ -185,7 +183,7 @@ def time_dependent_auc(df: DataFrame, risk: str, times: Sequence[float], curve:
         .groupBy("t", "score")
         .agg(F.sum(case).alias("case"), F.sum(control).alias("control"))
     )
-    run = running_totals(hist, "score", ["case", "control"], ["t"], small=small)
+    run = running_totals(hist, "score", ["case", "control"], ["t"])
     won = F.col("case") * (F.col("cum_control") - F.col("control") / 2)
     return run.groupBy("t").agg(F.try_divide(F.sum(won), F.max("tot_case") * F.max("tot_control")).alias("auc"))
 
@@ -250,12 +248,6 @@ def _within_risk_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"concordant": [_dominated(*columns)], "tied": [_tied(*columns)]})
 
 
-def _whole_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    t, risk, n, ev = (pdf[c].to_numpy() for c in ("t", "risk", "n", "ev"))
-    pairs = _tied(t, np.zeros(len(t)), n, ev)
-    return pd.DataFrame({"concordant": [_dominated(t, risk, n, ev)], "tied_risk": [_tied(t, risk, n, ev)], "comparable": [pairs]})
-
-
 def _within_time_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     columns = [pdf[c].to_numpy() for c in ("t", "rb", "n", "ev")]
     return pd.DataFrame({"concordant": [_dominated(*columns)], "tied": [0.0]})
@@ -284,7 +276,6 @@ def concordance(
     time: str = "time",
     event: str = "event",
     tied_times: bool = False,
-    small: int = SMALL,
     buckets: int | None = None,
     exact_times: int = 128,
 ) -> DataFrame:
@@ -294,8 +285,7 @@ def concordance(
     censored at that very time. No pair join: rows are counted per (time, risk) and both axes cut into
     equi-depth buckets. Pairs in different buckets on both axes follow from the small grid of bucket
     totals; pairs sharing a risk bucket or a time bucket are counted inside that bucket. Values too
-    frequent for a bucket stand alone in one, where only ties remain and those are running sums. Up to
-    ``small`` distinct (time, risk) pairs are counted in one task instead.
+    frequent for a bucket stand alone in one, where only ties remain and those are running sums.
     """
     keyed = _comparison_time(df.select(time, event, risk), time, event, tied_times)
     counts = materialize(
@@ -305,10 +295,6 @@ def concordance(
     )
     share = F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("comparable"))
     c_index = F.coalesce(share, F.lit(0.5)).alias("c_index")
-    if is_small(counts, small):
-        one = counts.groupBy().applyInPandas(_whole_table, "concordant double, tied_risk double, comparable double")
-        sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in one.columns]
-        return one.agg(*sums).select("*", c_index)
     buckets = min(MAX_GRID, buckets or bucket_count(df))
     risk_splits = sketch_splits(counts, ["risk"], buckets)["risk"][0]
     distinct = [r[0] for r in counts.select("t").distinct().limit(exact_times + 1).collect()]
@@ -343,7 +329,7 @@ def concordance(
         sharing.append(merged.groupBy("tb").applyInPandas(_within_time_bucket, shape))
     if alone_risk:
         heavy = placed.filter(F.col("rb").isin(*alone_risk)).select("risk", "t", "n", "ev")
-        run = running_totals(heavy, "t", ["n"], ["risk"], descending=True, small=small)
+        run = running_totals(heavy, "t", ["n"], ["risk"], descending=True)
         sharing.append(
             run.agg(
                 F.lit(0.0).alias("concordant"),
@@ -354,7 +340,7 @@ def concordance(
     for part in sharing[1:]:
         parts = parts.unionByName(part)
     per_time = counts.groupBy("t").agg(F.sum("n").alias("n"), F.sum("ev").alias("ev"))
-    survivors = running_totals(per_time, "t", ["n"], descending=True, small=small)
+    survivors = running_totals(per_time, "t", ["n"], descending=True)
     comparable = survivors.agg(
         F.coalesce(F.sum(F.col("ev").cast("double") * (F.col("cum_n") - F.col("n"))), F.lit(0.0)).alias("pairs")
     )

@@ -19,12 +19,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SUB_BUCKETS = 256
-SMALL = 100_000
-
-
-def is_small(df: DataFrame, bound: int = SMALL) -> bool:
-    """Whether ``df`` has at most ``bound`` rows, reading no more than that many."""
-    return df.limit(bound + 1).count() <= bound
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -94,14 +88,14 @@ def with_offsets(
     return join_null_safe(df, totals.withColumns(columns), [*by, *bucket])
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be NULL; the right side has one row per key."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the right side has one row per key."""
     renamed = right
     condition = F.lit(True)
     for key in keys:
         renamed = renamed.withColumnRenamed(key, f"__r_{key}")
         condition = condition & left[key].eqNullSafe(F.col(f"__r_{key}"))
-    return left.join(renamed, condition).drop(*[f"__r_{key}" for key in keys])
+    return left.join(renamed, condition, how).drop(*[f"__r_{key}" for key in keys])
 
 
 def average_rank(
@@ -130,10 +124,11 @@ _WORK = (
 def _positions(df, value, row_id, buckets, seed=0):
     buckets = buckets or bucket_count(df)
     splits, heavy = sketch_splits(df, [value], buckets)[value]
-    keyed = assign_bucket(df, value, splits, "_bucket")
+    keyed = assign_bucket(df, value, splits, "_bucket").withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))
     keyed = keyed.withColumns(
         {
-            "_heavy": F.col(value).cast("double").isin(*heavy) if heavy else F.lit(False),
+            # NULLs come first, in a bucket of their own; like any value that fills a bucket they are split by hash
+            "_heavy": F.col(value).isNull() | (F.col(value).cast("double").isin(*heavy) if heavy else F.lit(False)),
             "_key": hash_order(row_id, seed),
         }
     )
@@ -194,22 +189,14 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    small: int = SMALL,
     buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums (``cum_{name}``) and group totals (``tot_{name}``) along a unique ``order``.
 
-    ``df`` must be pre-aggregated to one row per (by, order). Up to ``small`` rows one window per group
-    is exact and cheapest; beyond it the bucketed form runs.
+    ``df`` must be pre-aggregated to one row per (by, order).
     """
     by = list(by)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if is_small(df, small):
-        group = W.partitionBy(*(by or [F.lit(0)]))
-        running = group.orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumns(
-            {f"cum_{s}": F.sum(s).over(running) for s in sums} | {f"tot_{s}": F.sum(s).over(group) for s in sums}
-        )
     splits, _ = sketch_splits(df, [order], buckets or bucket_count(df))[order]
     keyed = assign_bucket(df, order, splits, "_bucket")
     placed = with_offsets(keyed, ["_bucket"], by, {s: F.sum(s) for s in sums}, descending)
@@ -322,50 +309,51 @@ def equal_frequency_bin(rank: Column, n: Column, bins: int) -> Column:
 
 
 def step_lookup(
-    df: DataFrame, value: str, steps: DataFrame, key: str, payload: str, out: str, forward: bool = False, small: int = 10_000
+    df: DataFrame, value: str, steps: DataFrame, key: str, payload: str, out: str, forward: bool = False
 ) -> DataFrame:
     """Payload of the last step with ``key <= value`` (or, ``forward``, the first with ``key >= value``).
 
-    ``steps`` has one row per key. A small step table becomes a literal binary search and ``df`` is not
-    moved. Otherwise both sides are cut at the same buckets and met by a window inside each bucket; a row
-    before (after) all steps of its bucket takes the payload carried over from the nearest other bucket.
+    ``steps`` has one row per key. Both sides are cut at the quantiles of the rows, so that rows, which
+    are many, fill the buckets evenly; a value that fills several buckets stands alone in one, and its rows
+    are spread over sub-buckets by hash. A row before (after) all steps of its bucket takes the payload
+    carried over from the nearest other bucket.
     """
-    if is_small(steps, small):
-        rows = sorted((float(r[0]) + 0.0, r[1]) for r in steps.select(key, payload).filter(F.col(key).isNotNull()).collect())
-        if not rows:
-            return df.withColumn(out, F.lit(None).cast(dict(steps.dtypes)[payload]))
-        keys = [k for k, _ in rows]
-        # forward: value <= key, so cut just above each key
-        cuts = [math.nextafter(k, math.inf) for k in keys] if forward else keys
-        found = assign_bucket(df, value, [-math.inf, *cuts, math.inf], "_step")
-        values = F.array(*[F.lit(v) for _, v in rows]).cast(f"array<{dict(steps.dtypes)[payload]}>")
-        position = F.col("_step") + 1 if forward else F.col("_step")
-        inside = F.when((position >= 1) & (position <= len(rows)), position)
-        return found.withColumn(out, F.element_at(values, inside)).drop("_step")
-    splits, _ = sketch_splits(steps, [key], bucket_count(df))[key]
-    row = F.struct(*[F.col(c) for c in df.columns])
-    left = assign_bucket(df.select(F.col(value).cast("double").alias("_k"), row.alias("_row")), "_k", splits, "_bucket")
-    right = assign_bucket(steps.select(F.col(key).cast("double").alias("_k"), F.col(payload).alias("_p")), "_k", splits, "_bucket")
+    kind = dict(steps.dtypes)[payload]
+    steps = steps.filter(F.col(key).isNotNull()).select(plain_double(key).alias("_k"), F.col(payload).alias("_p"))
+    keyed = df.withColumn("_k", plain_double(value))
+    splits, heavy = sketch_splits(keyed, ["_k"], bucket_count(df))["_k"]
+    own = [F.col(f"`{c}`") for c in df.columns]
+    row = F.struct(*own)
+    spread = F.pmod(F.xxhash64(*own), F.lit(SUB_BUCKETS)).cast("int")
+    hot = F.col("_k").isNull() | (F.col("_k").isin(*heavy) if heavy else F.lit(False))
+    left = assign_bucket(keyed.select("_k", row.alias("_row"), F.when(hot, spread).otherwise(0).alias("_sub")), "_k", splits, "_bucket")
+    right = assign_bucket(steps, "_k", splits, "_bucket")
+    # the buckets of heavy values hold one value and hence at most one step: it goes to every sub-bucket
+    alone = right.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_only"))
+    hot_bucket = F.col("_only").isin(*heavy) if heavy else F.lit(False)
+    subs = F.when(hot_bucket & (F.col("_n") == 1), F.sequence(F.lit(0), F.lit(SUB_BUCKETS - 1))).otherwise(F.array(F.lit(0)))
+    placed_steps = join_null_safe(right, alone.select("_bucket", subs.alias("_subs")), ["_bucket"])
+    placed_steps = placed_steps.select("_k", "_p", "_bucket", F.explode("_subs").alias("_sub"))
     edge = F.min(F.struct("_k", "_p")) if forward else F.max(F.struct("_k", "_p"))
     edges = right.groupBy("_bucket").agg(edge.alias("_e")).select("_bucket", F.col("_e._p").alias("_edge"))
-    edges = left.select("_bucket").distinct().join(edges, "_bucket", "left").unionByName(
-        edges.join(left.select("_bucket").distinct(), "_bucket", "left_anti")
-    )
+    every = left.select("_bucket").distinct().unionByName(edges.select("_bucket")).distinct()
+    edges = join_null_safe(every, edges, ["_bucket"], "left")
     if forward:
         beyond = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
         carried = F.first("_edge", ignorenulls=True).over(beyond)
-        inside = W.partitionBy("_bucket").orderBy("_k", F.col("_tag").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
+        inside = W.partitionBy("_bucket", "_sub").orderBy("_k", F.col("_tag").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
         nearest = F.first("_p", ignorenulls=True).over(inside)
     else:
         beyond = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
         carried = F.last("_edge", ignorenulls=True).over(beyond)
-        inside = W.partitionBy("_bucket").orderBy("_k", "_tag").rowsBetween(W.unboundedPreceding, W.currentRow)
+        inside = W.partitionBy("_bucket", "_sub").orderBy("_k", "_tag").rowsBetween(W.unboundedPreceding, W.currentRow)
         nearest = F.last("_p", ignorenulls=True).over(inside)
     carried_rows = edges.select("_bucket", carried.alias("_carried"))
     row_tag, step_tag = 1, 0  # at equal keys the step precedes the row, or follows it when looking forward
-    merged = left.withColumn("_p", F.lit(None).cast(dict(steps.dtypes)[payload])).withColumn("_tag", F.lit(row_tag)).unionByName(
-        right.withColumn("_tag", F.lit(step_tag)), allowMissingColumns=True
+    merged = left.withColumn("_p", F.lit(None).cast(kind)).withColumn("_tag", F.lit(row_tag)).unionByName(
+        placed_steps.withColumn("_tag", F.lit(step_tag)), allowMissingColumns=True
     )
     matched = merged.withColumn("_near", nearest).filter(F.col("_tag") == row_tag)
     joined = join_null_safe(matched, carried_rows, ["_bucket"])
-    return joined.select("_row.*", F.coalesce("_near", "_carried").alias(out))
+    found = F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carried"))
+    return joined.select("_row.*", found.alias(out))

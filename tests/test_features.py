@@ -41,15 +41,23 @@ def test_trailing_zero_weeks(spark):
     assert [r[0] for r in df.select(V.trailing_zeros(cols)).collect()] == [13, 0, 12]
 
 
-def test_distinct_units_falls_back_beyond_a_long(spark):
+def test_distinct_units_of_any_length(spark):
     df = spark.range(200).select((F.col("id") % 100).cast("int").alias("u"))
     assert df.agg(C.distinct_units(F.col("u"), 200)).first()[0] == 100
     assert df.agg(C.distinct_units(F.col("u") % 60, 63)).first()[0] == 60
+    outside = spark.createDataFrame([(-64,), (0,), (64,), (3,), (None,), (63,)], "u int")
+    assert outside.agg(C.distinct_units(F.col("u"), 10)).first()[0] == 2
+    assert outside.agg(C.distinct_units(F.col("u"), 64)).first()[0] == 3
+    assert outside.filter("u is null").agg(C.distinct_units(F.col("u"), 10)).first()[0] == 0
 
 
 def test_hex_suffix(spark):
-    df = spark.createDataFrame([("T-ff",), ("T-xyz",), ("T-00000000ffffff",)], "x string")
-    assert [r[0] for r in df.select(C.hex_suffix_to_long(F.col("x"))).collect()] == [255, None, 16777215]
+    texts = ["T-ff", "T-xyz", "T-00000000ffffff", "T-123456789abcdef0", "a-b-" + "F" * 31, "T-" + "0" * 32, "T-", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    expected = [255, None, 16777215, 0x123456789ABCDEF0, 16**31 - 1, None, None, None]
+    assert [r[0] for r in df.select(C.hex_suffix_to_number(F.col("x"))).collect()] == expected
+    row = C.unparsed_share(df, "x").first()
+    assert (row.n, round(row.unparsed, 6)) == (7, round(3 / 7, 6))
 
 
 def test_right_closed_bins(spark):

@@ -41,11 +41,10 @@ def test_unique_rank_is_a_permutation_in_order(frame, buckets):
     assert (got.r.to_numpy() == np.arange(1, 1001)).all() and got.x.is_monotonic_increasing
 
 
-@pytest.mark.parametrize("small", [ranks.SMALL, 0])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals(frame, small, descending):
+def test_running_totals(frame, descending):
     hist = ranks.value_histogram(frame, "x")
-    got = ranks.running_totals(hist, "x", ["n"], small=small, buckets=5, descending=descending).toPandas()
+    got = ranks.running_totals(hist, "x", ["n"], buckets=5, descending=descending).toPandas()
     got = got.sort_values("x", ascending=not descending)
     assert (got.cum_n.to_numpy() == got.n.cumsum().to_numpy()).all() and set(got.tot_n) == {1000}
 
@@ -70,18 +69,40 @@ def test_hash_rank_by_group(frame):
         assert sorted(part.r) == list(range(1, len(part) + 1)) and set(part.r_of) == {len(part)}
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
 @pytest.mark.parametrize("forward", [False, True])
-def test_step_lookup(spark, frame, small, forward):
+def test_step_lookup(spark, frame, forward):
     keys = np.arange(-3, 3.5, 0.5)
     steps = spark.createDataFrame([(float(k), float(i)) for i, k in enumerate(keys)], "k double, v double")
-    got = ranks.step_lookup(frame, "x", steps, "k", "v", "found", forward, small).toPandas()
+    got = ranks.step_lookup(frame, "x", steps, "k", "v", "found", forward).toPandas()
     assert len(got) == 1000
     for x, found in zip(got.x, got.found, strict=True):
         index = np.searchsorted(keys, x, "left") if forward else np.searchsorted(keys, x, "right") - 1
         assert (np.isnan(found) and not 0 <= index < len(keys)) or found == index
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_step_lookup_with_a_hot_value(spark, forward):
+    """95 % of the rows at one value, some NULL: the answers stay right."""
+    values = [7.0] * 950 + [None] * 20 + [float(i) / 3 for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, x double")
+    keys = [-1.0, 2.0, 7.0, 9.0]
+    steps = spark.createDataFrame([(k, f"s{k}") for k in keys], "k double, v string")
+    got = ranks.step_lookup(rows, "x", steps, "k", "v", "found", forward).collect()
+    assert len(got) == 1000
+    for r in got:
+        near = None if r.x is None else min((k for k in keys if k >= r.x), default=None) if forward else max((k for k in keys if k <= r.x), default=None)
+        assert r.found == (None if near is None else f"s{near}")
+
+
+def test_nulls_are_spread_when_ranked(spark):
+    """90 % NULL scores: they come first, are split by hash, and no work group holds more than a small part."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 977).alias("x"))
+    placed = ranks._positions(rows, "x", ["id"], 16)
+    assert placed.groupBy("_bucket", "_sub").count().agg(F.max("count")).first()[0] < 1000
+    got = ranks.unique_rank(rows, "x", "r", ["id"], buckets=16).toPandas()
+    assert sorted(got.r) == list(range(1, 20_001))
+
+
 def test_equal_frequency_bins_match_linear_quantile_edges(spark):
     df = spark.range(1, 13).select(ranks.equal_frequency_bin(F.col("id"), F.lit(12), 10).alias("b"), "id")
     assert [r.b for r in df.orderBy("id").collect()] == [10, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1]

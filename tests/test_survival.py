@@ -11,15 +11,13 @@ from conftest import COVARIATES
 from pyspark.sql import functions as F
 
 from ebbtide.operators import boosting, cox, km, metrics, parametric
-from ebbtide.operators.ranks import SMALL
 
 TRUTH = np.array([0.03, -0.0005, 0.2, 0.7])
 
 
-@pytest.mark.parametrize("small", [SMALL, 0])
-def test_kaplan_meier_by_hand(spark, small):
+def test_kaplan_meier_by_hand(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (3, 1), (4, 0)], "time int, event int")
-    table = km.survival_table(df, small=small)
+    table = km.survival_table(df)
     curve = {r.t: r.surv for r in table.collect()}
     assert curve == pytest.approx({1: 0.8, 2: 0.6, 3: 0.3, 4: 0.3})
     assert km.median_survival(table).first()["median"] == 3
@@ -37,9 +35,8 @@ def test_logrank_identical_groups(spark):
     assert row.statistic == pytest.approx(0) and row.p_value == pytest.approx(1)
 
 
-@pytest.mark.parametrize("small", [SMALL, 0])
-def test_logrank_forms_agree(recipe_df, small):
-    two = km.logrank_test(recipe_df, "group", small=small).first()
+def test_logrank_forms_agree(recipe_df):
+    two = km.logrank_test(recipe_df, "group").first()
     assert two.dof == 1 and two.statistic > 50 and two.p_value < 1e-10
 
 
@@ -61,7 +58,7 @@ def brute_force(t, e, r, tied):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"small": 0}, {"buckets": 7, "exact_times": 0, "small": 0}], ids=["one_task", "exact_times", "bucketed"]
+    "options", [{}, {"buckets": 7, "exact_times": 0}], ids=["exact_times", "bucketed"]
 )
 @pytest.mark.parametrize("tied", [False, True])
 @pytest.mark.parametrize("kind", ["discrete", "continuous", "hot_time"])
@@ -114,9 +111,7 @@ def test_cox_recovers_parameters(fitted):
     assert (np.abs(fitted.coefficients - 1.3 * TRUTH) < 4 * se).all()
 
 
-def test_cox_bucketed_and_start_stop_forms_agree(recipe_df, fitted):
-    bucketed = cox.fit_cox(recipe_df, COVARIATES, small=0)
-    assert bucketed.coefficients == pytest.approx(fitted.coefficients)
+def test_cox_start_stop_form_agrees(recipe_df, fitted):
     half = F.col("time") / 2
     none = F.lit(None).cast("double")
     first = recipe_df.withColumns({"from": none, "to": half, "died": F.lit(0)})
@@ -147,6 +142,39 @@ def test_cox_median_inverts_the_predicted_curve(recipe, recipe_df, fitted):
     assert np.array_equal(got.to_numpy(), want, equal_nan=True)
 
 
+def test_efron_sums_equal_the_plain_sums():
+    d = np.array([1, 2, 5, 255, 256, 257, 300, 5000, 100_000], float)
+    for slack in (1.0, 1.5, 40.0):
+        e = d * np.linspace(0.3, 2.0, len(d))
+        want = [cox._efron_terms(np.arange(n), n, a * slack, a).sum(0) for n, a in zip(d, e, strict=True)]
+        got = cox._efron_sums(d, e * slack, e)
+        assert np.allclose(got, want, rtol=1e-10, atol=1e-12)
+
+
+def test_stratified_predictions_use_their_own_baseline(spark, recipe):
+    """Region 0 lives five times as long: its predictions must follow its own curve."""
+    slow = recipe.assign(time=np.where(recipe.region == 0, recipe.time * 5, recipe.time))
+    df = spark.createDataFrame(slow)
+    model = cox.fit_cox(df, ["age", "balance", "group"], strata=["region"])
+    t = float(np.median(slow.time))
+    seen = cox.predict_median(cox.predict_survival(df, model, [t]), model).toPandas()
+    assert len(seen) == len(slow)
+    empirical = {}
+    for region, part in slow.groupby("region"):
+        curve, s = sorted(zip(part.time, part.event, strict=True)), 1.0
+        for i, (time, event) in enumerate(curve):
+            if time <= t and event:
+                s *= 1 - 1 / (len(curve) - i)
+        empirical[region] = s
+    for region, part in seen.groupby("region"):
+        assert abs(part[f"surv_{t:g}"].mean() - empirical[region]) < 0.1
+    medians = seen.groupby("region")["median"].median()
+    assert medians[0] > 3 * medians[1]
+    unknown = df.limit(3).withColumn("region", F.lit(99))
+    got = cox.predict_median(cox.predict_survival(unknown, model, [t]), model).collect()
+    assert len(got) == 3 and all(r[f"surv_{t:g}"] is None and r["median"] is None for r in got)
+
+
 def test_proportionality_test_and_strata(recipe_df, fitted):
     rows = {r.feature: r.p for r in cox.proportional_hazard_test(fitted).collect()}
     assert set(rows) == set(COVARIATES) and all(0 <= p <= 1 for p in rows.values())
@@ -209,11 +237,10 @@ def test_person_periods_reproduce_kaplan_meier_on_whole_periods(spark):
     assert {r.period: (r.n, r.d) for r in rows.collect()} == {0: (4, 1), 1: (3, 1)}
 
 
-@pytest.mark.parametrize("few", [2_000, 0])
-def test_martingale_residuals_sum_to_zero(spark, recipe_df, few):
+def test_martingale_residuals_sum_to_zero(spark, recipe_df):
     rows = boosting._training_rows(recipe_df, COVARIATES, "time", "event", 0.3, ["id"])
     assert boosting.martingale_residuals(rows).agg(F.sum("r")).first()[0] == pytest.approx(0, abs=1e-6)
-    model = boosting.fit_boosted_cox(recipe_df, COVARIATES, ["id"], rounds=3, few_times=few)
+    model = boosting.fit_boosted_cox(recipe_df, COVARIATES, ["id"], rounds=3)
     assert metrics.concordance_index(model.predict(recipe_df, "risk"), "risk") > 0.62
 
 
