@@ -59,7 +59,7 @@ def frame(spark, folder):
     return materialize(attach_labels(base.outcomes(spark, folder), wide))
 
 
-def folded(spark, folder, k=3):
+def folded(spark, folder, k=5):
     labelled = frame(spark, folder).withColumn("label", F.col("event"))
     return materialize(splits.folds(labelled, ["id"], k, ["event"]))
 
@@ -245,33 +245,33 @@ def _(spark, folder):
 
 @query("gbt_oof", "id:i fold:i p:f")
 def _(spark, folder):
-    return models.out_of_fold(folded(spark, folder), None, models.gbt_classifier(FEATURES, maxIter=5), 3, "p")[0]
+    return models.out_of_fold(folded(spark, folder), None, models.gbt_classifier(FEATURES, maxIter=5), 5, "p")[0]
 
 
 @query("gbt_oof_early_stopping", "id:i fold:i p:f")
 def _(spark, folder):
     fit = models.gbt_classifier(FEATURES, validation="is_validation", maxIter=8)
-    return models.out_of_fold(folded(spark, folder), None, fit, 3, "p", early_stopping=True)[0]
+    return models.out_of_fold(folded(spark, folder), None, fit, 5, "p", early_stopping=True)[0]
 
 
 @query("logit_oof", "id:i fold:i p:f")
 def _(spark, folder):
     logged = log_copies(folded(spark, folder), ["amt_mean_all", "amt_max_all", "gap_mean"])
     columns = [f"{c}_log" if c in ("amt_mean_all", "amt_max_all", "gap_mean") else c for c in FEATURES]
-    return models.out_of_fold(logged, None, models.logistic_classifier(columns), 3, "p")[0]
+    return models.out_of_fold(logged, None, models.logistic_classifier(columns), 5, "p")[0]
 
 
 @query("test_scores_fold_mean", "id:i p:f")
 def _(spark, folder):
     df = folded(spark, folder)
     train, test = df.filter(F.col("id") % 4 != 0), df.filter(F.col("id") % 4 == 0).drop("fold")
-    return models.out_of_fold(train, test, models.logistic_classifier(FEATURES), 3, "p")[1]
+    return models.out_of_fold(train, test, models.logistic_classifier(FEATURES), 5, "p")[1]
 
 
 @query("horizon_models", "id:i s30:f s60:f s90:f")
 def _(spark, folder):
     make = lambda label: models.gbt_classifier(FEATURES, label, maxIter=4, maxDepth=3)
-    return models.horizon_models(folded(spark, folder, 2), None, make, 2)[0]
+    return models.horizon_models(folded(spark, folder), None, make, 5)[0]
 
 
 @query("model_table", "model:s auc:f ap:f p_at_10:f r_at_10:f")
@@ -329,7 +329,7 @@ def _(spark, folder):
 def _(spark, folder):
     df = frame(spark, folder)
     model = cox.fit_cox(df, COVARIATES)
-    return models.permutation_importance(df, lambda x: x.withColumn("risk", model.partial_hazard()), COVARIATES[:2], ["id"], repeats=1)
+    return models.permutation_importance(df, lambda x: x.withColumn("risk", model.partial_hazard()), COVARIATES, ["id"])
 
 
 @query("cv_c_index", "fold:i c_index:f mean:f std:f")
@@ -340,27 +340,41 @@ def _(spark, folder):
         model = cox.fit_cox(train, COVARIATES, penalizer=0.01)
         return lambda x: x.withColumn("risk", model.partial_hazard())
 
-    return models.cross_validated_concordance(df, fit, 3)
+    return models.cross_validated_concordance(df, fit, 5)
 
 
 # ---- blending and calibration --------------------------------------------------------------------------------------------------
 
 
+SIGNALS = ["recency", "risk", "weekly", "mixed"]
+
+
 def _sweep_sql() -> str:
-    ranks = """r AS (SELECT *, rank() OVER (ORDER BY 1 - s90) + (count(*) OVER (PARTITION BY s90) - 1) / 2.0 AS ra,
-        rank() OVER (ORDER BY recency) + (count(*) OVER (PARTITION BY recency) - 1) / 2.0 AS rb FROM scores)"""
-    weights = "wt AS (SELECT unnest([1.0, " + ", ".join(map(str, blend.SWEEP_WEIGHTS)) + "]) AS w)"
-    pairs = """pairs AS (SELECT wt.w, count(*) AS n, sum(CASE WHEN x > y THEN 1 WHEN x = y THEN 0.5 ELSE 0 END) AS won FROM (
-        SELECT w, w * a.ra + (1 - w) * a.rb AS x, w * b.ra + (1 - w) * b.rb AS y
-        FROM r a JOIN r b ON b.time > a.time CROSS JOIN wt WHERE a.event = 1) wt GROUP BY wt.w)"""
-    select = "SELECT CASE WHEN w = 1 THEN '' ELSE 'recency' END AS signal, w AS weight, won / n AS c_index FROM pairs"
-    return S.with_(S.OUTCOMES, base.HISTORY, base.PROBABILITIES, ranks, weights, pairs, select=select)
+    place = "CAST(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS DOUBLE)"
+    named = "sig AS (SELECT *, 1 - s90 AS risk90, recency % 7 AS weekly, (id * 37) % 101 - recency AS mixed FROM scores)"
+    columns = ", ".join(f"{place.format(c)} AS r_{c}" for c in ["risk90", *SIGNALS])
+    ranks = f"r AS (SELECT *, {columns} FROM sig)"
+    arms = " UNION ALL ".join(
+        f"SELECT time, event, '{c}' AS signal, w, w * r_risk90 + (1 - w) * r_{c} AS x FROM r, wt" for c in SIGNALS
+    )
+    weights = "wt AS (SELECT CAST(unnest([" + ", ".join(map(str, blend.SWEEP_WEIGHTS)) + "]) AS DOUBLE) AS w)"
+    blends = f"blends AS (SELECT time, event, '' AS signal, CAST(1 AS DOUBLE) AS w, risk90 AS x FROM sig UNION ALL {arms})"
+    select = """SELECT a.signal AS signal, a.w AS weight,
+        avg(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0.0 END) AS c_index
+        FROM blends a JOIN blends b ON b.signal = a.signal AND b.w = a.w AND b.time > a.time WHERE a.event = 1 GROUP BY a.signal, a.w"""
+    return S.with_(S.OUTCOMES, base.HISTORY, base.PROBABILITIES, named, ranks, weights, blends, select=select)
 
 
 @query("blend_sweep", "signal:s weight:f c_index:f", _sweep_sql())
 def _(spark, folder):
-    scored = base.survival_scores(spark, folder).withColumn("risk90", 1 - F.col("s90"))
-    return blend.blend_sweep(scored, "risk90", ["recency"], ["id"])
+    scored = base.survival_scores(spark, folder).withColumns(
+        {
+            "risk90": 1 - F.col("s90"),
+            "weekly": F.col("recency") % 7,
+            "mixed": (F.col("id") * 37) % 101 - F.col("recency"),
+        }
+    )
+    return blend.blend_sweep(scored, "risk90", SIGNALS, ["id"])
 
 
 TWO = """two AS (SELECT l.doc_id AS id, l.quality AS y, CAST(n_chars AS DOUBLE) AS a, CAST(length(source) * 1000 + l.doc_id % 977 AS DOUBLE) AS b,

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
-from ebbtide.operators.metrics import auc, concordance_index
+from ebbtide.operators.metrics import auc, concordance
 from ebbtide.operators.ranks import average_rank
 from ebbtide.session import materialize
 
@@ -52,31 +51,29 @@ def blend_sweep(
     timing: Sequence[str],
     row_id: Sequence[str],
     weights: Sequence[float] = SWEEP_WEIGHTS,
-    parallelism: int = 4,
     **concordance_options,
 ) -> DataFrame:
     """Rows ``(signal, weight, c_index, best)``: the survival risk alone and blended by rank with each signal.
 
-    Ranks are computed once; every candidate is then a column of the same materialised table. The threads
-    only submit the jobs of several candidates side by side.
+    Ranks are computed once; the candidates become rows, and one grouped concordance scores them all.
     """
     ranked = average_rank(df, survival_risk, "_r", row_id)
     for i, signal in enumerate(timing):
         ranked = average_rank(ranked, signal, f"_t{i}", row_id)
-    ranked = materialize(ranked)
-    candidates = [("", 1.0, F.col(survival_risk))]
+    candidates = [("", 1.0, F.col(survival_risk).cast("double"))]
     for i, signal in enumerate(timing):
         candidates += [(signal, float(w), w * F.col("_r") + (1 - w) * F.col(f"_t{i}")) for w in weights]
-
-    def evaluate(candidate):
-        signal, weight, blended = candidate
-        return signal, weight, concordance_index(ranked.withColumn("_blend", blended), "_blend", **concordance_options)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(evaluate, candidates))
-    best = max(range(len(rows)), key=lambda i: rows[i][2])
-    table = [(*row, int(i == best)) for i, row in enumerate(rows)]
-    return df.sparkSession.createDataFrame(table, "signal string, weight double, c_index double, best int")
+    time, event = concordance_options.get("time", "time"), concordance_options.get("event", "event")
+    blends = F.array(*[F.struct(F.lit(i).alias("candidate"), c.alias("blend")) for i, (_, _, c) in enumerate(candidates)])
+    rows = ranked.select(time, event, F.explode(blends).alias("b")).select(time, event, "b.candidate", "b.blend")
+    scored = materialize(concordance(rows, "blend", by=["candidate"], **concordance_options).select("candidate", "c_index"))
+    best = scored.orderBy(F.col("c_index").desc(), "candidate").limit(1).first()
+    names = df.sparkSession.createDataFrame(
+        [(i, signal, weight) for i, (signal, weight, _) in enumerate(candidates)], "candidate int, signal string, weight double"
+    )
+    found = names.join(F.broadcast(scored), "candidate", "left")  # one row per candidate
+    chosen = F.lit(best["candidate"] if best else 0)
+    return found.select("signal", "weight", F.coalesce("c_index", F.lit(0.5)).alias("c_index"), (F.col("candidate") == chosen).cast("int").alias("best"))
 
 
 def apply_blend(df: DataFrame, survival_risk: str, signal: str, weight: float, out: str, row_id: Sequence[str]) -> DataFrame:

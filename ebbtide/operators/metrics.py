@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +15,10 @@ from ebbtide.functions import vectors as V
 from ebbtide.operators.decisions import top_capture
 from ebbtide.operators.km import survival_table
 from ebbtide.operators.ranks import (
-    bucket_count,
     hash_rank,
+    join_null_safe,
     plain_double,
     running_totals,
-    sketch_splits,
     step_lookup,
 )
 from ebbtide.operators.skew import salted_join
@@ -203,54 +199,8 @@ def mean_time_auc(aucs: DataFrame, table: DataFrame, times: Sequence[float]) ->
 
 # ---- concordance ----------------------------------------------------------------------------------------------
 
-MAX_GRID = 512  # buckets per side, so the grid that reaches the driver has at most 512 * 512 cells
-
-
-def _dominated(time: np.ndarray, risk: np.ndarray, rows: np.ndarray, events: np.ndarray) -> float:
-    """Weighted pairs (event i, row j) with time_j > time_i and risk_j < risk_i, in O(n log^2 n).
-
-    Bits of the time rank split the pairs: two ranks first differ at exactly one bit, where the later
-    row holds the 1. For each bit one sort by (common prefix, risk) and running sums count them.
-    """
-    t = np.unique(time, return_inverse=True)[1]
-    r = np.unique(risk, return_inverse=True)[1]
-    total, levels = 0.0, int(t.max()).bit_length() if len(t) else 0
-    for level in range(levels):
-        prefix, later = t >> (level + 1), (t >> level) & 1
-        order = np.lexsort((r, prefix))
-        p, q = prefix[order], r[order]
-        weight = np.where(later[order] == 1, rows[order], 0).astype(np.float64)
-        before = np.concatenate(([0.0], np.cumsum(weight)))[:-1]
-        start = np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
-        at_tie_start = before[np.maximum.accumulate(np.where(start, np.arange(len(p)), 0))]
-        block = np.concatenate(([True], p[1:] != p[:-1]))
-        at_block_start = before[np.maximum.accumulate(np.where(block, np.arange(len(p)), 0))]
-        wanted = np.where(later[order] == 0, events[order], 0)
-        total += float(np.sum(wanted * (at_tie_start - at_block_start)))
-    return total
-
-
-def _tied(time: np.ndarray, risk: np.ndarray, rows: np.ndarray, events: np.ndarray) -> float:
-    """Weighted pairs (event i, row j) with equal risk and time_j > time_i."""
-    order = np.lexsort((-time, risk))
-    r, t = risk[order], time[order]
-    before = np.concatenate(([0.0], np.cumsum(rows[order].astype(np.float64))))[:-1]
-    group = np.concatenate(([True], r[1:] != r[:-1]))
-    tie = np.concatenate(([True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])))
-    index = np.arange(len(r))
-    at_tie = before[np.maximum.accumulate(np.where(tie, index, 0))]
-    at_group = before[np.maximum.accumulate(np.where(group, index, 0))]
-    return float(np.sum(events[order] * (at_tie - at_group)))
-
-
-def _within_risk_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    columns = [pdf[c].to_numpy() for c in ("t", "risk", "n", "ev")]
-    return pd.DataFrame({"concordant": [_dominated(*columns)], "tied": [_tied(*columns)]})
-
-
-def _within_time_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    columns = [pdf[c].to_numpy() for c in ("t", "rb", "n", "ev")]
-    return pd.DataFrame({"concordant": [_dominated(*columns)], "tied": [0.0]})
+DIGIT_BITS = 4
+DIGITS = 1 << DIGIT_BITS
 
 
 def _comparison_time(df: DataFrame, time: str, event: str, tied_times: bool) -> DataFrame:
@@ -265,90 +215,74 @@ def _comparison_time(df: DataFrame, time: str, event: str, tied_times: bool) ->
     return placed.withColumn("t", (F.col("_position") * 2 + 1 - F.col(event)).cast("double"))
 
 
-def _isolated(splits: list[float]) -> set[int]:
-    """Buckets that hold exactly one floating-point value."""
-    return {i for i, (a, b) in enumerate(zip(splits, splits[1:], strict=False)) if np.nextafter(a, np.inf) == b}
-
-
 def concordance(
     df: DataFrame,
     risk: str,
     time: str = "time",
     event: str = "event",
     tied_times: bool = False,
+    by: Sequence[str] = (),
     buckets: int | None = None,
-    exact_times: int = 128,
 ) -> DataFrame:
-    """Exact concordance index of right-censored data: ``concordant, tied_risk, comparable, c_index``.
+    """Exact concordance index of right-censored data: ``by…, concordant, tied_risk, comparable, c_index``.
 
     A pair counts when ``i`` has an event and ``j`` outlives it; with ``tied_times`` also when ``j`` is
-    censored at that very time. No pair join: rows are counted per (time, risk) and both axes cut into
-    equi-depth buckets. Pairs in different buckets on both axes follow from the small grid of bucket
-    totals; pairs sharing a risk bucket or a time bucket are counted inside that bucket. Values too
-    frequent for a bucket stand alone in one, where only ties remain and those are running sums.
+    censored at that very time. Rows without a risk, time or event take part in no pair. No pair is formed:
+    rows are counted per (time, risk), the risks are numbered in order, and the number is read as digits of
+    base ``DIGITS``. Two numbers first differ at one digit, so for every digit the rows with equal higher
+    digits are a block, and one running sum per lower digit, from the last time backwards, counts the smaller
+    risks that live longer. A block may hold the whole table: it is summed per time first and the running sums
+    are cut at time buckets, so no task holds a block. Groups of ``by`` (candidates, folds) share all steps.
     """
-    keyed = _comparison_time(df.select(time, event, risk), time, event, tied_times)
+    by = list(by)
+    whole = df.select(*by, time, event, risk).dropna(subset=[time, event, risk])
+    keyed = _comparison_time(whole, time, event, tied_times)
     counts = materialize(
-        keyed.groupBy((F.col("t") + F.lit(0.0)).alias("t"), plain_double(risk).alias("risk")).agg(
+        keyed.groupBy(*by, (F.col("t") + F.lit(0.0)).alias("t"), plain_double(risk).alias("risk")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("ev")
         )
     )
-    share = F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("comparable"))
-    c_index = F.coalesce(share, F.lit(0.5)).alias("c_index")
-    buckets = min(MAX_GRID, buckets or bucket_count(df))
-    risk_splits = sketch_splits(counts, ["risk"], buckets)["risk"][0]
-    distinct = [r[0] for r in counts.select("t").distinct().limit(exact_times + 1).collect()]
-    if len(distinct) <= exact_times:
-        inner = sorted({x for v in distinct for x in (float(v), float(np.nextafter(v, np.inf)))})
-        time_splits = [-np.inf, *inner, np.inf]
-    else:
-        time_splits = sketch_splits(counts, ["t"], buckets)["t"][0]
-    cut = Bucketizer(
-        inputCols=["risk", "t"], outputCols=["rb", "tb"], splitsArray=[risk_splits, time_splits], handleInvalid="keep"
+    later = F.col("ev").cast("double") * (F.col("cum_n") - F.col("n"))
+
+    per_time = counts.groupBy(*by, "t").agg(F.sum("n").alias("n"), F.sum("ev").alias("ev"))
+    comparable = running_totals(per_time, "t", ["n"], by, descending=True, buckets=buckets)
+    parts = [comparable.select(*by, F.lit("comparable").alias("part"), later.alias("pairs"))]
+
+    tied = running_totals(counts, "t", ["n"], [*by, "risk"], descending=True, buckets=buckets)
+    parts.append(tied.select(*by, F.lit("tied_risk").alias("part"), later.alias("pairs")))
+
+    per_risk = counts.groupBy(*by, "risk").agg(F.sum("n").alias("n"))
+    numbered = running_totals(per_risk, "risk", ["n"], by, buckets=buckets)
+    numbered = numbered.select(*by, "risk", (F.col("cum_n") - F.col("n")).alias("_number"))
+    placed = materialize(join_null_safe(counts, numbered, [*by, "risk"]))
+    last = placed.agg(F.max("_number")).first()[0] or 0
+    levels = max(1, -(-int(last).bit_length() // DIGIT_BITS))
+    shifted = lambda level: F.call_function("shiftright", F.col("_number"), (level * DIGIT_BITS).cast("int"))
+    digits = placed.select(*by, "t", "n", "ev", "_number", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level"))
+    digits = digits.withColumns(
+        {"_digit": shifted(F.col("_level")).bitwiseAND(F.lit(DIGITS - 1)), "_block": shifted(F.col("_level") + 1)}
     )
-    placed = cut.transform(counts).withColumns({"rb": F.col("rb").cast("int"), "tb": F.col("tb").cast("int")})
-
-    cells = placed.groupBy("rb", "tb").agg(F.sum("n").alias("n"), F.sum("ev").alias("ev")).toPandas()
-    grid_n = np.zeros((len(risk_splits), len(time_splits)))
-    grid_e = np.zeros_like(grid_n)
-    grid_n[cells["rb"], cells["tb"]], grid_e[cells["rb"], cells["tb"]] = cells["n"], cells["ev"]
-    later = np.cumsum(grid_n[:, ::-1], axis=1)[:, ::-1] - grid_n
-    lower_and_later = np.cumsum(later, axis=0) - later
-    concordant = float((grid_e * lower_and_later).sum())
-
-    alone_risk, alone_time = _isolated(risk_splits), _isolated(time_splits)
-    shape = "concordant double, tied double"
-    sharing = [
-        placed.filter(~F.col("rb").isin(*alone_risk) if alone_risk else F.lit(True))
-        .groupBy("rb")
-        .applyInPandas(_within_risk_bucket, shape)
-    ]
-    if len(alone_time) * 2 + 1 < len(time_splits) - 1 or len(distinct) > exact_times:
-        mixed = placed.filter(~F.col("tb").isin(*alone_time) if alone_time else F.lit(True))
-        merged = mixed.groupBy("tb", "t", "rb").agg(F.sum("n").alias("n"), F.sum("ev").alias("ev"))
-        sharing.append(merged.groupBy("tb").applyInPandas(_within_time_bucket, shape))
-    if alone_risk:
-        heavy = placed.filter(F.col("rb").isin(*alone_risk)).select("risk", "t", "n", "ev")
-        run = running_totals(heavy, "t", ["n"], ["risk"], descending=True)
-        sharing.append(
-            run.agg(
-                F.lit(0.0).alias("concordant"),
-                F.coalesce(F.sum(F.col("ev") * (F.col("cum_n") - F.col("n"))).cast("double"), F.lit(0.0)).alias("tied"),
-            )
+    at = lambda d, name: F.sum(F.when(F.col("_digit") == d, F.col(name)).otherwise(F.lit(0)))
+    below = [f"n{d}" for d in range(DIGITS - 1)]
+    block = materialize(
+        digits.groupBy(*by, "_level", "_block", "t").agg(
+            *[at(d, "n").alias(f"n{d}") for d in range(DIGITS - 1)], *[at(d, "ev").alias(f"e{d}") for d in range(1, DIGITS)]
         )
-    parts = sharing[0]
-    for part in sharing[1:]:
-        parts = parts.unionByName(part)
-    per_time = counts.groupBy("t").agg(F.sum("n").alias("n"), F.sum("ev").alias("ev"))
-    survivors = running_totals(per_time, "t", ["n"], descending=True)
-    comparable = survivors.agg(
-        F.coalesce(F.sum(F.col("ev").cast("double") * (F.col("cum_n") - F.col("n"))), F.lit(0.0)).alias("pairs")
     )
-    total = parts.agg(
-        (F.coalesce(F.sum("concordant"), F.lit(0.0)) + concordant).alias("concordant"),
-        F.coalesce(F.sum("tied"), F.lit(0.0)).alias("tied_risk"),
-    ).withColumn("comparable", comparable.scalar())
-    return total.select("*", c_index)
+    run = running_totals(block, "t", below, [*by, "_level", "_block"], descending=True, buckets=buckets)
+    smaller, pairs = F.lit(0.0), F.lit(0.0)
+    for d in range(1, DIGITS):
+        smaller = smaller + (F.col(f"cum_n{d - 1}") - F.col(f"n{d - 1}"))
+        pairs = pairs + F.col(f"e{d}") * smaller
+    parts.append(run.select(*by, F.lit("concordant").alias("part"), pairs.alias("pairs")))
+
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = ["concordant", "tied_risk", "comparable"]
+    total = union.groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.when(F.col("part") == n, F.col("pairs"))), F.lit(0.0)).alias(n) for n in names]
+    )
+    share = F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("comparable"))
+    return total.select(*by, *names, F.coalesce(share, F.lit(0.5)).alias("c_index"))
 
 
 def concordance_index(df: DataFrame, risk: str, **options) -> float:

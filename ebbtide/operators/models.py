@@ -15,13 +15,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators.decisions import monotone_probabilities
-from ebbtide.operators.metrics import classifier_metrics, concordance_index
-from ebbtide.operators.ranks import hash_rank
+from ebbtide.operators.metrics import classifier_metrics, concordance
+from ebbtide.operators.ranks import hash_order, hash_rank
 from ebbtide.operators.splits import holdout_split, sample_n, undersample
 from ebbtide.session import materialize
 
@@ -75,20 +76,25 @@ def balanced_weight(label: str = "label", rate: float = 0.5) -> Column:
     return F.when(F.col(label) == 1, F.lit((1 - rate) / rate)).otherwise(F.lit(1.0))
 
 
+def stopping_slice(row_id: Sequence[str], one_in: int = 10, seed: int = 42) -> Column:
+    """True for about one row in ``one_in``, by the md5 of the id: the rows that stop the boosting."""
+    return F.conv(F.substring(hash_order(row_id, f"{seed}-stop"), 1, 7), 16, 10).cast("int") % one_in == 0
+
+
 def out_of_fold(
-    train: DataFrame, test: DataFrame | None, fit: Fitter, k: int, out: str, fold: str = "fold", early_stopping: bool = False
+    train: DataFrame, test: DataFrame | None, fit: Fitter, k: int, out: str, fold: str = "fold", early_stopping: bool = False,
+    row_id: Sequence[str] = ("id",),
 ) -> tuple[DataFrame, DataFrame | None]:
     """Each training row is scored by the model that did not see its fold; test scores are fold means.
 
-    With ``early_stopping`` the held-out fold is handed over as rows with ``is_validation`` true.
+    With ``early_stopping`` a tenth of the training folds, by the md5 of ``row_id``, is handed over as rows with
+    ``is_validation`` true; the fold that is scored never chooses the number of trees.
     """
     parts, tested = None, test
     for i in range(k):
         held = train.filter(F.col(fold) == i)
-        if early_stopping:
-            model = fit(train.withColumn("is_validation", F.col(fold) == i))
-        else:
-            model = fit(train.filter(F.col(fold) != i))
+        seen = train.filter(F.col(fold) != i)
+        model = fit(seen.withColumn("is_validation", stopping_slice(row_id))) if early_stopping else fit(seen)
         part = score(held, model, out)
         parts = part if parts is None else parts.unionByName(part)
         if tested is not None:
@@ -273,28 +279,38 @@ def shuffle_column(df: DataFrame, column: str, row_id: Sequence[str], seed: int)
 
 
 def permutation_importance(
-    df: DataFrame, risk: Callable[[DataFrame], DataFrame], features: Sequence[str], row_id: Sequence[str], repeats: int = 5, seed: int = 42
-) -> DataFrame:
+    df: DataFrame, risk: Callable[[DataFrame], DataFrame], features: Sequence[str], row_id: Sequence[str], repeats: int = 5, seed: int = 42,
+    time: str = "time", event: str = "event",
+) -> DataFrame:
     """Rows ``(feature, importance, std)``: loss of concordance when a feature is shuffled.
 
-    ``risk`` adds a column ``risk`` to a table of features, times and events.
+    ``risk`` adds a column ``risk`` to a table of features, times and events. All shuffles are scored by one
+    grouped concordance.
     """
-    base = concordance_index(risk(df), "risk")
-    rows = []
+    needed = ["risk", time, event]
+    tables = risk(df).select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *needed)
     for f in features:
-        losses = [base - concordance_index(risk(shuffle_column(df, f, row_id, seed + r)), "risk") for r in range(repeats)]
-        rows.append((f, float(np.mean(losses)), float(np.std(losses))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, std double")
+        for r in range(repeats):
+            shuffled = risk(shuffle_column(df, f, row_id, seed + r))
+            tables = tables.unionByName(shuffled.select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *needed))
+    found = materialize(concordance(tables, "risk", time, event, by=["feature", "repeat"]))
+    whole = found.filter("feature = ''").select(F.col("c_index").alias("whole"))
+    losses = found.filter("feature != ''").join(F.broadcast(whole))  # one row
+    return losses.groupBy("feature").agg(
+        F.avg(F.col("whole") - F.col("c_index")).alias("importance"), F.stddev_pop(F.col("whole") - F.col("c_index")).alias("std")
+    )
 
 
 def cross_validated_concordance(
-    df: DataFrame, fit_risk: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], k: int = 5, fold: str = "fold"
-) -> DataFrame:
+    df: DataFrame, fit_risk: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], k: int = 5, fold: str = "fold",
+    time: str = "time", event: str = "event",
+) -> DataFrame:
     """Rows ``(fold, c_index, mean, std)``; the last two (population std) repeat over the folds."""
-    found = []
+    tables = None
     for i in range(k):
-        risk = fit_risk(df.filter(F.col(fold) != i))
-        found.append(concordance_index(risk(df.filter(F.col(fold) == i)), "risk"))
-    mean, std = float(np.mean(found)), float(np.std(found))
-    rows = [(i, c, mean, std) for i, c in enumerate(found)]
-    return df.sparkSession.createDataFrame(rows, "fold int, c_index double, mean double, std double")
+        held = fit_risk(df.filter(F.col(fold) != i))(df.filter(F.col(fold) == i)).withColumn("fold", F.lit(i))
+        held = held.select("fold", "risk", time, event)
+        tables = held if tables is None else tables.unionByName(held)
+    found = concordance(tables, "risk", time, event, by=["fold"]).select("fold", "c_index")
+    whole = W.partitionBy(F.lit(0))  # one row per fold
+    return found.select("fold", "c_index", F.avg("c_index").over(whole).alias("mean"), F.stddev_pop("c_index").over(whole).alias("std"))

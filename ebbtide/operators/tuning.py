@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ebbtide.operators.models import stopping_slice
 from ebbtide.operators.splits import holdout_split
 from ebbtide.session import materialize
 
@@ -24,6 +25,8 @@ RANGES = {
     "minInstancesPerNode": (10, 300, True),
     "subsamplingRate": (0.5, 1.0, False),
     "featureShare": (0.5, 1.0, False),
+    "minInfoGain": (1e-6, 1e-2, True),
+    "minWeightFractionPerNode": (0.0, 0.05, False),
 }
 
 
@@ -44,12 +47,14 @@ def random_search(
     df: DataFrame, features: Sequence[str], label: str, row_id: Sequence[str], trials: int = 8, rounds: int = 20, seed: int = 42,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Rows ``(trial, parameters…, auc, best_so_far)``; the hold-out stops each fit early and scores it."""
+    """Rows ``(trial, parameters…, auc, best_so_far)``; a slice of the training rows stops each fit,
+    and the hold-out, which no fit has seen, scores it."""
     staged = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(
         df.select(*row_id, *features, F.col(label).cast("int").alias("label"))
     )
     split = materialize(holdout_split(staged.select(*row_id, "features", "label"), row_id, 0.25, ["label"], seed))
-    data = split.select("features", "label", (F.col("is_test") == 1).alias("is_validation"))
+    data = split.filter("is_test = 0").select("features", "label", stopping_slice(row_id, seed=seed).alias("is_validation"))
+    held = split.filter("is_test = 1").select("features", "label")
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     drawn = draw_trials(trials, seed)
 
@@ -58,8 +63,9 @@ def random_search(
         model = GBTClassifier(
             labelCol="label", maxIter=rounds, validationIndicatorCol="is_validation", seed=seed, stepSize=p["stepSize"], maxDepth=p["maxDepth"],
             minInstancesPerNode=p["minInstancesPerNode"], subsamplingRate=p["subsamplingRate"], featureSubsetStrategy=str(p["featureShare"]),
+            minInfoGain=p["minInfoGain"], minWeightFractionPerNode=p["minWeightFractionPerNode"],
         ).fit(data)
-        return number, *[float(p[name]) for name in RANGES], float(evaluator.evaluate(model.transform(data.filter("is_validation"))))
+        return number, *[float(p[name]) for name in RANGES], float(evaluator.evaluate(model.transform(held)))
 
     # fits are Spark jobs; the threads only submit them
     with ThreadPoolExecutor(parallelism) as pool:

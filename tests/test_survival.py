@@ -58,7 +58,7 @@ def brute_force(t, e, r, tied):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"buckets": 7, "exact_times": 0}], ids=["exact_times", "bucketed"]
+    "options", [{}, {"buckets": 7}], ids=["default", "bucketed"]
 )
 @pytest.mark.parametrize("tied", [False, True])
 @pytest.mark.parametrize("kind", ["discrete", "continuous", "hot_time"])
@@ -77,6 +77,15 @@ def test_concordance_equals_pair_count(spark, kind, tied, options):
     assert (row.concordant, row.tied_risk, row.comparable) == brute_force(t, e, r, tied)
 
 
+def test_concordance_by_group_in_one_pass(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 240), "time": rng.integers(0, 30, 240), "event": rng.integers(0, 2, 240), "risk": rng.normal(size=240).round(1)})
+    pdf.loc[0, "risk"] = None
+    found = {r.g: (r.concordant, r.tied_risk, r.comparable) for r in metrics.concordance(spark.createDataFrame(pdf), "risk", by=["g"]).collect()}
+    for g, part in pdf.dropna().groupby("g"):
+        assert found[g] == brute_force(part.time.to_numpy(), part.event.to_numpy(), part.risk.to_numpy(), False)
+
+
 def test_concordance_extremes(spark):
     df = spark.createDataFrame([(float(t), 1) for t in range(1, 30)], "time double, event int")
     for expr, want in (("-time", 1.0), ("0 * time", 0.5), ("time", 0.0)):
