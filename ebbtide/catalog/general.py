@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from ebbtide.catalog.registry import query
 from ebbtide.functions import columns as C
 from ebbtide.operators import audit, quality, splits
 from ebbtide.operators.ranks import quantile_map
+from ebbtide.session import ensure_checkpoint_dir
 from ebbtide.sources import roles
-from ebbtide.sources.tables import inventory, parse_transactions, table
+from ebbtide.sources.tables import LABELS_SCHEMA, inventory, parse_transactions, read_csv, table, write_table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -111,6 +113,35 @@ def _(spark, folder):
     )
 
 
+@query(
+    "top_rows",
+    "l_orderkey:i l_linenumber:i l_extendedprice:f2",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 30",
+)
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return splits.head(lines, [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")], 30)
+
+
+@query(
+    "labels_csv",
+    "account:s days:i flag:i",
+    """SELECT 'C-' || o_custkey AS account, CAST(max(CAST(o_orderdate AS DATE)) - min(CAST(o_orderdate AS DATE)) AS BIGINT) AS days,
+      CAST(count(*) > 10 AS BIGINT) AS flag FROM orders GROUP BY o_custkey""",
+)
+def _(spark, folder):
+    """Labels written as CSV by all tasks and read back with the schema of label files."""
+    day = F.to_date("o_orderdate")
+    made = table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.datediff(F.max(day), F.min(day)).alias("DURATION_DAYS"), (F.count(F.lit(1)) > 10).cast("int").alias("EVENT_FLAG")
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/labels-{uuid.uuid4().hex}"
+    named = made.select(F.concat(F.lit("C-"), F.col("o_custkey")).alias("ACCOUNT_ID"), "DURATION_DAYS", "EVENT_FLAG")
+    write_table(named, path, "csv")
+    read = read_csv(spark, path, LABELS_SCHEMA)
+    return read.select(F.col("ACCOUNT_ID").alias("account"), F.col("DURATION_DAYS").alias("days"), F.col("EVENT_FLAG").alias("flag"))
+
+
 # ---- quality -------------------------------------------------------------------------------------------------
 
 AUDITED = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]

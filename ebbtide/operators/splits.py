@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.ranks import hash_rank
@@ -19,6 +19,11 @@ def sample_n(df: DataFrame, row_id: Sequence[str], n: int, seed: int = 42) -> Da
     return ranked.filter(F.col("_r") <= n).drop("_r", "_r_of")
 
 
+def head(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first ``k`` rows in ``order``: every task keeps its own first rows, and only those are merged."""
+    return df.orderBy(*order).limit(k)
+
+
 def holdout_split(
     df: DataFrame, row_id: Sequence[str], fraction: float = 0.25, by: Sequence[str] = (), seed: int = 42
 ) -> DataFrame:
