@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from ebbtide.catalog import sql as S
 from ebbtide.catalog.registry import query
 from ebbtide.functions.columns import apply_categories, fit_categories
@@ -76,9 +78,19 @@ def _(spark, folder):
     return network.inbound_engagement(roles.event_transactions(spark, folder), EW, exact=True)
 
 
-@query("inbound_approx", "id:i in_cnt_90d:i in_cnt_30d:i in_amt_90d:f4 in_last_d:d in_n_senders:i")
+@query(
+    "inbound_approx",
+    "id:i in_cnt_90d:i in_cnt_30d:i in_amt_90d:f4 in_last_d:d in_n_senders:i within_bound:i",
+    S.with_(S.LEDGER_TRX, select=f"SELECT *, 1 AS within_bound FROM ({S.inbound(Q)[0]})"),
+)
 def _(spark, folder):
-    return network.inbound_engagement(roles.ledger(spark, folder), Q)
+    """The sketched number of senders beside the exact one; off by five standard errors or one sender at most."""
+    trx = materialize(roles.ledger(spark, folder))
+    exact = network.inbound_engagement(trx, Q, exact=True)
+    sketch = network.inbound_engagement(trx, Q).select("id", F.col("in_n_senders").alias("sketched"))
+    gap = F.abs(F.col("sketched") - F.col("in_n_senders"))
+    close = gap <= F.greatest(F.lit(1.0), 5 * 0.02 * F.col("in_n_senders"))
+    return exact.join(sketch, "id").withColumn("within_bound", close.cast("int"))
 
 
 @query("balance_stats", S.balance_levels(EW)[1], S.with_(S.EVENTS_TRX, S.BALANCES, select=S.balance_levels(EW)[0]))

@@ -461,7 +461,24 @@ def _(spark, folder):
     return blend.banded_score(df, "hidden", "b", ["id"])
 
 
-@query("isotonic_calibration", "id:i s30:f s60:f s90:f")
+def _isotonic_sql() -> str:
+    """At each distinct score: the largest over all starts at or before it of the smallest mean up to an end at or after it."""
+    parts = []
+    for h in (30, 60, 90):
+        parts += [
+            f"p{h} AS (SELECT s{h} AS s, row_number() OVER (ORDER BY s{h}) AS k, sum(CAST(time > {h} AS INT)) AS y, count(*) AS n FROM scores GROUP BY s{h})",
+            f"c{h} AS (SELECT s, k, sum(y) OVER (ORDER BY k) AS cy, sum(n) OVER (ORDER BY k) AS cn FROM p{h})",
+            f"""m{h} AS (SELECT a.k AS a, b.k AS b, (b.cy - coalesce(z.cy, 0)) / CAST(b.cn - coalesce(z.cn, 0) AS DOUBLE) AS mean
+                FROM c{h} a JOIN c{h} b ON b.k >= a.k LEFT JOIN c{h} z ON z.k = a.k - 1)""",
+            f"""i{h} AS (SELECT s, max(low) AS g FROM (SELECT c.s AS s, m.a, min(m.mean) AS low FROM c{h} c
+                JOIN m{h} m ON m.a <= c.k AND m.b >= c.k GROUP BY c.s, m.a) GROUP BY s)""",
+        ]
+    select = """SELECT id, i30.g AS s30, least(i30.g, i60.g) AS s60, least(i30.g, i60.g, i90.g) AS s90
+        FROM scores JOIN i30 ON i30.s = s30 JOIN i60 ON i60.s = s60 JOIN i90 ON i90.s = s90"""
+    return S.with_(S.OUTCOMES, base.HISTORY, base.PROBABILITIES, *parts, select=select)
+
+
+@query("isotonic_calibration", "id:i s30:f s60:f s90:f", _isotonic_sql())
 def _(spark, folder):
     scored = base.survival_scores(spark, folder)
     return blend.calibrate(scored, scored, ["s30", "s60", "s90"], (30, 60, 90))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ebbtide.catalog import sql as S
 from ebbtide.catalog.registry import query
 from ebbtide.operators import activity, audit, blend, decisions, km, labels, metrics, ranks
+from ebbtide.session import materialize
 from ebbtide.sources import roles
 from ebbtide.sources.tables import table
 
@@ -551,9 +552,17 @@ def _(spark, folder):
     return metrics.concordance(survival_scores(spark, folder, mixed_outcomes), "risk", tied_times=True)
 
 
-@query("c_index_sampled", "pairs:i c_index:f")
+@query(
+    "c_index_sampled",
+    "c_index:f within_bound:i",
+    S.with_(S.OUTCOMES, HISTORY, PROBABILITIES, select=f"SELECT c_index, 1 AS within_bound FROM ({_concordance_sql()})"),
+)
 def _(spark, folder):
-    return metrics.sampled_concordance(survival_scores(spark, folder), "risk", ["id"], draws=200_000)
+    """The exact index, and whether the one of three million drawn pairs is within 0.005 of it."""
+    scored = materialize(survival_scores(spark, folder))
+    exact = metrics.concordance(scored, "risk").select("c_index")
+    sampled = metrics.sampled_concordance(scored, "risk", ["id"]).select("c_index").scalar()
+    return exact.withColumn("within_bound", (F.abs(F.col("c_index") - sampled) <= 0.005).cast("int"))
 
 
 COMP = """c AS (SELECT c_index FROM (%s)), i AS (SELECT (brier_30 + 2 * brier_60 + brier_90) / 4 AS ibs FROM (SELECT %s FROM scores))""" % (
@@ -893,6 +902,27 @@ def _(spark, folder):
     return km.logrank_test(two, "g")
 
 
+_THREE = """three AS (SELECT *, CASE WHEN seg IN ('BUILDING', 'MACHINERY') THEN 0 WHEN seg = 'AUTOMOBILE' THEN 1 ELSE 2 END AS k FROM grp),
+  sets AS (SELECT a.t, count(*) AS n, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1,
+      sum(event) FILTER (time = a.t) AS d, coalesce(sum(event) FILTER (time = a.t AND k = 0), 0) AS d0,
+      coalesce(sum(event) FILTER (time = a.t AND k = 1), 0) AS d1
+    FROM (SELECT DISTINCT time AS t FROM three WHERE event = 1) a JOIN three ON three.time >= a.t GROUP BY a.t),
+  scaled AS (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (CAST(n AS DOUBLE) * n * (n - 1)) ELSE 0.0 END AS c FROM sets),
+  parts AS (SELECT sum(d0 - d * n0 / CAST(n AS DOUBLE)) AS z0, sum(d1 - d * n1 / CAST(n AS DOUBLE)) AS z1,
+      sum(c * n0 * (n - n0)) AS v00, sum(c * n1 * (n - n1)) AS v11, -sum(c * n0 * n1) AS v01 FROM scaled),
+  x AS (SELECT (v11 * z0 * z0 - 2 * v01 * z0 * z1 + v00 * z1 * z1) / (v00 * v11 - v01 * v01) AS statistic FROM parts)"""
+
+
+@query(
+    "logrank_three_groups",
+    "statistic:f dof:i p_value:f",
+    S.with_(MIXED, BY_SEGMENT, _THREE, select="SELECT statistic, 2 AS dof, exp(-statistic / 2) AS p_value FROM x"),
+)
+def _(spark, folder):
+    group = F.when(F.col("seg").isin("BUILDING", "MACHINERY"), 0).when(F.col("seg") == "AUTOMOBILE", 1).otherwise(2)
+    return km.logrank_test(_grouped(spark, folder).withColumn("k", group), "k")
+
+
 @query("logrank_k_groups", "statistic:f dof:i p_value:f")
 def _(spark, folder):
     return km.logrank_test(_grouped(spark, folder), "seg")
