@@ -167,13 +167,15 @@ def _positions(df, value, row_id, buckets, seed=0):
 
 
 def hash_rank(
-    df: DataFrame, row_id: Sequence[str], out: str, seed: int | str = 42, by: Sequence[str] = (), buckets: int = 4096
+    df: DataFrame, row_id: Sequence[str], out: str, seed: int | str = 42, by: Sequence[str] = (), bucket_rows: int = 100_000
 ) -> DataFrame:
     """Reproducible random permutation: 1-based position in md5 order, inside each ``by`` group.
 
     A group may hold most of the table, so the order is cut at md5 prefixes (uniform by construction)
-    and the positions of earlier prefixes are added as offsets.
+    and the positions of earlier prefixes are added as offsets. There are so many prefixes that one holds
+    about ``bucket_rows`` rows of the whole table at most.
     """
+    buckets = max(16, math.ceil(df.count() / bucket_rows))
     keyed = df.withColumn("_key", hash_order(row_id, seed)).withColumn("_prefix", hash_bucket(F.col("_key"), buckets))
     placed = with_offsets(keyed, ["_prefix"], list(by), {"_c": F.count(F.lit(1))})
     inside = W.partitionBy(*by, "_prefix").orderBy("_key", *row_id)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ebbtide")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -26,6 +28,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf) -> SparkS
     return session
 
 
+_written: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
@@ -52,5 +57,22 @@ def materialize(df: DataFrame) -> DataFrame:
     shift values between jobs, later reads fetch only their columns, and the planner knows the size.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on exit the tables that ``materialize`` wrote inside the block.
+
+    Results read those tables, so use or write them before the block ends.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_written) > before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(hadoop).delete(path, True)

@@ -9,12 +9,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from ebbtide.session import local_session  # noqa: E402
+from ebbtide.session import local_session, scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8)
+    session = local_session(8)
+    with scratch(session):
+        yield session
 
 
 def make_survival_data(n: int = 1200, seed: int = 42) -> pd.DataFrame:

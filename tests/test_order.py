@@ -1,7 +1,9 @@
-"""Global order, quantiles, lookups and skewed joins against pandas, in both the small and the bucketed form."""
+"""Global order, quantiles, lookups and skewed joins against pandas."""
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ebbtide.operators import ranks
 from ebbtide.operators.audit import previous_in_entity
 from ebbtide.operators.skew import hot_keys, salted_join
+from ebbtide.session import materialize, scratch
 
 
 @pytest.fixture(scope="module")
@@ -111,7 +114,8 @@ def test_equal_frequency_bins_match_linear_quantile_edges(spark):
 def test_salted_join_equals_plain_join_with_a_hot_key(spark):
     left = spark.range(3000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"))
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert [r.k for r in hot_keys(left, "k").collect()] == [7]
+    assert [(r.k, r.spread) for r in hot_keys(left, "k").collect()] == [(7, 16)]
+    assert [(r.k, r.spread) for r in hot_keys(left, "k", rows_per_task=20).collect()] == [(7, 51)]
     got = salted_join(left, right, "k", ["a"]).select("a", "k", "v").toPandas().sort_values("a").reset_index(drop=True)
     want = left.join(right, "k").select("a", "k", "v").toPandas().sort_values("a").reset_index(drop=True)
     assert got.equals(want)
@@ -123,3 +127,11 @@ def test_previous_in_entity_over_buckets(spark):
     got = previous_in_entity(spark.createDataFrame(pdf), "e", "t", "v", "p", 7).toPandas().sort_values(["e", "t"])
     want = pdf.sort_values(["e", "t"]).groupby("e").v.shift(1)
     assert np.array_equal(got.p.to_numpy(np.float64), want.to_numpy(np.float64), equal_nan=True)
+
+
+def test_scratch_tables_are_dropped(spark):
+    with scratch(spark):
+        kept = materialize(spark.range(10))
+        files = [f.removeprefix("file:") for f in kept.inputFiles()]
+        assert kept.count() == 10 and all(os.path.exists(f) for f in files)
+    assert not any(os.path.exists(f) for f in files)
