@@ -48,20 +48,29 @@ def open_path(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def _pair() -> list:
+    """Page id and payload digest as one key; a null id is a value of its own."""
+    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    return [F.coalesce(F.col("page_id").cast("string"), F.lit("?")), F.sha1(payload)]
+
+
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds ``digest`` (hex SHA-1 of the payload), ``winner`` (page id of the response) and ``copies`` to pages.
+    """``page_id, url, html, digest, winner, copies``: hex SHA-1, page id of the response, rows of this id and payload.
 
-    Payloads never meet: only (digest, page id) pairs are grouped, combined on the map side, and joined back
-    on both, so copies of one payload spread over all tasks.
+    Payloads never meet: only (digest, page id) pairs are grouped, combined on the map side. They are joined
+    back on both together, so copies of one payload spread over all tasks and the html is shuffled once, by a
+    merge join at every size. ``winner`` is null for payloads that occur once or are too short.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("digest"))
-    narrow = materialize(rows.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.octet_length("html").alias("size")))
-    groups = narrow.groupBy("own_digest").agg(F.max("own_id").alias("winner"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    shared = groups.where((F.col("copies") > 1) & (F.col("size") >= least_bytes)).select(F.col("own_digest").alias("shared_digest"), "winner")
-    revisits = narrow.join(shared, F.col("own_digest") == F.col("shared_digest")).select("own_id", "own_digest", "winner").distinct()
-    same = F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
-    return rows.join(revisits, same, "left").drop("own_id", "own_digest")
+    narrow = pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("size"), _pair()[1].alias("digest"))
+    pairs = materialize(narrow.groupBy("page_id", "digest").agg(F.count("*").alias("copies"), F.max("size").alias("size")))
+    groups = pairs.groupBy("digest").agg(F.max("page_id").alias("winner"), F.sum("copies").alias("n"))
+    shared = groups.where("n > 1").select(F.col("digest").alias("shared"), "winner")
+    revisits = pairs.where(F.col("size") >= least_bytes).join(shared, F.col("digest") == F.col("shared"))
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("?")), "digest")
+    revisits = revisits.select(key.alias("own_key"), "winner", "copies")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.concat_ws(":", *_pair()).alias("key"))
+    joined = rows.join(revisits.hint("merge"), F.col("key") == F.col("own_key"), "left")
+    return joined.select("page_id", "url", "html", F.substring_index("key", ":", -1).alias("digest"), "winner", "copies")
 
 
 def record_bytes(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:
@@ -86,8 +95,8 @@ def record_bytes(page_id: int | None, url: str | None, html: str, digest: str, r
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``page_id, url, html`` as monolithic gzip archives into ``folder``; returns the table of files.
 
-    Rows are dealt by page id and sorted by it inside their task, so of rows that repeat both page id and
-    payload exactly one is the response.
+    Rows that repeat both page id and payload are gathered by both and sorted, so exactly one of them is the
+    response; all others stay where the decision left them.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,8 +125,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
             sink.close()
             yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
 
-    dealt = decide(pages, least_bytes).repartition(partitions(pages.sparkSession), "page_id").sortWithinPartitions("page_id", "digest", "url")
-    return materialize(dealt.select("page_id", "url", "html", "digest", F.col("winner")).mapInPandas(write, WRITTEN))
+    decided = decide(pages, least_bytes)
+    once = decided.where(F.coalesce("copies", F.lit(1)) == 1)
+    repeated = decided.where("copies > 1").repartition(partitions(pages.sparkSession), "page_id", "digest")
+    dealt = once.unionByName(repeated.sortWithinPartitions("page_id", "digest", "url"))
+    return materialize(dealt.select("page_id", "url", "html", "digest", "winner").mapInPandas(write, WRITTEN))
 
 
 class Inflater:
