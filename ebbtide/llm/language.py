@@ -18,9 +18,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +123,10 @@ def labelled_sample(train: DataFrame, per_language: int) -> tuple[DataFrame, lis
 
 def fit(train: DataFrame, per_language: int = 800, buckets: int = 2048, iterations: int = 15) -> LanguageModel:
     """Fit on ``text`` and ``lang`` of ``train``, from at most about ``per_language`` rows of every label."""
+    # only the driver needs these; the tasks that score stay small
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
     model = LanguageModel(buckets)
     sample, labels = labelled_sample(train, per_language)
     for label in labels:
@@ -134,9 +136,9 @@ def fit(train: DataFrame, per_language: int = 800, buckets: int = 2048, iteratio
     families = list(model.languages)
     family_index = F.create_map(*[F.lit(x) for f, ls in model.languages.items() for lang in ls for x in (lang, float(families.index(f)))])
 
-    @F.pandas_udf("array<float>")
-    def profile(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: trigram_profile(t, buckets))
+    @F.arrow_udf("array<float>")
+    def profile(texts: pa.Array) -> pa.Array:
+        return pa.array([trigram_profile(t.as_py(), buckets).astype(np.float32) for t in texts], pa.list_(pa.float32()))
 
     rows = materialize(sample.select("lang", profile("text").alias("profile"), family_index[F.col("lang")].alias("family")))
     rows = rows.withColumn("features", array_to_vector(F.col("profile").cast("array<double>")))
@@ -157,9 +159,12 @@ def identify(model: LanguageModel, text: Column) -> Column:
     """Struct ``lang_pred, score, family`` of a text column."""
     shared = model
 
-    @F.pandas_udf(RESULT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([shared.predict(t) for t in texts], columns=["lang_pred", "score", "family"])
+            found = [shared.predict(t.as_py()) for t in texts]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.string()), strict=True)]
+            yield pa.StructArray.from_arrays(arrays, names=["lang_pred", "score", "family"])
 
     return predict(text)

@@ -22,11 +22,11 @@ import hashlib
 import ipaddress
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -341,32 +341,31 @@ class Surrogates:
 
 
 def names_in(text: Column) -> Column:
-    @F.pandas_udf(NAMES)
-    def names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The names of a text column, as ``slot, name`` in lower case."""
+    kind = pa.list_(pa.struct([("slot", pa.string()), ("name", pa.string())]))
+
+    def of(text: str) -> Iterator[dict[str, str]]:
+        for entity, start, end in detect(text):
+            if entity == "person":
+                for slot, name, _, _ in name_slots(text[start:end]):
+                    yield {"slot": slot, "name": name.lower()}
+
+    @F.arrow_udf(NAMES)
+    def names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(
-                [
-                    [
-                        {"slot": slot, "name": name.lower()}
-                        for kind, start, end in detect(t or "")
-                        if kind == "person"
-                        for slot, name, _, _ in name_slots(t[start:end])
-                    ]
-                    for t in texts
-                ],
-                dtype=object,
-            )
+            yield pa.array([list(of(t.as_py() or "")) for t in texts], kind)
 
     return names(text)
 
 
-def _made(key: bytes, suffix: Callable[[pd.Series, pd.Series, pd.Series], pd.Series] | None = None):
+def _made(key: bytes):
     """Column function of ``slot, name, syllables``: the surrogate in lower case."""
 
-    @F.pandas_udf("string")
-    def made(slots: pd.Series, names: pd.Series, syllables: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def made(slots: pa.Array, names: pa.Array, syllables: pa.Array) -> pa.Array:
         keyed = Keyed(key)
-        return pd.Series([keyed.name(s, n, int(k)).lower() for s, n, k in zip(slots, names, syllables, strict=True)])
+        rows = zip(slots.to_pylist(), names.to_pylist(), syllables.to_pylist(), strict=True)
+        return pa.array([keyed.name(slot, name, int(k)).lower() for slot, name, k in rows], pa.string())
 
     return made
 
@@ -415,14 +414,19 @@ def _clashes(table: DataFrame, taken: DataFrame) -> DataFrame:
 def replace_entities(model: Surrogates, text: Column) -> Column:
     """Struct ``text, n_entities, found`` of a text column; spans are code points of the original."""
 
-    @F.pandas_udf(RESULT)
-    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf(RESULT)
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keyed = Keyed(model.key)
         for texts in batches:
-            rows = []
-            for t in texts:
-                new, found = model.replace(t, keyed) if t else (t, [])
-                rows.append((new, len(found), [{"kind": k, "start": s, "end": e} for k, s, e in found]))
-            yield pd.DataFrame(rows, columns=["text", "n_entities", "found"])
+            new, found = [], []
+            for item in texts:
+                t = item.as_py()
+                made, entities = model.replace(t, keyed) if t else (t, [])
+                new.append(made)
+                found.append([{"kind": k, "start": s, "end": e} for k, s, e in entities])
+            arrays = [pa.array(new, pa.string()), pa.array(map(len, found), pa.int32()), pa.array(found, spans)]
+            yield pa.StructArray.from_arrays(arrays, names=["text", "n_entities", "found"])
 
     return replace(text)

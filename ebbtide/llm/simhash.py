@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,7 +33,7 @@ from ebbtide.session import materialize
 
 BITS = 64
 SEED = 42
-HASHES = 1 << 17
+HASHES = 1 << 14
 BLOCK = 2048
 PARTITION_ROWS = 200_000
 
@@ -64,10 +63,10 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(text: Column, words: int = 3) -> Column:
     """The fingerprint of a text column as a signed long."""
 
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64))
 
     return of(text)
 
