@@ -98,13 +98,14 @@ def _pair(words: str, place: str, word: str, buckets: int) -> Column:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
     """``bucket, ratio``: log of the target over the raw probability, from all documents.
 
-    ``trusted`` holds the ids of the target documents. Join and counts see every row; the counts are combined
-    per task, so at most ``buckets`` rows leave a task.
+    ``trusted`` holds the ids of the target documents; it grows with the corpus, so it is met by a merge join at
+    every size. Join and counts see every row; the counts are combined per task, so at most ``buckets`` rows
+    leave a task.
     """
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     marked = (
         docs.select("doc_id", "text")
-        .join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+        .join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
         .select(F.col("trusted_id").isNotNull().cast("int").alias("trusted"), words_of(F.col("text")).alias("words"))
         .select("trusted", "words", F.posexplode("words").alias("place", "word"))
     )
