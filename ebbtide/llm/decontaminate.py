@@ -127,7 +127,7 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
     hits = wanted.join(postings, ["key", "fp", "term_id", "position"])
     full = (
         hits.groupBy("key", "fp", "window_id", "start")
-        .agg(F.count_distinct("place").alias("near"), F.sum((F.col("shift") == 0).cast("int")).alias("in_place"))
+        .agg(F.count_distinct("place").alias("near"), F.count_distinct(F.when(F.col("shift") == 0, F.col("place"))).alias("in_place"))
         .withColumnsRenamed({"key": "hit_key", "fp": "hit_fp", "window_id": "hit_window", "start": "hit_start"})
     )
     same = (
