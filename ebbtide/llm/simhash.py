@@ -250,7 +250,11 @@ def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
 
     A null id comes last. Of rows equal in id and text one stays, whichever their other columns.
     """
-    found = materialize(grouped(docs.select("doc_id", "text"), radius, words))
+    return keep_first(docs, materialize(grouped(docs.select("doc_id", "text"), radius, words)))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row that ``keep_one`` keeps of every ``root`` of ``found`` (``doc_id, text_hash, root`` of every row)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
     winners = materialize(found.groupBy("root").agg(first).select("first.*"))
     kept = _semi(docs, winners)
