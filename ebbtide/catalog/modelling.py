@@ -495,13 +495,13 @@ def _(spark, folder):
 def _(spark, folder):
     df = frame(spark, folder)
     train, test = df.filter(F.col("id") % 4 != 0), df.filter(F.col("id") % 4 == 0)
-    return plan.run(train, test, FEATURES, folds=2, trees=2, rounds=2).submission
+    return plan.run(train, test, FEATURES).submission
 
 
 def _churn(spark, folder, blocks=None):
     df = frame(spark, folder).withColumn("label", F.col("event")).drop("time", "event")
     train, test = df.filter(F.col("id") % 4 != 0), df.filter(F.col("id") % 4 == 0).drop("label")
-    return churn.run(train, test, FEATURES, blocks=blocks, logged=["amt_mean_all", "gap_mean"], folds=2, trees=2)
+    return churn.run(train, test, FEATURES, blocks=blocks, logged=["amt_mean_all", "gap_mean"])
 
 
 @query("churn_plan", "ACCOUNT_ID:i CHURN_PROB:f")
