@@ -134,7 +134,7 @@ def _(spark, folder):
 
 @query("cox_elastic_net", "alpha:f feature:s coef:f")
 def _(spark, folder):
-    return cox.fit_elastic_net(frame(spark, folder), COVARIATES, n_alphas=3)
+    return cox.fit_elastic_net(frame(spark, folder), COVARIATES)
 
 
 # ---- parametric -------------------------------------------------------------------------------------------------------
@@ -224,19 +224,19 @@ def _(spark, folder):
 
 @query("hazard_gbt", "id:i risk:f surv_1:f surv_3:f surv_5:f")
 def _(spark, folder):
-    return _hazard(spark, folder, "gbt", maxIter=8)
+    return _hazard(spark, folder, "gbt")
 
 
 @query("boosted_cox", "id:i risk:f")
 def _(spark, folder):
     df = frame(spark, folder)
-    return boosting.fit_boosted_cox(df, FEATURES, ["id"], rounds=8).predict(df, "risk")
+    return boosting.fit_boosted_cox(df, FEATURES, ["id"]).predict(df, "risk")
 
 
 @query("boosted_aft", "id:i risk:f")
 def _(spark, folder):
     df = frame(spark, folder)
-    fitted = boosting.fit_boosted_aft(df, FEATURES, ["id"], rounds=8).predict(df, "log_time")
+    fitted = boosting.fit_boosted_aft(df, FEATURES, ["id"]).predict(df, "log_time")
     return fitted.withColumn("risk", -F.col("log_time"))
 
 
@@ -245,12 +245,12 @@ def _(spark, folder):
 
 @query("gbt_oof", "id:i fold:i p:f")
 def _(spark, folder):
-    return models.out_of_fold(folded(spark, folder), None, models.gbt_classifier(FEATURES, maxIter=5), 5, "p")[0]
+    return models.out_of_fold(folded(spark, folder), None, models.gbt_classifier(FEATURES), 5, "p")[0]
 
 
 @query("gbt_oof_early_stopping", "id:i fold:i p:f")
 def _(spark, folder):
-    fit = models.gbt_classifier(FEATURES, validation="is_validation", maxIter=8)
+    fit = models.gbt_classifier(FEATURES, validation="is_validation")
     return models.out_of_fold(folded(spark, folder), None, fit, 5, "p", early_stopping=True)[0]
 
 
@@ -270,20 +270,20 @@ def _(spark, folder):
 
 @query("horizon_models", "id:i s30:f s60:f s90:f")
 def _(spark, folder):
-    make = lambda label: models.gbt_classifier(FEATURES, label, maxIter=4, maxDepth=3)
+    make = lambda label: models.gbt_classifier(FEATURES, label)
     return models.horizon_models(folded(spark, folder), None, make, 5)[0]
 
 
-@query("model_table", "model:s auc:f ap:f p_at_10:f r_at_10:f")
+@query("model_table", "model:s auc:f ap:f p_at_10:f r_at_10:f fit_min:f")
 def _(spark, folder):
-    fits = {"gbt": models.gbt_classifier(FEATURES, maxIter=4), "logistic": models.logistic_classifier(FEATURES)}
-    return models.compare_models(folded(spark, folder, 2), fits, 2, "label", ["id"])[1]
+    fits = {"gbt": models.gbt_classifier(FEATURES), "logistic": models.logistic_classifier(FEATURES)}
+    return models.compare_models(folded(spark, folder), fits, 5, "label", ["id"])[1]
 
 
 @query("imbalance_table", "variant:s auc:f ap:f p_at_10:f r_at_10:f")
 def _(spark, folder):
     df = frame(spark, folder).withColumn("label", F.col("event"))
-    return models.imbalance_table(df, FEATURES, "label", ["id"], maxIter=4)
+    return models.imbalance_table(df, FEATURES, "label", ["id"])
 
 
 @query("smote", "label:i recency_days:f cnt_all:f amt_mean_all:f")
@@ -295,12 +295,12 @@ def _(spark, folder):
 @query("adversarial_validation", "auc:f shift:i")
 def _(spark, folder):
     df = frame(spark, folder)
-    return models.adversarial_validation(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), FEATURES, ["id"], maxIter=4)
+    return models.adversarial_validation(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), FEATURES, ["id"])
 
 
 @query("tuning_trials", "trial:i stepSize:f maxDepth:f minInstancesPerNode:f subsamplingRate:f featureShare:f auc:f best_so_far:f")
 def _(spark, folder):
-    return tuning.random_search(frame(spark, folder), FEATURES, "event", ["id"], trials=4, rounds=4)
+    return tuning.random_search(frame(spark, folder), FEATURES, "event", ["id"])
 
 
 def _gbt(df, **params):
