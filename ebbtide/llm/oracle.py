@@ -136,8 +136,64 @@ FROM ranked WHERE upto - n_tokens < rest
 """
 
 
+NEIGHBOURS = r"""
+WITH sound AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sized AS (
+  SELECT vec_id, v, list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b) AS square
+  FROM sound WHERE len(v) = (SELECT len(v) FROM sound GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+pairs AS (
+  SELECT q.vec_id AS query_id, hash(q.v) AS mark, c.vec_id,
+    list_reduce(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i]), lambda a, b: a + b) / (sqrt(q.square) * sqrt(c.square)) AS score
+  FROM sized q JOIN sized c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, mark ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+IMPORTANCE = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row, 0 AS kind, text FROM documents
+  UNION ALL SELECT NULL, row_number() OVER (), 1, text FROM benchmark),
+split AS (
+  SELECT doc_id, row, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT row, kind, array_to_string(w[i : i + k - 1], ' ') AS run
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 4) AS sizes(k) WHERE len(w) >= k)),
+counted AS (SELECT row, kind, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (
+  SELECT run, hex(encode(run)) AS code FROM (SELECT DISTINCT run FROM counted)),
+buckets AS (
+  SELECT run, xor(4294967295, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(code) // 2), lambda i: 
+        CAST((instr('0123456789ABCDEF', code[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', code[2 * i + 2]) - 1 AS BIGINT))),
+      lambda c, byte: list_reduce([xor(c, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, ignored: xor(x >> 1, 3988292384 * (x & 1))))) % 10000 AS bucket
+  FROM coded),
+frequencies AS (
+  SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM counted JOIN buckets USING (run) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM frequencies),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000)
+    / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM frequencies, totals),
+weights AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM counted JOIN buckets USING (run) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, row, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8]) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (row) WHERE kind = 0),
+entrants AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN entrants USING (row)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": CHAT,
     "op3_decontaminate": DECONTAMINATE,
     "op8_warc": WARC,
+    "op12_neighbours": NEIGHBOURS,
+    "op13_importance": IMPORTANCE,
 }

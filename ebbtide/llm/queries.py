@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import chat, compression, decontaminate, language, mixing, pii, rules, secrets, simhash, warc
+from ebbtide.llm import chat, compression, decontaminate, importance, language, mixing, pii, rules, secrets, simhash, vptree, warc, whitening
 from ebbtide.llm.common import read, remainder
 from ebbtide.llm.oracle import ORACLES, mixing_sql
 
@@ -19,6 +19,9 @@ LANGUAGES = {"en": 4, "de": 2, "fr": 2, "es": 1}
 SOURCES = {"src0": 1, "src1": 3, "src2": 2}
 MAX_EPOCHS = 3
 
+#: Every row whose id is divisible by this is a query; relaxation factor of an exact search.
+QUERY_STEP, EXACT = 50, 1.0
+
 #: Key of the registered query; a deployment passes its own secret.
 PII_KEY = b"key of the registered query"
 
@@ -113,6 +116,20 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"), domain_of_source(), weights, (1, 1), MAX_EPOCHS, seed=1)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(read(spark, folder, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.neighbours(read(spark, folder, "embeddings"), lambda i: i % QUERY_STEP == 0, k=5, factor=EXACT)
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    found = importance.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"), share=(5, 100))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -126,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_quality,
         op10_mix,
+        op11_whitening,
+        op12_neighbours,
+        op13_importance,
     )
 }
 
