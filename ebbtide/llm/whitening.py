@@ -1,11 +1,12 @@
 """Embedding whitening by Golub-Kahan-Lanczos bidiagonalisation.
 
 Entries become integers (``floor(SCALE * c) + SHIFT``), so counts, sums and centred rows ``n * x - S`` are exact.
-The centred rows X are written once in blocks. Every step is two distributed products: X v, made orthogonal to
-all earlier left vectors, then its transpose, made orthogonal to all earlier right vectors. Left vectors are as
-long as the corpus; none is stored, each is kept by its coefficients on the columns of X, and tasks recompute
-what they need of it from their rows, so a lost executor loses nothing. A task sends sums of a few lengths of a
-vector. The bidiagonal matrix, as small as the dimension, is decomposed on the driver: its right vectors give the
+The centred rows X are written once in blocks. Every step is one distributed pass with two products: u = X v, with
+its parts along all earlier left vectors, and the transpose of X times u; u is made orthogonal to all earlier left
+vectors (in another pass too, where they took a noticeable part of it) and the next v to all earlier right ones.
+Left vectors are as long as the corpus; none is stored, each is kept by its coefficients on the columns of X, and
+tasks recompute what they need of it from their rows, so a lost executor loses nothing. A task reads many blocks
+and sends one vector of sums, about twice the dimension long; there are ``WAVES`` tasks per core at most. The bidiagonal matrix, as small as the dimension, is decomposed on the driver: its right vectors give the
 components, its singular values the deviations.
 
 The steps end when the wanted components have converged and all the variance that no step has seen is smaller
@@ -27,8 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,8 @@ COMPONENTS = 8
 BLOCK_BYTES = 1 << 20
 FLAT = 1e-9
 TINY = 1e-13
+LEAN = 1e-3
+WAVES = 4
 SEED = 42
 
 
@@ -105,7 +107,7 @@ def _integers(block: pa.Scalar, width: int) -> np.ndarray:
 
 
 def block_total(blocks: DataFrame, n: int, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of ``part(centred rows)``, a vector, over all blocks; one vector leaves a task."""
+    """Sum of ``part(centred rows)``, a vector, over all blocks, task by task in order; one vector leaves a task."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -114,10 +116,12 @@ def block_total(blocks: DataFrame, n: int, width: int, part: Callable[[np.ndarra
                 found = part(_integers(block, width) / n)
                 total = found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+            task = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.RecordBatch.from_arrays([task, pa.array([total.tolist()], pa.list_(pa.float64()))], names=["task", "total"])
 
-    partial = blocks.select("block").mapInArrow(summed, "total array<double>")
-    return partial.select(array_to_vector("total").alias("total")).agg(Summarizer.sum(F.col("total")).alias("total")).first().total.toArray()
+    tasks = WAVES * blocks.sparkSession.sparkContext.defaultParallelism
+    partial = blocks.select("block").coalesce(tasks).mapInArrow(summed, "task int, total array<double>").collect()
+    return np.array([row.total for row in sorted(partial)]).sum(0)
 
 
 def _outside(basis: list[np.ndarray], v: np.ndarray) -> np.ndarray:
@@ -148,17 +152,18 @@ def bidiagonalise(
     while total > 0:
         j = len(alphas)
         q = v - betas[-1] * P[:, -1] if j else v
-        if j:
-            q = q - P @ product(lambda y, q=q, P=P: (y @ P).T @ (y @ q))
-
-        def second(y: np.ndarray, q=q, P=P) -> np.ndarray:
-            u = y @ q
-            return np.concatenate([[u @ u], (y @ P).T @ u, y.T @ u])
-
-        found = product(second)
-        rest = found[1 : 1 + j]  # what rounding left along the earlier left vectors
-        q, z = q - P @ rest, found[1 + j :] - Z @ rest
-        alpha = math.sqrt(max(0.0, found[0] - rest @ rest))
+        while True:
+
+            def both(y: np.ndarray, q=q, P=P) -> np.ndarray:
+                u = y @ q
+                return np.concatenate([[u @ u], (y @ P).T @ u, y.T @ u])
+
+            found = product(both)
+            along = found[1 : 1 + j]  # parts along the earlier left vectors, taken off u, and off its image through Z
+            alpha = math.sqrt(max(0.0, found[0] - along @ along))
+            q, z = q - P @ along, found[1 + j :] - Z @ along
+            if alpha <= tiny or np.linalg.norm(along) <= LEAN * alpha:
+                break
         if alpha <= tiny:
             alpha, q, z = 0.0, np.zeros(width), np.zeros(width)
         else:
