@@ -12,7 +12,10 @@ files that no table names.
 
 Defined results: a null payload is empty; records of equal payload of at least ``least_bytes`` bytes have one
 response, the one with the largest page id (of equal rows one is the response), the others are revisits
-without payload that name it; smaller ones are all responses; an empty table gives no archives.
+without payload that name it; smaller ones are all responses; an empty table gives no archives. Ids are 64-bit
+integers throughout, and a null id is written and read back as null. A task holds one payload while writing, pieces
+of one while normalising, and one record while reading. Columns other than ``page_id, url, html`` are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,8 @@ ARCHIVE_BYTES = 64 << 20
 WRITTEN = "path string, records long, bytes long"
 NORMALISED = "path string, sidecar string, records long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, path string, offset long"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+RECORD_FIELDS = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in RECORD.split(", ")])
 STAMP = datetime(2020, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -99,37 +104,37 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     response; all others stay where the decision left them.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = open_path(folder)
         sink = packer = path = None
         records = size = 0
         before = None
         for batch in batches:
-            for page_id, url, html, digest, winner in batch.itertuples(index=False):
-                page_id, winner = (None if pd.isna(x) else int(x) for x in (page_id, winner))
+            for page_id, url, html, digest, winner in zip(*batch.columns, strict=True):  # ids stay integers, one html is held
+                page_id, digest, winner = page_id.as_py(), digest.as_py(), winner.as_py()
                 first, before = (page_id, digest) != before, (page_id, digest)
                 revisit = winner is not None and not (winner == page_id and first)
                 if sink is None:
                     path, records, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     sink, packer = system.open_output_stream(path, compression=None), zlib.compressobj(6, zlib.DEFLATED, GZIP)
-                record = record_bytes(page_id, url, html, digest, winner if revisit else None)
+                record = record_bytes(page_id, url.as_py(), html.as_py(), digest, winner if revisit else None)
                 sink.write(packer.compress(record))
                 records, size = records + 1, size + len(record)
                 if size >= archive_bytes:
                     sink.write(packer.flush())
                     sink.close()
                     sink = None
-                    yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
+                    yield _row(path=path, records=records, bytes=size)
         if sink is not None:
             sink.write(packer.flush())
             sink.close()
-            yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
+            yield _row(path=path, records=records, bytes=size)
 
     decided = decide(pages, least_bytes)
     once = decided.where(F.coalesce("copies", F.lit(1)) == 1)
     repeated = decided.where("copies > 1").repartition(partitions(pages.sparkSession), "page_id", "digest")
     dealt = once.unionByName(repeated.sortWithinPartitions("page_id", "digest", "url"))
-    return materialize(dealt.select("page_id", "url", "html", "digest", "winner").mapInPandas(write, WRITTEN))
+    return materialize(dealt.select("page_id", "url", "html", "digest", "winner").mapInArrow(write, WRITTEN))
 
 
 class Inflater:
@@ -207,10 +212,10 @@ def normalise_file(source, sink) -> Iterator[dict]:
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite every archive of ``path`` record by record into ``folder``; returns new paths and sidecars."""
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = open_path(folder)
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column(0).to_pylist():
                 target, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                 with (
                     system.open_input_stream(path, compression=None) as source,
@@ -220,10 +225,10 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     for entry in normalise_file(source, sink):
                         sidecar.write(json.dumps(entry).encode() + b"\n")
                         n += 1
-                yield pd.DataFrame({"path": [target], "sidecar": [target + ".cdxj"], "records": [n]})
+                yield _row(path=target, sidecar=target + ".cdxj", records=n)
 
     dealt = archives.select("path").repartition(partitions(archives.sparkSession), "path")
-    return materialize(dealt.mapInPandas(rewrite, NORMALISED))
+    return materialize(dealt.mapInArrow(rewrite, NORMALISED))
 
 
 def parse_record(data: bytes) -> dict:
@@ -253,11 +258,9 @@ def parse_record(data: bytes) -> dict:
 
 def read_archives(normalised: DataFrame, payloads: bool = True) -> DataFrame:
     """Read all records through the sidecars, each member inflated on its own and checked against its digest."""
-    names = [c.split()[0] for c in RECORD.split(", ")]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, sidecar in batch[["path", "sidecar"]].itertuples(index=False):
+            for path, sidecar in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, _ = fs.FileSystem.from_uri(path) if "://" in path else (open_path(root)[0], path)
                 held, size = [], 0
                 with system.open_input_stream(sidecar, compression=None) as lines, system.open_input_file(path) as archive:
@@ -268,18 +271,17 @@ def read_archives(normalised: DataFrame, payloads: bool = True) -> DataFrame:
                         size += record["payload_bytes"] + 256
                         held.append(record | {"path": path, "offset": entry["offset"]} | ({} if payloads else {"payload": None}))
                         if size >= CHUNK * 16:
-                            yield _frame(held, names)
+                            yield pa.RecordBatch.from_pylist(held, RECORD_FIELDS)
                             held, size = [], 0
                 if held:
-                    yield _frame(held, names)
+                    yield pa.RecordBatch.from_pylist(held, RECORD_FIELDS)
 
     root = archive_root(normalised.sparkSession)
-    return normalised.select("path", "sidecar").repartition(partitions(normalised.sparkSession), "path").mapInPandas(read, RECORD)
+    return normalised.select("path", "sidecar").repartition(partitions(normalised.sparkSession), "path").mapInArrow(read, RECORD)
 
 
-def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "offset": "Int64"})
+def _row(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([values])
 
 
 def _lines(stream) -> Iterator[bytes]:

@@ -31,19 +31,33 @@ def test_columns_stay(stages):
 
 
 def test_language_stage(stages):
+    """Every document with a letter stays; a null language becomes the predicted one."""
     before, after = stages[0]
-    assert ids(after) == sorted(r.doc_id for r in before.collect() if r.text and any(map(str.isalpha, r.text)))
+    kept = {r.doc_id: r for r in before.collect() if r.text and any(map(str.isalpha, r.text))}
+    model = language.fit(before.select("text", "lang"))
+    expected = {d: r.lang or model.predict(r.text)[0] for d, r in kept.items()}
+    assert {r.doc_id: r.lang for r in after.collect()} == expected
+
+
+def test_language_stage_fills_null_languages(spark, awkward):
+    """The prediction stands where the language is unknown, and nowhere else."""
+    model = language.fit(awkward.select("text", "lang"))
+    found = corpus_pipeline.language_id(spark, awkward, FOLDER)
+    assert found.dtypes == awkward.dtypes
+    told = [r for r in awkward.collect() if r.text and any(map(str.isalpha, r.text))]
+    expected = [r.lang or model.predict(r.text)[0] for r in told]
+    assert sorted(r.lang for r in found.collect()) == sorted(expected) and any(r.lang is None for r in told)
 
 
 def test_simhash_stage(stages):
+    """One document of each group linked by five-word similarity of 0.8 or more: the one of the smallest id."""
     before, after = stages[1]
-    from .test_simhash import brute_groups, slow_fingerprint
+    from .test_shingles import brute_groups
 
-    prints = {r.doc_id: slow_fingerprint(r.text) for r in before.collect()}
-    group, least = brute_groups(prints.values()), {}
-    for d, f in sorted(prints.items(), reverse=True):
-        least[group[f]] = d
-    assert ids(after) == sorted(least.values())
+    group, least = brute_groups([(r.doc_id, r.text) for r in before.collect()]), {}
+    for d, g in sorted(group.items(), reverse=True):
+        least[g] = d
+    assert ids(after) == sorted(least.values()) and len(least) < len(group)
 
 
 def test_decontamination_stage(spark, stages):

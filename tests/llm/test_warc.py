@@ -8,6 +8,7 @@ import json
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import warc
 
@@ -97,3 +98,33 @@ def test_broken_archives_are_refused():
 
 def test_empty_table(spark):
     assert warc.read_archives(archive(spark, pages(spark).limit(0))[1]).count() == 0
+
+
+def test_large_ids_and_nulls_in_one_batch(spark):
+    """Ids beyond 2^53 stay whole beside null ids, and no payload is lost."""
+    base = 1 << 53
+    rows = [(base + 1, "u", "<p>same</p>"), (base + 3, "u", "<p>same</p>"), (None, "u", "<p>same</p>"), (None, "u", None), (base + 5, None, "own")]
+    rows += [(9_223_372_036_854_775_807, "u", "<p>last</p>"), (9_223_372_036_854_775_806, "u", "<p>last</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = warc.read_archives(archive(spark, frame)[1]).collect()
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in found), key=repr)
+    big = 9_223_372_036_854_775_807
+    expected = [
+        (base + 1, "revisit", base + 3, None),
+        (base + 3, "response", None, b"<p>same</p>"),
+        (None, "revisit", base + 3, None),
+        (None, "response", None, b""),
+        (base + 5, "response", None, b"own"),
+        (big, "response", None, b"<p>last</p>"),
+        (big - 1, "revisit", big, None),
+    ]
+    assert got == sorted(expected, key=repr)
+
+
+def test_very_long_payload_and_clashing_columns(spark):
+    frame = pages(spark).withColumns({c: F.lit("clash") for c in ("winner", "copies", "key", "size", "path", "own_key", "shared")})
+    long = spark.createDataFrame([(70, "http://l", "line \u00e9\n" * 900_000)], "page_id long, url string, html string")
+    found = warc.read_archives(archive(spark, frame.unionByName(long, allowMissingColumns=True))[1]).collect()
+    assert len(found) == 11
+    (one,) = [r for r in found if r.page_id == 70]
+    assert one.payload_bytes == 900_000 * 8 == len(one.payload)
