@@ -167,4 +167,5 @@ def identify(model: LanguageModel, text: Column) -> Column:
             arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.string()), strict=True)]
             yield pa.StructArray.from_arrays(arrays, names=["lang_pred", "score", "family"])
 
-    return predict(text)
+    # a deterministic one would be evaluated again in a filter on its result
+    return predict.asNondeterministic()(text)
