@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ebbtide.catalog import sql as S
 from ebbtide.catalog import targets as base
 from ebbtide.catalog.registry import query
-from ebbtide.operators import activity, audit, blend, boosting, cox, km, metrics, models, parametric, splits, tuning
+from ebbtide.operators import activity, audit, blend, boosting, cox, histboost, km, metrics, models, parametric, splits, tuning
 from ebbtide.operators.assemble import attach_labels
+from ebbtide.operators.histboost import Target
 from ebbtide.operators.quality import apply_scaler, fit_scaler, log_copies
 from ebbtide.plans import churn
 from ebbtide.plans import survival as plan
@@ -245,13 +246,17 @@ def _(spark, folder):
 
 @query("gbt_oof", "id:i fold:i p:f")
 def _(spark, folder):
-    return models.out_of_fold(folded(spark, folder), None, models.gbt_classifier(FEATURES), 5, "p")[0]
+    return _boosted_folds(spark, folder, Target("p", label="label", rounds=20))
 
 
 @query("gbt_oof_early_stopping", "id:i fold:i p:f")
 def _(spark, folder):
-    fit = models.gbt_classifier(FEATURES, validation="is_validation")
-    return models.out_of_fold(folded(spark, folder), None, fit, 5, "p", early_stopping=True)[0]
+    return _boosted_folds(spark, folder, Target("p", label="label", rounds=20, stopping=True))
+
+
+def _boosted_folds(spark, folder, target, k=5):
+    df = folded(spark, folder).withColumn("is_validation", models.stopping_slice(["id"]))
+    return histboost.fit(df, FEATURES, [target], ["id"], "fold", k, validation="is_validation").out_of_fold(df)
 
 
 @query("logit_oof", "id:i fold:i p:f")

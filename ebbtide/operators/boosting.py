@@ -1,29 +1,23 @@
-"""Survival trees and boosting, re-aimed at Spark ML trees.
+"""Person-period models on Spark ML trees, and boosting on survival likelihoods.
 
-Hazard forests and hazard boosting classify person-period rows; boosted Cox and boosted AFT fit
-regression trees to the gradient of their likelihood, which per round is one aggregation over event
-times (Cox) or a column expression (AFT). Results are not numerically those of other libraries.
+Hazard forests and hazard boosting classify person-period rows; boosted Cox and boosted AFT are histogram
+boosters (``histboost``). Results are not numerically those of other libraries.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.functions.columns import left_closed_bin
-from ebbtide.operators.parametric import SHORTEST, _normal_tail
-from ebbtide.operators.ranks import running_totals
+from ebbtide.operators import histboost
+from ebbtide.operators.histboost import HistogramModel, Target
 from ebbtide.session import materialize
 
 # ---- person-period models ---------------------------------------------------------------------------------------
@@ -93,90 +87,33 @@ def fit_hazard_model(
 
 @dataclass
 class BoostedModel:
-    """``start + rate * sum of trees``; for AFT the value is ln(time), for Cox the log risk."""
+    """A histogram booster; for AFT the value is ln(time), for Cox the log risk."""
 
-    features: list[str]
-    start: float
-    rate: float
-    trees: list
+    fitted: HistogramModel
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
-        kept = df.columns
-        scored = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df)
-        scored = scored.withColumn(out, F.lit(self.start))
-        for i, tree in enumerate(self.trees):
-            tree.setFeaturesCol("_x").setPredictionCol(f"_t{i}")
-            scored = tree.transform(scored).withColumn(out, F.col(out) + self.rate * F.col(f"_t{i}")).drop(f"_t{i}")
-        return scored.select(*kept, out)
-
-
-def _boost(rows: DataFrame, residual, rounds: int, rate: float, depth: int, subsample: float, seed: int, keep_every: int = 5):
-    """Fit trees to ``residual(rows)``, which adds column ``r`` from the running score ``f``."""
-    trees = []
-    for i in range(rounds):
-        target = residual(rows)
-        keep = F.pmod(F.xxhash64("_row", F.lit(seed), F.lit(i)), F.lit(1_000_000)) < int(subsample * 1_000_000)
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="r", predictionCol="_p", maxDepth=depth, minInstancesPerNode=10, seed=seed)
-        fitted = tree.fit(target.filter(keep))
-        trees.append(fitted)
-        rows = fitted.transform(rows).withColumn("f", F.col("f") + rate * F.col("_p")).drop("_p")
-        if (i + 1) % keep_every == 0 and i + 1 < rounds:
-            rows = materialize(rows)  # cut the growing chain of trees
-    return trees
-
-
-def _training_rows(df: DataFrame, features: Sequence[str], time: str, event: str, start: float, row_id: Sequence[str]) -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(df)
-    return materialize(
-        assembled.select(
-            "_x", F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.xxhash64(*row_id).alias("_row"), F.lit(start).alias("f")
-        )
-    )
+        """Adds ``out``: the score, or the mean over the folds of a fit by folds."""
+        return self.fitted.mean_score(df).withColumnRenamed(_SCORE, out)
 
 
-def martingale_residuals(rows: DataFrame) -> DataFrame:
-    """``r`` = event minus expected events under the current log risk ``f`` (Breslow)."""
-    per_time = materialize(_event_times(rows, "t"))
-    risk = running_totals(per_time, "t", ["w"], descending=True)
-    steps = risk.select("t", (F.col("d") / F.col("cum_w")).alias("h"))
-    hazard = running_totals(steps, "t", ["h"]).select("t", F.col("cum_h").alias("h0"))
-    # every time of the rows is a time of the table; a frequent one is split by the skew join
-    found = rows.join(hazard, "t")
-    return found.withColumn("r", F.col("e") - F.exp("f") * F.col("h0")).drop("h0")
-
-
-def _event_times(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.sum(F.exp("f")).alias("w"), F.sum(F.col("e").cast("double")).alias("d"))
+_SCORE = "__boosted"
 
 
 def fit_boosted_cox(
     df: DataFrame, features: Sequence[str], row_id: Sequence[str], rounds: int = 50, rate: float = 0.1, depth: int = 3,
     subsample: float = 0.8, seed: int = 42, time: str = "time", event: str = "event",
 ) -> BoostedModel:
-    """Trees on martingale residuals, the negative gradient of the Cox loss; higher score = sooner event."""
-    rows = _training_rows(df.withColumn("_time", F.greatest(F.col(time), F.lit(1))), features, "_time", event, 0.0, row_id)
-    return BoostedModel(list(features), 0.0, rate, _boost(rows, martingale_residuals, rounds, rate, depth, subsample, seed))
-
-
-@F.pandas_udf(T.DoubleType())
-def _aft_gradient(z: pd.Series, event: pd.Series) -> pd.Series:
-    """Derivative of the normal AFT log-likelihood by the location, per unit of scale."""
-    zv, ev = z.to_numpy(np.float64), event.to_numpy()
-    return pd.Series(np.where(ev == 1, zv, _normal_tail(zv)[1]))
+    """Newton trees on the Cox partial likelihood; higher score = sooner event."""
+    target = Target(_SCORE, "cox", rounds=rounds, depth=depth, rate=rate)
+    return BoostedModel(histboost.fit(df, features, [target], row_id, time=time, event=event, subsample=subsample, seed=seed))
 
 
 def fit_boosted_aft(
     df: DataFrame, features: Sequence[str], row_id: Sequence[str], rounds: int = 50, rate: float = 0.1, depth: int = 3,
     subsample: float = 0.8, sigma: float = 1.0, seed: int = 42, time: str = "time", event: str = "event",
 ) -> BoostedModel:
-    """Trees on the gradient of the normal AFT loss over ln(time); censored rows are lower bounds."""
-    positive = df.withColumn("_time", F.ln(F.greatest(F.col(time).cast("double"), F.lit(SHORTEST))))
-    start = float(positive.agg(F.avg("_time")).first()[0])
-    rows = _training_rows(positive, features, "_time", event, start, row_id)
-
-    def residual(current: DataFrame) -> DataFrame:
-        return current.withColumn("r", _aft_gradient((F.col("t") - F.col("f")) / sigma, F.col("e")) / sigma)
-
-    return BoostedModel(list(features), start, rate, _boost(rows, residual, rounds, rate, depth, subsample, seed))
-
-
+    """Newton trees on the normal AFT likelihood of ln(time); censored rows are lower bounds."""
+    target = Target(_SCORE, "aft", rounds=rounds, depth=depth, rate=rate)
+    return BoostedModel(
+        histboost.fit(df, features, [target], row_id, time=time, event=event, subsample=subsample, sigma=sigma, seed=seed)
+    )

@@ -54,8 +54,8 @@ def test_plans_run_whole(monkeypatch, spark, name, owner, expected):
         ("boosted_aft", modelling.boosting, "fit_boosted_aft", {"rounds": 50}),
         ("tuning_trials", modelling.tuning, "random_search", {"trials": 8, "rounds": 20}),
         ("hazard_gbt", modelling.boosting, "fit_hazard_model", {"params": {}}),
-        ("gbt_oof", modelling.models, "gbt_classifier", {"params": {}}),
-        ("gbt_oof_early_stopping", modelling.models, "gbt_classifier", {"validation": "is_validation", "params": {}}),
+        ("gbt_oof", modelling.histboost, "fit", {"targets": [modelling.Target("p", label="label", rounds=20)], "folds": 5}),
+        ("gbt_oof_early_stopping", modelling.histboost, "fit", {"targets": [modelling.Target("p", label="label", rounds=20, stopping=True)], "folds": 5}),
         ("model_table", modelling.models, "gbt_classifier", {"params": {}}),
         ("model_table", modelling.models, "compare_models", {"k": 5}),
         ("imbalance_table", modelling.models, "imbalance_table", {"params": {}}),
