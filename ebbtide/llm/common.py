@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Rows below which a table is hinted for broadcast; every hint in this package counts its rows first.
 BROADCAST_ROWS = 500_000
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 500
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -35,5 +38,15 @@ def windows_of(data: bytes, size: int, overlap: int) -> Iterator[bytes]:
             return
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session's Arrow batches hold ``rows`` rows at most; a smaller setting stays.
+
+    The default of 10,000 whole texts is held several times over, by the executor and by its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
