@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ebbtide.catalog import sql as S
 from ebbtide.catalog import targets as base
 from ebbtide.catalog.registry import query
-from ebbtide.operators import activity, audit, blend, boosting, cox, histboost, km, metrics, models, parametric, splits, tuning
+from ebbtide.operators import activity, audit, blend, boosting, cox, forest, histboost, km, metrics, models, parametric, shapley, splits, tuning
 from ebbtide.operators.assemble import attach_labels
 from ebbtide.operators.histboost import Target
 from ebbtide.operators.quality import apply_scaler, fit_scaler, log_copies
@@ -220,7 +220,13 @@ def _hazard(spark, folder, kind, **params):
 
 @query("hazard_forest", "id:i risk:f surv_1:f surv_3:f surv_5:f")
 def _(spark, folder):
-    return _hazard(spark, folder, "forest", numTrees=20)
+    return _hazard(spark, folder, "forest")
+
+
+@query("survival_forest", "id:i risk:f surv_30:f surv_60:f surv_90:f")
+def _(spark, folder):
+    df = frame(spark, folder)
+    return forest.fit_forest(df, FEATURES, ["id"]).predict(df, [30, 60, 90])
 
 
 @query("hazard_gbt", "id:i risk:f surv_1:f surv_3:f surv_5:f")
@@ -309,7 +315,7 @@ def _(spark, folder):
 
 
 def _gbt(df, **params):
-    return models.gbt_classifier(FEATURES, "event", **({"maxIter": 5} | params))(df)
+    return models.gbt_classifier(FEATURES, "event", **params)(df)
 
 
 @query("gain_importance", "feature:s importance:f")
@@ -327,7 +333,14 @@ def _(spark, folder):
 @query("occlusion_importance", "feature:s importance:f")
 def _(spark, folder):
     df = frame(spark, folder)
-    return models.occlusion_importance(df, _gbt(df, maxIter=3, maxDepth=3), FEATURES)
+    return models.occlusion_importance(df, _gbt(df), FEATURES)
+
+
+@query("shapley_importance", "feature:s importance:f")
+def _(spark, folder):
+    df = frame(spark, folder)
+    model = histboost.fit(df, FEATURES, [Target("p", label="event", rounds=20)], ["id"])
+    return shapley.shapley_importance(df, model)
 
 
 @query("permutation_importance", "feature:s importance:f std:f")
@@ -496,6 +509,13 @@ def _(spark, folder):
     return blend.monotone_second_stage(models.score(df, model, "p"), "cnt_all", "p", "event", "score")
 
 
+@query("constrained_second_stage", "id:i fold:i score:f")
+def _(spark, folder):
+    df = folded(spark, folder).withColumn("_stop", models.stopping_slice(["id"]))
+    behaviour = [f for f in FEATURES if f != "cnt_all"]
+    return blend.constrained_second_stage(df, None, behaviour, "cnt_all", "label", ["id"], "score", validation="_stop")[0]
+
+
 @query("survival_plan", "ACCOUNT_ID:i RISK_SCORE:f SURV_PROB_30D:f SURV_PROB_60D:f SURV_PROB_90D:f")
 def _(spark, folder):
     df = frame(spark, folder)
@@ -503,10 +523,10 @@ def _(spark, folder):
     return plan.run(train, test, FEATURES).submission
 
 
-def _churn(spark, folder, blocks=None):
+def _churn(spark, folder, blocks=None, **options):
     df = frame(spark, folder).withColumn("label", F.col("event")).drop("time", "event")
     train, test = df.filter(F.col("id") % 4 != 0), df.filter(F.col("id") % 4 == 0).drop("label")
-    return churn.run(train, test, FEATURES, blocks=blocks, logged=["amt_mean_all", "gap_mean"])
+    return churn.run(train, test, FEATURES, blocks=blocks, logged=["amt_mean_all", "gap_mean"], **options)
 
 
 @query("churn_plan", "ACCOUNT_ID:i CHURN_PROB:f")
@@ -516,9 +536,9 @@ def _(spark, folder):
 
 @query("churn_plan_banded_lift", "decile:i customers:i churners:i churn_rate:f lift:f cum_recall:f")
 def _(spark, folder):
-    """The bands need id blocks; order keys per customer stand in for them."""
+    """The bands need id blocks; order keys per customer stand in for them, though they are not contiguous."""
     blocks = audit.id_blocks(table(spark, folder, "orders"), "o_custkey", "o_orderkey")
-    return _churn(spark, folder, blocks).lift
+    return _churn(spark, folder, blocks, trust_blocks=True).lift
 
 
 @query("mean_time_auc", "mean_auc:f n_times:i")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import interval_labels, right_closed_bin
-from ebbtide.operators.ranks import average_rank, assign_bucket, bucket_count, next_value, sketch_splits
+from ebbtide.operators.ranks import assign_bucket, average_rank, bucket_count, join_null_safe, next_value, sketch_splits
 
 HIDDEN_EDGES = (0, 1, 2, 3, 5, 8, 13, 21, 34, 55, float("inf"))  # fixed values: bin edges of hidden counts
 
@@ -43,7 +43,7 @@ def previous_in_entity(df: DataFrame, entity: str, time: str, value: str, out: s
 
     One entity may hold a large part of all rows, so its history is cut at global time buckets: inside a
     bucket a window finds the predecessor, and the first row of a bucket takes the last value of the
-    entity's previous bucket.
+    entity's previous bucket. Rows without an entity have no predecessor.
     """
     splits, _ = sketch_splits(df, [time], buckets or bucket_count(df))[time]
     keyed = assign_bucket(df, time, splits, "_bucket")
@@ -52,13 +52,17 @@ def previous_in_entity(df: DataFrame, entity: str, time: str, value: str, out: s
         entity, "_bucket", F.lag(F.col(f"_l.{value}")).over(W.partitionBy(entity).orderBy("_bucket")).alias("_carried")
     )
     inside = W.partitionBy(entity, "_bucket").orderBy(time, value)
-    joined = keyed.join(lasts, [entity, "_bucket"])
-    return joined.withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carried"))).drop("_bucket", "_carried")
+    joined = join_null_safe(keyed, lasts, [entity, "_bucket"])
+    found = F.when(F.col(entity).isNotNull(), F.coalesce(F.lag(value).over(inside), F.col("_carried")))
+    return joined.withColumn(out, found).drop("_bucket", "_carried")
 
 
 def id_monotone_share(df: DataFrame, entity: str, time: str, number: str, at_least: int = 3) -> DataFrame:
-    """Mean share of increasing identifier steps per entity, over entities with ``at_least`` rows."""
-    stepped = previous_in_entity(df, entity, time, number, "_previous")
+    """Mean share of increasing identifier steps per entity, over entities with ``at_least`` rows.
+
+    Rows without an entity are nobody's sequence and do not count.
+    """
+    stepped = previous_in_entity(df.filter(F.col(entity).isNotNull()), entity, time, number, "_previous")
     per_entity = stepped.groupBy(entity).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(number) > F.col("_previous")).cast("int")).alias("share")
     )

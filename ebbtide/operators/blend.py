@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
+from ebbtide.operators import histboost
+from ebbtide.operators.histboost import Target
 from ebbtide.operators.metrics import auc, concordance
 from ebbtide.operators.ranks import average_rank
 from ebbtide.session import materialize
@@ -170,13 +172,13 @@ HIDDEN_WEIGHT = 0.8
 
 
 def banded_score(
-    df: DataFrame, hidden: str, behaviour: str, row_id: Sequence[str], weight: float = HIDDEN_WEIGHT
+    df: DataFrame, hidden: str, behaviour: str, row_id: Sequence[str], weight: float = HIDDEN_WEIGHT, second: str | None = None
 ) -> DataFrame:
     """Score in bands from a leaked count: A, 0 hidden -> 1; B, unknown -> (0.62, 0.99]; C, positive -> (0, 0.6];
     D, a negative count, which overlapping id blocks give -> 0. Every row of ``df`` is in one band.
 
     Inside a band the order is the rank of the behavioural score, blended with the rank of ``-hidden``
-    in band C. A NaN count is unknown.
+    in band C. A NaN count is unknown. ``second`` names a score of its own for band C.
     """
     df = df.withColumn(hidden, F.when(~F.isnan(F.col(hidden).cast("double")), F.col(hidden)))
     overlapping = df.filter(F.col(hidden) < 0).withColumn("score", F.lit(0.0)).withColumn("band", F.lit("D"))
@@ -187,7 +189,7 @@ def banded_score(
     unknown = average_rank(unknown, behaviour, "_b", row_id)
     unknown = unknown.withColumn("score", UNKNOWN_BAND[0] + UNKNOWN_BAND[1] * F.col("_b") / max(1, n_unknown)).withColumn("band", F.lit("B"))
     retained = average_rank(retained.withColumn("_h", -F.col(hidden)), "_h", "_a", row_id)
-    retained = average_rank(retained, behaviour, "_b", row_id)
+    retained = average_rank(retained, second or behaviour, "_b", row_id)
     # rounded so that blends that differ by floating-point noise tie
     retained = retained.withColumn("_c", F.round(weight * F.col("_a") + (1 - weight) * F.col("_b"), 9))
     retained = average_rank(retained, "_c", "_d", row_id)
@@ -208,3 +210,16 @@ def monotone_second_stage(
     return apply_isotonic(df, curve, hidden, "_iso").withColumn(
         out, weight * F.col("_iso") + (1 - weight) * F.col(model_score)
     ).drop("_iso")
+
+
+def constrained_second_stage(
+    train: DataFrame, test: DataFrame | None, features: Sequence[str], hidden: str, label: str, row_id: Sequence[str], out: str,
+    fold: str = "fold", folds: int = 5, rounds: int = 100, depth: int = 5, rate: float = 0.05, validation: str | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Boosted trees on the features and the count, whose score never rises with the count, whatever the features are.
+
+    ``out`` is out of fold on ``train`` and the mean over the folds on ``test``. With ``validation`` its rows end the boosting.
+    """
+    target = Target(out, label=label, rounds=rounds, depth=depth, rate=rate, stopping=validation is not None, monotone=((hidden, -1),))
+    model = histboost.fit(train, [*features, hidden], [target], row_id, fold, folds, validation=validation)
+    return model.out_of_fold(train, fold), None if test is None else model.mean_score(test)

@@ -295,24 +295,12 @@ def predict_survival(df: DataFrame, model: CoxModel, times: Sequence[float]) ->
 def predict_median(df: DataFrame, model: CoxModel, out: str = "median") -> DataFrame:
     """First time with predicted survival at or below one half; NULL when it is never reached.
 
-    With strata, each stratum's rows meet its own baseline, one lookup per stratum of the fit.
+    With strata, rows meet the baseline of their own stratum, all strata in one lookup; a stratum that the fit has
+    not seen gives NULL.
     """
     needed = df.withColumn("_need", math.log(2) / model.partial_hazard())
-    base = baseline_hazard(model)
-    if not model.strata:
-        steps = base.groupBy("h0").agg(F.min("t").alias("t"))
-        return step_lookup(needed, "_need", steps, "h0", "t", out, forward=True).drop("_need")
-    base, missing = materialize(base), F.lit(True)
-    found = None
-    for values in base.select(*model.strata).distinct().collect():
-        own = F.lit(True)
-        for name in model.strata:
-            own = own & F.col(name).eqNullSafe(F.lit(values[name]))
-        steps = base.filter(own).groupBy("h0").agg(F.min("t").alias("t"))
-        part = step_lookup(needed.filter(own), "_need", steps, "h0", "t", out, forward=True)
-        found, missing = part if found is None else found.unionByName(part), missing & ~own
-    rest = needed.filter(missing).withColumn(out, F.lit(None).cast("double"))
-    return (rest if found is None else found.unionByName(rest)).drop("_need")
+    steps = baseline_hazard(model).groupBy("h0", *model.strata).agg(F.min("t").alias("t"))
+    return step_lookup(needed, "_need", steps, "h0", "t", out, forward=True, by=model.strata).drop("_need")
 
 
 def proportional_hazard_test(model: CoxModel) -> DataFrame:

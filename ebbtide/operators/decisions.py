@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
 from ebbtide.functions.columns import right_closed_bin
-from ebbtide.operators.ranks import equal_frequency_bin, unique_rank
+from ebbtide.operators.ranks import assign_bucket, bucket_count, equal_frequency_bin, sketch_splits, unique_rank
 
 # fixed values: tier edges on the 30-day churn probability
 TIER_EDGES = (-1.0, 0.02, 0.05, 0.15, 1.0)
@@ -51,10 +51,24 @@ def gains_curve(lift: DataFrame) -> DataFrame:
 
 
 def top_fraction(df: DataFrame, score: str, row_id: Sequence[str], fraction: float = 0.1) -> DataFrame:
-    """The ``max(1, floor(n * fraction))`` rows with the highest scores; ties by the hash of the id."""
-    size = max(1, int(df.count() * fraction))
-    ranked = unique_rank(df.withColumn("_down", -F.col(score)), "_down", "_r", row_id)
-    return ranked.filter(F.col("_r") <= size).drop("_r", "_down")
+    """The ``max(1, floor(n * fraction))`` rows with the highest scores; ties by the hash of the id.
+
+    Score buckets are counted; buckets above the one that is cut are kept whole, and only the rows of that one are
+    ranked. Rows without a score come first.
+    """
+    down = df.withColumn("_down", -F.col(score))
+    splits, _ = sketch_splits(down, ["_down"], bucket_count(df))["_down"]
+    keyed = assign_bucket(down, "_down", splits, "_cut").withColumn("_cut", F.coalesce("_cut", F.lit(-1)))
+    counts = sorted(tuple(r) for r in keyed.groupBy("_cut").count().collect())  # one row per bucket
+    wanted = max(1, int(sum(n for _, n in counts) * fraction))
+    for cut, n in counts:
+        if wanted <= n:
+            break
+        wanted -= n
+    else:
+        return df
+    edge = unique_rank(keyed.filter(F.col("_cut") == cut), "_down", "_r", row_id).filter(F.col("_r") <= wanted).drop("_r")
+    return keyed.filter(F.col("_cut") < cut).unionByName(edge).drop("_down", "_cut")
 
 
 def top_capture(df: DataFrame, score: str, label: str, row_id: Sequence[str], fraction: float = 0.1) -> DataFrame:

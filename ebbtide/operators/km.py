@@ -10,14 +10,17 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.functions.columns import left_closed_bin
-from ebbtide.operators.ranks import quantile_map, running_totals
+from ebbtide.operators.ranks import assign_bucket, bucket_count, join_null_safe, plain_double, quantile_map, running_totals, sketch_splits
 from ebbtide.session import materialize
 
-MAX_GROUPS = 64
+#: Numbers at risk that a task holds at once, times by groups.
+LOGRANK_CELLS = 2_000_000
 
 
 def survival_table(
@@ -118,41 +121,60 @@ def chi_square_tail(x: float, dof: int) -> float:
 def logrank_components(
     df: DataFrame, group: str, time: str = "time", event: str = "event"
 ) -> tuple[list, np.ndarray, np.ndarray]:
-    """Group values, observed minus expected events, and their covariance matrix.
+    """Group values, observed minus expected events, and their covariance matrix, for any number of groups.
 
-    One pivoted row per distinct time holds the counts of all groups; the sums over times are one
-    aggregation, and only k + k*k numbers reach the driver.
+    Rows are counted by (group, time) and cut at time buckets. A bucket starts from the numbers at risk behind it, a
+    small table with a row per bucket and group, and adds its event times to k sums and k * k pair sums. A NULL
+    group is a group of its own, the first; rows without a time are left out.
     """
-    found = df.select(group).distinct().limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"{group} has more than {MAX_GROUPS} values")
-    groups = sorted(row[0] for row in found if row[0] is not None)
+    counts = materialize(
+        df.filter(F.col(time).isNotNull())
+        .groupBy(F.col(group).alias("group"), F.col(time).alias("t"))
+        .agg(F.count(F.lit(1)).cast("double").alias("leaving"), F.sum(F.col(event).cast("double")).alias("d"))
+    )
+    groups = sorted((row[0] for row in counts.select("group").distinct().collect()), key=lambda g: (g is not None, g))
     k = len(groups)
-    per_group = []
-    for i, g in enumerate(groups):
-        mine = F.col(group) == F.lit(g)
-        per_group += [
-            F.count_if(mine).alias(f"leaving{i}"),
-            F.sum(F.when(mine, F.col(event).cast("bigint")).otherwise(F.lit(0))).alias(f"d{i}"),
-        ]
-    counts = materialize(df.filter(F.col(group).isNotNull()).groupBy(F.col(time).alias("t")).agg(*per_group))
-    run = running_totals(counts, "t", [f"leaving{i}" for i in range(k)])
-    n = [F.col(f"tot_leaving{i}") - F.col(f"cum_leaving{i}") + F.col(f"leaving{i}") for i in range(k)]
-    d = [F.col(f"d{i}") for i in range(k)]
-    all_n, all_d = sum(n[1:], n[0]), sum(d[1:], d[0])
-    rows = run.select(*[x.cast("double").alias(f"n{i}") for i, x in enumerate(n)], *[f"d{i}" for i in range(k)],
-                      all_n.cast("double").alias("n"), all_d.cast("double").alias("d"))
-    rows = rows.filter(F.col("d") > 0)
-    scale = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") * F.col("n") * (F.col("n") - 1)))
-    sums = [F.sum(F.col(f"d{i}") - F.col("d") * F.col(f"n{i}") / F.col("n")).alias(f"z{i}") for i in range(k)]
-    for i in range(k):
-        for j in range(i, k):
-            same = F.col("n") * F.col(f"n{i}") if i == j else F.lit(0.0)
-            sums.append(F.sum(scale * (same - F.col(f"n{i}") * F.col(f"n{j}"))).alias(f"v{i}_{j}"))
-    row = rows.agg(*sums).first()
-    z = np.array([row[f"z{i}"] or 0.0 for i in range(k)])
-    v = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    return groups, z, v
+    if not k:
+        return [], np.zeros(0), np.zeros((0, 0))
+    codes = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(groups)], T.StructType([counts.schema["group"], T.StructField("g", T.IntegerType())]))
+    coded = join_null_safe(counts, F.broadcast(codes), ["group"])  # as many rows as the covariance has columns
+    splits, _ = sketch_splits(coded, ["t"], bucket_count(df))["t"]
+    keyed = materialize(assign_bucket(coded.select("g", "t", "leaving", "d"), "t", splits, "bucket").withColumn("t", plain_double("t")))
+    behind: dict[int, np.ndarray] = {}
+    later = np.zeros(k)
+    sizes = keyed.groupBy("bucket", "g").agg(F.sum("leaving").alias("n")).collect()
+    for b in sorted({r.bucket for r in sizes}, reverse=True):
+        behind[b] = later.copy()
+        for r in sizes:
+            if r.bucket == b:
+                later[r.g] += r.n
+
+    def sums(table: pa.Table) -> pa.Table:
+        z, v, after = np.zeros(k), np.zeros((k, k)), behind[table.column("bucket")[0].as_py()]
+        t, g, leaving, d = (table.column(c).to_numpy() for c in ("t", "g", "leaving", "d"))
+        times, place = np.unique(-t, return_inverse=True)  # from the last to the first
+        order = np.argsort(place, kind="stable")
+        step = max(1, LOGRANK_CELLS // k)
+        for first in range(0, len(times), step):
+            mine = order[np.searchsorted(place[order], first) : np.searchsorted(place[order], first + step)]
+            gone, died = np.zeros((min(step, len(times) - first), k)), np.zeros((min(step, len(times) - first), k))
+            np.add.at(gone, (place[mine] - first, g[mine]), leaving[mine])
+            np.add.at(died, (place[mine] - first, g[mine]), d[mine])
+            n = after + np.cumsum(gone, axis=0)
+            after = n[-1]
+            told = died.sum(1) > 0
+            n, died = n[told], died[told]
+            all_n, all_d = n.sum(1), died.sum(1)
+            z += (died - n * (all_d / all_n)[:, None]).sum(0)
+            scale = np.divide(all_d * (all_n - all_d), all_n**2 * (all_n - 1), out=np.zeros_like(all_n), where=all_n > 1)
+            v += np.diag((scale * all_n) @ n) - (n * scale[:, None]).T @ n
+        return pa.table({"place": np.arange(k + k * k), "value": np.concatenate([z, v.ravel()])})
+
+    found = keyed.groupBy("bucket").applyInArrow(sums, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    flat = np.zeros(k + k * k)
+    for r in found.collect():
+        flat[r.place] = r.value
+    return groups, flat[:k], flat[k:].reshape(k, k)
 
 
 def logrank_test(df: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:

@@ -11,8 +11,10 @@ more than a few bucket widths of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -223,56 +225,67 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows ``(feature, prob, value)``: linear-interpolation quantiles of whole columns, exact.
 
-    The built-in exact ``percentile`` merges a map of all distinct values in one task. Here every column
-    is cut into equi-depth buckets, values are counted per bucket, and only the (at most two) values that
-    straddle each requested position leave their bucket.
+    The built-in exact ``percentile`` merges a map of all distinct values in one task. Here every column is cut into
+    equi-depth buckets by a sketch. One scan counts each column's buckets (a task sends one number per column and
+    bucket); the counts tell which buckets hold the wanted positions, and a second scan sends the values of
+    those buckets only, counted per batch. NULL and NaN do not count; a column without values has no rows.
     """
     columns = list(columns)
-    buckets = buckets or bucket_count(df)
-    plan = sketch_splits(df, columns, buckets)
-    keyed = df.select(*[plain_double(c).alias(c) for c in columns])
-    bucketizer = Bucketizer(
-        inputCols=columns,
-        outputCols=[f"_b{i}" for i in range(len(columns))],
-        splitsArray=[plan[c][0] for c in columns],
-        handleInvalid="keep",
-    )
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("feature"), F.col(f"_b{i}").cast("int").alias("bucket"), F.col(c).alias("value"))
-                for i, c in enumerate(columns)
-            ]
-        )
-    ).alias("p")
-    counted = (
-        bucketizer.transform(keyed)
-        .select(pairs)
-        .select("p.*")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = with_offsets(counted, ["bucket"], ["feature"], {"n": F.sum("n")})
-    inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    positioned = placed.withColumn("last", F.col("n_before") + F.sum("n").over(inside) - 1).withColumn(
-        "first", F.col("last") - F.col("n") + 1
-    )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("prob")
-    target = F.col("prob") * (F.col("n_all") - 1)
-    low, high = F.floor(target), F.ceil(target)
-    covers = lambda position: (F.col("first") <= position) & (position <= F.col("last"))
-    return (
-        positioned.select("feature", "value", "first", "last", "n_all", wanted)
-        .filter(covers(low) | covers(high))
-        .groupBy("feature", "prob")
-        .agg(
-            F.max(F.when(covers(low), F.col("value"))).alias("a"),
-            F.max(F.when(covers(high), F.col("value"))).alias("b"),
-            F.max(target).alias("t"),
-        )
-        .select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("t") - F.floor("t"))).alias("value"))
+    plan = sketch_splits(df, columns, buckets or bucket_count(df))
+    inner = [np.array(plan[c][0][1:-1]) for c in columns]
+    rows = df.select(*[plain_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def placed(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        values = batch.column(i).to_numpy(zero_copy_only=False)
+        values = values[~np.isnan(values)]
+        return values, np.searchsorted(inner[i], values, side="right")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(cuts) + 1, np.int64) for cuts in inner]
+        for batch in batches:
+            for i, total in enumerate(totals):
+                total += np.bincount(placed(batch, i)[1], minlength=len(total))
+        for i, total in enumerate(totals):
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), i)), pa.array(held), pa.array(total[held])], names=["i", "bucket", "n"])
+
+    sizes = rows.mapInArrow(counted, "i long, bucket long, n long").groupBy("i", "bucket").agg(F.sum("n").alias("n"))
+    by_column: dict[int, list[tuple[int, int]]] = {}
+    for r in sizes.collect():  # one row per column and bucket
+        by_column.setdefault(r.i, []).append((r.bucket, r.n))
+    asked, wanted = [], {}
+    for i, held in by_column.items():
+        held.sort()
+        ends = np.cumsum([n for _, n in held])
+        for p in probabilities:
+            target = float(p) * (int(ends[-1]) - 1)
+            for end, position in (("a", math.floor(target)), ("b", math.ceil(target))):
+                at = int(np.searchsorted(ends, position, side="right"))
+                wanted.setdefault(i, set()).add(held[at][0])
+                asked.append((i, held[at][0], columns[i], float(p), target, end, position - int(ends[at] - held[at][1])))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, own in wanted.items():
+                values, bucket = placed(batch, i)
+                kept = np.isin(bucket, list(own))
+                found, first, n = np.unique(values[kept], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), i)), pa.array(bucket[kept][first]), pa.array(found), pa.array(n)], names=["i", "bucket", "value", "n"]
+                )
+
+    held = rows.mapInArrow(picked, "i long, bucket long, value double, n long").groupBy("i", "bucket", "value").agg(F.sum("n").alias("n"))
+    inside = W.partitionBy("i", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = held.withColumn("stop", F.sum("n").over(inside)).withColumn("start", F.col("stop") - F.col("n"))
+    schema = "i long, bucket long, feature string, prob double, target double, end string, position long"
+    questions = F.broadcast(df.sparkSession.createDataFrame(asked, schema))  # two rows per column and probability
+    met = spans.join(questions, ["i", "bucket"]).filter((F.col("start") <= F.col("position")) & (F.col("position") < F.col("stop")))
+    ends = met.groupBy("feature", "prob").agg(
+        F.max(F.when(F.col("end") == "a", F.col("value"))).alias("a"),
+        F.max(F.when(F.col("end") == "b", F.col("value"))).alias("b"),
+        F.max("target").alias("t"),
     )
+    return ends.select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("t") - F.floor("t"))).alias("value"))
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
@@ -311,51 +324,56 @@ def equal_frequency_bin(rank: Column, n: Column, bins: int) -> Column:
 
 
 def step_lookup(
-    df: DataFrame, value: str, steps: DataFrame, key: str, payload: str, out: str, forward: bool = False
+    df: DataFrame, value: str, steps: DataFrame, key: str, payload: str, out: str, forward: bool = False, by: Sequence[str] = ()
 ) -> DataFrame:
     """Payload of the last step with ``key <= value`` (or, ``forward``, the first with ``key >= value``).
 
     ``steps`` has one row per key. Both sides are cut at the quantiles of the rows, so that rows, which
     are many, fill the buckets evenly; a value that fills several buckets stands alone in one, and its rows
     are spread over sub-buckets by hash. A row before (after) all steps of its bucket takes the payload
-    carried over from the nearest other bucket.
+    carried over from the nearest other bucket. With ``by`` rows meet the steps of their own group, NULL being a
+    group, all groups in one plan; a group without steps has no payload.
     """
-    kind = dict(steps.dtypes)[payload]
-    steps = steps.filter(F.col(key).isNotNull()).select(plain_double(key).alias("_k"), F.col(payload).alias("_p"))
+    by, kind = list(by), dict(steps.dtypes)[payload]
+    groups = [f"_g{i}" for i in range(len(by))]
+    own_group = [F.col(f"`{c}`").alias(g) for c, g in zip(by, groups, strict=True)]
+    steps = steps.filter(F.col(key).isNotNull()).select(plain_double(key).alias("_k"), F.col(payload).alias("_p"), *own_group)
     keyed = df.withColumn("_k", plain_double(value))
     splits, heavy = sketch_splits(keyed, ["_k"], bucket_count(df))["_k"]
     own = [F.col(f"`{c}`") for c in df.columns]
     row = F.struct(*own)
     spread = F.pmod(F.xxhash64(*own), F.lit(SUB_BUCKETS)).cast("int")
     hot = F.col("_k").isNull() | (F.col("_k").isin(*heavy) if heavy else F.lit(False))
-    left = assign_bucket(keyed.select("_k", row.alias("_row"), F.when(hot, spread).otherwise(0).alias("_sub")), "_k", splits, "_bucket")
+    left = assign_bucket(keyed.select("_k", row.alias("_row"), F.when(hot, spread).otherwise(0).alias("_sub"), *own_group), "_k", splits, "_bucket")
     right = assign_bucket(steps, "_k", splits, "_bucket")
     # the buckets of heavy values hold one value and hence at most one step: it goes to every sub-bucket
-    alone = right.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_only"))
+    alone = right.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_only"))
     hot_bucket = F.col("_only").isin(*heavy) if heavy else F.lit(False)
     subs = F.when(hot_bucket & (F.col("_n") == 1), F.sequence(F.lit(0), F.lit(SUB_BUCKETS - 1))).otherwise(F.array(F.lit(0)))
-    placed_steps = join_null_safe(right, alone.select("_bucket", subs.alias("_subs")), ["_bucket"])
-    placed_steps = placed_steps.select("_k", "_p", "_bucket", F.explode("_subs").alias("_sub"))
+    placed_steps = join_null_safe(right, alone.select(*groups, "_bucket", subs.alias("_subs")), [*groups, "_bucket"])
+    placed_steps = placed_steps.select("_k", "_p", *groups, "_bucket", F.explode("_subs").alias("_sub"))
     edge = F.min(F.struct("_k", "_p")) if forward else F.max(F.struct("_k", "_p"))
-    edges = right.groupBy("_bucket").agg(edge.alias("_e")).select("_bucket", F.col("_e._p").alias("_edge"))
-    every = left.select("_bucket").distinct().unionByName(edges.select("_bucket")).distinct()
-    edges = join_null_safe(every, edges, ["_bucket"], "left")
+    places = [*groups, "_bucket"]
+    edges = right.groupBy(*places).agg(edge.alias("_e")).select(*places, F.col("_e._p").alias("_edge"))
+    every = left.select(*places).distinct().unionByName(edges.select(*places)).distinct()
+    edges = join_null_safe(every, edges, places, "left")
+    whole = groups or [F.lit(0)]
     if forward:
-        beyond = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
+        beyond = W.partitionBy(*whole).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
         carried = F.first("_edge", ignorenulls=True).over(beyond)
-        inside = W.partitionBy("_bucket", "_sub").orderBy("_k", F.col("_tag").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
+        inside = W.partitionBy(*places, "_sub").orderBy("_k", F.col("_tag").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
         nearest = F.first("_p", ignorenulls=True).over(inside)
     else:
-        beyond = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        beyond = W.partitionBy(*whole).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
         carried = F.last("_edge", ignorenulls=True).over(beyond)
-        inside = W.partitionBy("_bucket", "_sub").orderBy("_k", "_tag").rowsBetween(W.unboundedPreceding, W.currentRow)
+        inside = W.partitionBy(*places, "_sub").orderBy("_k", "_tag").rowsBetween(W.unboundedPreceding, W.currentRow)
         nearest = F.last("_p", ignorenulls=True).over(inside)
-    carried_rows = edges.select("_bucket", carried.alias("_carried"))
+    carried_rows = edges.select(*places, carried.alias("_carried"))
     row_tag, step_tag = 1, 0  # at equal keys the step precedes the row, or follows it when looking forward
     merged = left.withColumn("_p", F.lit(None).cast(kind)).withColumn("_tag", F.lit(row_tag)).unionByName(
         placed_steps.withColumn("_tag", F.lit(step_tag)), allowMissingColumns=True
     )
     matched = merged.withColumn("_near", nearest).filter(F.col("_tag") == row_tag)
-    joined = join_null_safe(matched, carried_rows, ["_bucket"])
+    joined = join_null_safe(matched, carried_rows, places)
     found = F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carried"))
     return joined.select("_row.*", found.alias(out))

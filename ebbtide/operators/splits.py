@@ -11,12 +11,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.ranks import hash_rank
-
-
-def sample_n(df: DataFrame, row_id: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    ranked = hash_rank(df, row_id, "_r", seed)
-    return ranked.filter(F.col("_r") <= n).drop("_r", "_r_of")
+from ebbtide.operators.ranks import hash_order, hash_rank
+
+KEY_DIGITS, PREFIX_DIGITS = 32, 3
+
+
+def sample_n(df: DataFrame, row_id: Sequence[str], n: int, seed: int = 42, task_rows: int = 100_000) -> DataFrame:
+    """The ``n`` rows of the smallest md5 keys, all rows if there are fewer.
+
+    Counts by the leading digits of the key tell which prefix holds the n-th key; the next digits are counted inside
+    it only, until it holds ``task_rows`` at most. Rows of smaller prefixes are kept as they are; only the rows of
+    that one prefix are ordered.
+    """
+    keyed = df.withColumn("_key", hash_order(row_id, seed))
+    prefix, wanted = "", n
+    while len(prefix) < KEY_DIGITS:
+        inside = keyed.filter(F.col("_key").startswith(prefix)) if prefix else keyed
+        digits = F.substring("_key", len(prefix) + 1, PREFIX_DIGITS)
+        counts = sorted(tuple(r) for r in inside.groupBy(digits).count().collect())  # at most 16 ** PREFIX_DIGITS rows
+        if sum(c for _, c in counts) <= wanted:
+            break  # everything inside the prefix belongs to the sample
+        for digit, count in counts:
+            if wanted <= count:
+                break
+            wanted -= count
+        prefix += digit
+        if count <= task_rows:
+            break
+    if not prefix:
+        return df
+    head = F.substring("_key", 1, len(prefix))
+    edge = keyed.filter(head == prefix).orderBy("_key", *row_id).limit(wanted)
+    return keyed.filter(head < prefix).unionByName(edge).drop("_key")
 
 
 def head(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
