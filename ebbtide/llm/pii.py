@@ -7,10 +7,16 @@ one surrogate everywhere (coreference) and no table of replacements is needed to
   a keyed permutation of all values of the same format: letters become letters of the same alphabet and case,
   digits become digits, separators stay, check digits are computed anew. A permutation without fixed points
   gives different values different surrogates, none its own.
-* Names become names made of syllables in the same script, with the ending of the same gender. Two names can
-  meet by chance, so a collision check over all names of the corpus finds those whose surrogates agree with
-  another's or with a real name; they get longer names of their own, checked again. Their number is kept
-  small by adding syllables as the corpus grows, so that exceptions, and only they, fit in a broadcast.
+* Names become names made of syllables in the same script, with the ending of the same gender; initials become
+  initials, and particles (``von der``) stay. The length is fixed, so a name keeps its surrogate when documents
+  are added. Two names can meet by chance, so a collision check over all names of the corpus finds those whose
+  surrogates agree with another's or with a real name; they get longer names of their own, checked again until
+  none is left. These exceptions travel with the tasks while they are few, and are joined to the texts otherwise.
+
+A person is found after a title, and then at every other mention of one of their names in the same text, before or
+after, alone or in a longer word. Names that no title introduces stay. In scripts without capitals at most two words
+after a title are the name. A name has one slot (given or family, gender, script) in a text, so one surrogate:
+given goes before family, a known gender before none, and then the first titled mention decides.
 
 Defined results: null stays null and empty stays empty; texts without entities come back unchanged; repeated
 rows get equal texts; overlapping detections keep the first, and of those that start together the longest.
@@ -20,9 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -35,25 +40,34 @@ from ebbtide.session import materialize
 RESULT = "text string, n_entities int, found array<struct<kind: string, start: int, end: int>>"
 NAMES = "array<struct<slot: string, name: string>>"
 EXCEPTIONS = 10_000
-ROUNDS = 4
+LENGTH = 4
 
 # Titles that announce a person, by gender.
 TITLES = {
-    "male": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Signor Господин Κύριος",
-    "female": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Srta Signora Госпожа Κυρία",
-    "any": "Dr Prof Professor Doktor Docteur Doctor",
+    "male": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Signor Господин Κύριος السيد מר",
+    "female": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Srta Signora Госпожа Κυρία السيدة الدكتورة גברת",
+    "any": "Dr Prof Professor Doktor Docteur Doctor الدكتور",
 }
 GENDER = {title: gender for gender, titles in TITLES.items() for title in titles.split()}
 
+# Lower-case words inside a name that are no names themselves.
+PARTICLES = frozenset("de la las los del della der den des di da do dos du van von vom zu zum zur ter ten te le el al bin ibn bint y e af av".split())
+
 # Consonants and vowels that name syllables are made of, and endings by gender, by script.
 SYLLABLES = {
     "latin": ("b d f g h k l m n p r s t v z br dr kl st tr", "a e i o u", {"male": "n r s k", "female": "a ia ina ela", "any": "e el en"}),
     "cyrillic": ("б в г д ж з к л м н п р с т ф х", "а е и о у", {"male": "н р в к", "female": "а ия ина ела", "any": "о ен"}),
     "greek": ("β γ δ ζ κ λ μ ν π ρ σ τ φ χ", "α ε ι ο υ", {"male": "ος ης ας", "female": "α ια η ινα", "any": "ι ου"}),
+    "arabic": ("ب ت ج ح د ر ز س ش ص ط ع ف ق ك ل م ن ه", "ا و ي", {"male": "د ر م ن", "female": "ة اء", "any": "ب ل"}),
+    "hebrew": ("ב ג ד ה ז ח ט כ ל מ נ ס פ צ ק ר ש ת", "א ו י", {"male": "ל ב ר", "female": "ה ית", "any": "ד ש"}),
 }
 
 _TITLE = "|".join(sorted((re.escape(t) for t in GENDER), key=len, reverse=True))
-_NAME = r"[^\W\d_a-z][^\W\d_]+(?:['’-][^\W\d_]+)*"
+_LETTER = r"[^\W\d_]"
+_WORD = re.compile(rf"{_LETTER}+(?:['’-](?!s(?!\w)){_LETTER}+)*")
+_TITLED = re.compile(rf"(?:{_TITLE})(?=\.?[ ])")
+_NEXT = re.compile(rf"\.?[ ]({_WORD.pattern})")
+UNCASED_WORDS = 2
 _LOCAL = re.compile(r"[\w.%+-]")
 _HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _NUMBERS = re.compile(r"[0-9][0-9 ().+-]{5,}")
@@ -68,7 +82,6 @@ NUMBERS = {
 }
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
-_PERSON = re.compile(rf"(?:{_TITLE})\.?[ ](?:(?:{_TITLE})\.?[ ])*{_NAME}(?:[ ]{_NAME}){{0,2}}")
 
 
 def luhn(digits: str) -> int:
@@ -132,18 +145,92 @@ def _candidates(text: str) -> Iterator[tuple[int, int, str]]:
     if text.count(":") >= 7:
         for m in _IPV6.finditer(text):
             yield m.start(), m.start() - m.end(), "ipv6"
-    for m in _PERSON.finditer(text):
-        if not text[m.start() - 1 : m.start()].isalnum():
-            yield m.start(), m.start() - m.end(), "person"
 
 
-def detect(text: str) -> Iterator[tuple[str, int, int]]:
-    """``kind, start, end`` of the entities of a whole text, from left to right."""
-    at = 0
-    for start, length, kind in sorted(set(_candidates(text))):
+def _is_name(word: str) -> bool:
+    """A capital anywhere, or no letter that sentences write as a capital; one letter alone is an initial."""
+    return len(word) > 1 and (any(c.isupper() for c in word) or all(c.title() == c for c in word))
+
+
+def _is_initial(word: str) -> bool:
+    return len(word) == 1 and word.isupper()
+
+
+def _titled(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every title with the name after it: names and initials, particles between them."""
+    for title in _TITLED.finditer(text):
+        if text[title.start() - 1 : title.start()].isalnum():
+            continue
+        at, end, uncased, named, dotted = title.end(), 0, 0, False, True
+        while m := _NEXT.match(text, at):
+            word = m.group(1)
+            if m.group()[0] == "." and not dotted:
+                break  # a dot behind a whole name ends it
+            dotted = False
+            if word in GENDER:
+                if end:
+                    break
+                dotted = True
+            elif _is_initial(word):
+                end, dotted = m.end() + (text[m.end() : m.end() + 1] == "."), True
+            elif word not in PARTICLES:
+                uncased += not any(c.isupper() for c in word)
+                if not _is_name(word) or uncased > UNCASED_WORDS:
+                    break
+                end, named = m.end(), True
+            at = m.end()
+        if named:
+            yield title.start(), end
+
+
+def _slots(persons: Iterable[str]) -> dict[str, str]:
+    """The one slot of every name, in lower case, of the titled persons of a text."""
+    best: dict[str, tuple[bool, bool, str]] = {}
+    for person in persons:
+        for slot, name, _, _ in name_slots(person):
+            kind, gender, _ = slot.split(":")
+            choice = (kind == "given", gender != "any", slot)
+            if name.lower() not in best or choice[:2] > best[name.lower()][:2]:
+                best[name.lower()] = choice
+    return {name: slot for name, (_, _, slot) in best.items()}
+
+
+def _mentions(text: str, names: dict[str, str]) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs of words that are ``names``; a word of several parts may be one or hold some."""
+    start = end = -1
+    for word in _WORD.finditer(text):
+        parts = [word] if word.group().lower() in names else re.finditer(rf"{_LETTER}+", word.group())
+        base = 0 if parts == [word] else word.start()
+        for m in parts:
+            if m.group().lower() not in names or not _is_name(m.group()):
+                continue
+            if text[end : base + m.start()] != " " or end < 0:
+                if end >= 0:
+                    yield start, end
+                start = base + m.start()
+            end = base + m.end()
+    if end >= 0:
+        yield start, end
+
+
+def analyse(text: str) -> tuple[list[tuple[str, int, int]], dict[str, str]]:
+    """``kind, start, end`` of the entities of a whole text, from left to right, and the slot of every name."""
+    found = list(_candidates(text))
+    titled = list(_titled(text))
+    names = _slots(text[start:end] for start, end in titled)
+    if names:
+        found += [(start, start - end, "person") for start, end in [*titled, *_mentions(text, names)]]
+    kept, at = [], 0
+    for start, length, kind in sorted(set(found)):
         if start >= at:
             at = start - length
-            yield kind, start, at
+            kept.append((kind, start, at))
+    return kept, names
+
+
+def detect(text: str) -> list[tuple[str, int, int]]:
+    """``kind, start, end`` of the entities of a whole text, from left to right."""
+    return analyse(text)[0]
 
 
 def _past(text: str, m: re.Match) -> int:
@@ -262,15 +349,18 @@ class Keyed:
 
     # ---- names ----
 
-    def name(self, slot: str, name: str, syllables: int) -> str:
-        """A made-up name; ``slot`` is ``given:gender:script`` or ``family:any:script``."""
+    def name(self, slot: str, name: str, syllables: int, retry: int = 0) -> str:
+        """A made-up name; ``slot`` is ``given:gender:script`` or ``family:any:script``.
+
+        Every ``retry`` is another draw from longer names: a syllable more, or a letter in scripts without syllables.
+        """
         _, gender, script = slot.split(":")
         if script not in SYLLABLES:
-            return self.reformat(name, slot)
+            return self.reformat(name + name[-1] * retry, f"{slot}:{retry}" if retry else slot)
         starts, vowels, endings = SYLLABLES[script]
         starts, vowels, ends = starts.split(), vowels.split(), endings[gender].split()
-        n, out = self.number(slot, name.lower()), ""
-        for _ in range(syllables):
+        n, out = self.number(slot, name.lower(), *([retry] if retry else [])), ""
+        for _ in range(syllables + retry):
             n, i = divmod(n, len(starts))
             n, j = divmod(n, len(vowels))
             out += starts[i] + vowels[j]
@@ -289,20 +379,29 @@ def _reserved(address: str) -> bool:
 
 def script_of(name: str) -> str:
     c = ord(name[0])
-    return "greek" if 0x370 <= c < 0x400 else "cyrillic" if 0x400 <= c < 0x530 else "latin" if c < 0x250 else "other"
+    if c < 0x250 or 0x1E00 <= c < 0x1F00:
+        return "latin"
+    ranges = {"greek": (0x370, 0x400), "cyrillic": (0x400, 0x530), "hebrew": (0x590, 0x600), "arabic": (0x600, 0x700)}
+    return next((script for script, (low, high) in ranges.items() if low <= c < high), "other")
+
+
+def _name_words(value: str) -> Iterator[re.Match]:
+    """The words of a person that are names or initials: titles before them and particles are left out."""
+    named = False
+    for m in _WORD.finditer(value):
+        if m.group() not in PARTICLES and (named or m.group() not in GENDER):
+            named = True
+            yield m
 
 
 def name_slots(value: str) -> Iterator[tuple[str, str, int, int]]:
-    """``slot, name, start, end`` of the words of a person: titles are left out, the last word is the family's."""
-    words = [m for m in re.finditer(r"[^ ]+", value)]
+    """``slot, name, start, end`` of the names of a titled person; the last one is the family's."""
     gender = "any"
-    names = []
-    for m in words:
-        title = m.group().rstrip(".")
-        if not names and title in GENDER:
-            gender = GENDER[title] if GENDER[title] != "any" else gender
-        else:
-            names.append(m)
+    names = [m for m in _name_words(value) if not _is_initial(m.group())]
+    for m in _WORD.finditer(value):
+        if m.group() not in GENDER:
+            break
+        gender = GENDER[m.group()] if GENDER[m.group()] != "any" else gender
     for i, m in enumerate(names):
         kind, sex = ("family", "any") if i == len(names) - 1 else ("given", gender)
         yield f"{kind}:{sex}:{script_of(m.group())}", m.group(), m.start(), m.end()
@@ -313,120 +412,147 @@ def name_slots(value: str) -> Iterator[tuple[str, str, int, int]]:
 
 @dataclass(frozen=True)
 class Surrogates:
-    """All that replacing needs: the key, the length of names and the few names with a name of their own."""
+    """All that replacing needs: the key, the length of names and the names with a name of their own.
+
+    ``more`` is the table ``slot, name, surrogate`` of the latter where they are too many to travel with the tasks.
+    """
 
     key: bytes
-    syllables: int = 3
+    syllables: int = LENGTH
     exceptions: dict[tuple[str, str], str] = field(default_factory=dict)
+    more: DataFrame | None = None
 
-    def person(self, keyed: Keyed, value: str) -> str:
+    def person(self, keyed: Keyed, value: str, slots: dict[str, str], own: dict[tuple[str, str], str]) -> str:
         out, at = [], 0
-        for slot, name, start, end in name_slots(value):
-            own = self.exceptions.get((slot, name.lower()))
-            out += [value[at:start], _cased(own, name) if own else keyed.name(slot, name, self.syllables)]
-            at = end
+        for m in _name_words(value):
+            word = m.group()
+            if _is_initial(word):
+                made = keyed.reformat(word, "initial")
+            else:
+                slot = slots[word.lower()]
+                made = own.get((slot, word.lower()))
+                made = _cased(made, word) if made else keyed.name(slot, word, self.syllables)
+            out += [value[at : m.start()], made]
+            at = m.end()
         return "".join(out) + value[at:]
 
-    def replace(self, text: str, keyed: Keyed | None = None) -> tuple[str, list[tuple[str, int, int]]]:
-        """The text with surrogates, and the entities' spans in the original."""
-        keyed = keyed or Keyed(self.key)
-        found, out, at = list(detect(text)), [], 0
+    def replace(
+        self, text: str, keyed: Keyed | None = None, own: dict[tuple[str, str], str] | None = None
+    ) -> tuple[str, list[tuple[str, int, int]]]:
+        """The text with surrogates, and the entities' spans in the original; ``own`` replaces ``exceptions``."""
+        keyed, own = keyed or Keyed(self.key), self.exceptions if own is None else own
+        (found, slots), out, at = analyse(text), [], 0
         if not found:
             return text, found
         for kind, start, end in found:
             value = text[start:end]
-            out += [text[at:start], self.person(keyed, value) if kind == "person" else getattr(keyed, kind)(value)]
+            out += [text[at:start], self.person(keyed, value, slots, own) if kind == "person" else getattr(keyed, kind)(value)]
             at = end
         return "".join(out) + text[at:], found
 
 
 def names_in(text: Column) -> Column:
-    """The names of a text column, as ``slot, name`` in lower case."""
+    """The different names of a text column, as ``slot, name`` in lower case."""
     kind = pa.list_(pa.struct([("slot", pa.string()), ("name", pa.string())]))
 
-    def of(text: str) -> Iterator[dict[str, str]]:
-        for entity, start, end in detect(text):
-            if entity == "person":
-                for slot, name, _, _ in name_slots(text[start:end]):
-                    yield {"slot": slot, "name": name.lower()}
-
     @F.arrow_udf(NAMES)
     def names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([list(of(t.as_py() or "")) for t in texts], kind)
+            slots = (_slots(t[start:end] for start, end in _titled(t)) for t in (item.as_py() or "" for item in texts))
+            yield pa.array([[{"slot": slot, "name": name} for name, slot in found.items()] for found in slots], kind)
 
     return names(text)
 
 
 def _made(key: bytes):
-    """Column function of ``slot, name, syllables``: the surrogate in lower case."""
+    """Column function of ``slot, name, syllables, retry``: the surrogate in lower case."""
 
     @F.arrow_udf("string")
-    def made(slots: pa.Array, names: pa.Array, syllables: pa.Array) -> pa.Array:
+    def made(slots: pa.Array, names: pa.Array, syllables: pa.Array, retries: pa.Array) -> pa.Array:
         keyed = Keyed(key)
-        rows = zip(slots.to_pylist(), names.to_pylist(), syllables.to_pylist(), strict=True)
-        return pa.array([keyed.name(slot, name, int(k)).lower() for slot, name, k in rows], pa.string())
+        rows = zip(slots.to_pylist(), names.to_pylist(), syllables.to_pylist(), retries.to_pylist(), strict=True)
+        return pa.array([keyed.name(slot, name, k, retry).lower() for slot, name, k, retry in rows], pa.string())
 
     return made
 
 
 def fit(docs: DataFrame, key: bytes) -> Surrogates:
-    """The collision check: all different names of all documents, and longer surrogates where two would meet."""
+    """The collision check: all different names of all documents, and longer surrogates where two would meet.
+
+    Of names that meet, the one of the fewest retries (then the least) keeps its surrogate, and the others draw
+    again until no two names of a kind share one and none is a real name. The table stays in Spark.
+    """
     found = docs.select(F.explode(names_in(F.col("text"))).alias("n")).select("n.slot", "n.name").distinct()
     names = materialize(found)
-    count = names.count()
-    if not count:
+    if names.isEmpty():
         return Surrogates(key)
-    made = _made(key)
-    syllables = max(3, math.ceil(math.log(max(count, 2) ** 2 / 1000 + 1, 75)))
-    taken = names.select(F.col("name").alias("real")).distinct()
-    while True:
-        table = materialize(names.withColumn("surrogate", made("slot", "name", F.lit(syllables))))
-        clash = _clashes(table, taken)
-        if clash.limit(EXCEPTIONS + 1).count() <= EXCEPTIONS:
-            break
-        syllables += 1
-    exceptions, open_names = {}, clash
-    for extra in range(1, ROUNDS + 1):
-        rows = open_names.collect()
-        if not rows:
-            break
-        again = names.sparkSession.createDataFrame([(r.slot, r.name) for r in rows], "slot string, name string")
-        again = materialize(again.withColumn("surrogate", made("slot", "name", F.lit(syllables + extra))))
-        others = table.select(F.col("surrogate").alias("real")).unionByName(taken)
-        open_names = _clashes(again, others).select("slot", "name")
-        exceptions |= {(r.slot, r.name): r.surrogate for r in again.collect()}
-    return Surrogates(key, syllables, exceptions)
-
-
-def _clashes(table: DataFrame, taken: DataFrame) -> DataFrame:
-    """Names whose surrogate another name of the same kind has too, or which is a real name."""
+    made, length = _made(key), F.lit(LENGTH)
+    real = names.select(F.col("name").alias("surrogate")).distinct().withColumn("taken", F.lit(True))
+    table = names.withColumn("retry", F.lit(0))
+    table = materialize(table.withColumn("surrogate", made("slot", "name", length, "retry")))
+    while not (clash := materialize(_clashes(table, real))).isEmpty():
+        again = clash.withColumn("retry", F.col("retry") + 1).withColumn("surrogate", made("slot", "name", length, "retry"))
+        table = materialize(table.join(clash, ["slot", "name"], "left_anti").unionByName(again))
+    own = table.where("retry > 0").select("slot", "name", "surrogate")
+    if own.limit(EXCEPTIONS + 1).count() > EXCEPTIONS:
+        return Surrogates(key, LENGTH, more=own)
+    return Surrogates(key, LENGTH, {(r.slot, r.name): r.surrogate for r in own.collect()})
+
+
+def _clashes(table: DataFrame, real: DataFrame) -> DataFrame:
+    """Rows ``slot, name, retry`` whose surrogate is a real name, or that of another name of the same kind before them."""
     kind = F.substring_index("slot", ":", 1)
-    owners = table.groupBy(kind.alias("kind"), "surrogate").agg(
-        F.count("*").alias("n"), F.min(F.struct("slot", "name")).alias("first")
-    )
+    order = F.struct("retry", "slot", "name")
+    owners = table.groupBy(kind.alias("kind"), "surrogate").agg(F.count("*").alias("n"), F.min(order).alias("first"))
     shared = table.withColumn("kind", kind).join(owners.where("n > 1"), ["kind", "surrogate"])
-    shared = shared.where(F.struct("slot", "name") != F.col("first")).select("slot", "name")
-    real = table.join(taken, F.col("surrogate") == F.col("real"), "left_semi").select("slot", "name")
-    return materialize(shared.union(real).distinct())
-
+    shared = shared.where(order != F.col("first")).select("slot", "name", "retry")
+    taken = table.join(real, "surrogate", "left_semi").select("slot", "name", "retry")
+    return shared.union(taken).distinct()
 
-def replace_entities(model: Surrogates, text: Column) -> Column:
-    """Struct ``text, n_entities, found`` of a text column; spans are code points of the original."""
 
-    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+def _replacer(model: Surrogates):
+    """Column function of a text and its own exceptions ``slot, name, surrogate`` (null: those of the model)."""
+    key, spans = model.key, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    model = Surrogates(key, model.syllables, model.exceptions)
 
     @F.arrow_udf(RESULT)
-    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        keyed = Keyed(model.key)
-        for texts in batches:
+    def replace(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        keyed = Keyed(key)
+        for texts, owns in batches:
             new, found = [], []
-            for item in texts:
-                t = item.as_py()
-                made, entities = model.replace(t, keyed) if t else (t, [])
+            for item, own in zip(texts, owns, strict=True):
+                t, rows = item.as_py(), own.as_py()
+                names = None if rows is None else {(r["slot"], r["name"]): r["surrogate"] for r in rows}
+                made, entities = model.replace(t, keyed, names) if t else (t, [])
                 new.append(made)
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in entities])
             arrays = [pa.array(new, pa.string()), pa.array(map(len, found), pa.int32()), pa.array(found, spans)]
             yield pa.StructArray.from_arrays(arrays, names=["text", "n_entities", "found"])
 
-    return replace(text)
+    return replace
+
+
+OWN = "array<struct<slot: string, name: string, surrogate: string>>"
+
+
+def replaced(docs: DataFrame, model: Surrogates, text: str = "text", out: str = "replaced") -> DataFrame:
+    """``docs`` and a struct ``out`` of ``text, n_entities, found``; spans are code points of the original.
+
+    Exceptions too many to travel are joined to the texts that hold their names, by a hash of the text: a text's own
+    names are a bounded list, and copies share one row of it.
+    """
+    replace = _replacer(model)
+    if model.more is None:
+        return docs.withColumn(out, replace(F.col(text), F.lit(None).cast(OWN)))
+    digest, key = F.sha2(F.col(text), 256), f"__digest_{out}"
+    held = docs.select(digest.alias(key), F.explode(names_in(F.col(text))).alias("n")).select(key, "n.slot", "n.name").distinct()
+    own = held.join(model.more, ["slot", "name"]).groupBy(key).agg(F.collect_list(F.struct("slot", "name", "surrogate")).alias(f"__own_{out}"))
+    joined = docs.withColumn(key, digest).join(own, key, "left")
+    return joined.withColumn(out, replace(F.col(text), F.col(f"__own_{out}"))).drop(key, f"__own_{out}")
+
+
+def replace_entities(model: Surrogates, text: Column) -> Column:
+    """Struct ``text, n_entities, found`` of a text column, for a model whose exceptions travel with the tasks."""
+    if model.more is not None:
+        raise ValueError("the exceptions of this model are a table; use replaced()")
+    return _replacer(model)(text, F.lit(None).cast(OWN))

@@ -86,8 +86,8 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
-    replaced = pii.replace_entities(pii.fit(docs, PII_KEY), F.col("text"))
-    return docs.select("doc_id", replaced.alias("new")).select("doc_id", "new.text", F.col("new.n_entities").cast("long").alias("n_entities"))
+    replaced = pii.replaced(docs.select("doc_id", "text"), pii.fit(docs, PII_KEY), out="new")
+    return replaced.select("doc_id", "new.text", F.col("new.n_entities").cast("long").alias("n_entities"))
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

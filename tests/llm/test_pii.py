@@ -93,9 +93,10 @@ def test_collisions_are_found_and_resolved(spark, monkeypatch):
     """One syllable of one choice: nearly all names collide, and all must end up distinct and new."""
     names = [f"Mr {a}{b}an Q{b}{a}oster" for a in "BDGKLMNPRT" for b in ("ae", "io", "uu", "ie")]
     docs = spark.createDataFrame([(i, f"Here is {n}. {names[0]} too.") for i, n in enumerate(names)], "doc_id long, text string")
-    monkeypatch.setattr(pii.math, "ceil", lambda x: 1)
+    monkeypatch.setattr(pii, "LENGTH", 1)
     monkeypatch.setitem(pii.SYLLABLES, "latin", ("b d f", "a", {"male": "n", "female": "a", "any": "e"}))
     model = pii.fit(docs, b"k")
+    assert len(model.exceptions) > 20
     slots = {(slot, name.lower()) for n in names for slot, name, _, _ in pii.name_slots(n)}
     keyed = pii.Keyed(b"k")
     made = {s: model.exceptions.get(s) or keyed.name(*s, model.syllables).lower() for s in slots}
@@ -105,6 +106,100 @@ def test_collisions_are_found_and_resolved(spark, monkeypatch):
     assert not set(made.values()) & {n for _, n in slots}
 
 
+def test_too_many_exceptions_are_joined(spark, monkeypatch):
+    """The same texts whether the exceptions travel with the tasks or are joined, null and repeated rows included."""
+    names = [f"Mr {a}{b}an Q{b}{a}oster" for a in "BDGKLMNPRT" for b in ("ae", "io")]
+    texts = [*(f"Here is {n}. {names[0]} too, {n.split()[1]} said." for n in names), f"{names[3]} again", None, "", "no one"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "LENGTH", 1)
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("b d f", "a", {"male": "n", "female": "a", "any": "e"}))
+    few = pii.fit(docs, b"k")
+    monkeypatch.setattr(pii, "EXCEPTIONS", 3)
+    many = pii.fit(docs, b"k")
+    assert few.more is None and many.more is not None and not many.exceptions
+
+    def result(model):
+        return sorted((r.doc_id, r.replaced.text, r.replaced.n_entities) for r in pii.replaced(docs, model).collect() if r.replaced.text is not None)
+
+    assert result(few) == result(many) and len(result(few)) == len(texts) - 2
+    assert pii.replaced(docs, many).columns == ["doc_id", "text", "replaced"]
+
+
+def test_names_without_syllables_end_distinct(spark):
+    """Scripts without syllables: surrogates that are real names draw again, from longer names."""
+    letters = [chr(0x10D0 + i) + chr(0x10D0 + j) for i in range(33) for j in range(33)]
+    docs = spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(letters)], "doc_id long, text string")
+    model = pii.fit(docs, b"k")
+    assert model.exceptions
+    made = {model.exceptions.get(("family:any:other", n)) or KEYED.__class__(b"k").name("family:any:other", n, pii.LENGTH) for n in letters}
+    assert len(made) == len(letters) and not made & set(letters)
+
+
+PROBES = {
+    "Mr. John Smith came. John Smith left; Smith said.": ["Mr. John Smith", "John Smith", "Smith"],
+    "Dr. Anna Maria von der Leyen spoke.": ["Dr. Anna Maria von der Leyen"],
+    "Mrs. de la Cruz met Mr. O'Brien.": ["Mrs. de la Cruz", "Mr. O'Brien"],
+    "Smith's hat. Mr J. R. Smith. SMITH, smith and Smithson.": ["Smith", "Mr J. R. Smith", "SMITH"],
+    "\u0627\u0644\u0633\u064a\u062f \u0645\u062d\u0645\u062f. \u0645\u062d\u0645\u062f": ["\u0627\u0644\u0633\u064a\u062f \u0645\u062d\u0645\u062f", "\u0645\u062d\u0645\u062f"],
+    "Monsieur d'Artagnan, Mr. McDonald-Jones. Jones": ["Monsieur d'Artagnan", "Mr. McDonald-Jones"],
+    "Mr. said nothing, Dr. 5, Mr. T.": [],
+}
+
+
+def test_names_of_every_form():
+    for text, persons in PROBES.items():
+        assert values(text) == [("person", p) for p in persons], text
+
+
+def test_untitled_mentions_keep_identity():
+    text, _ = PLAIN.replace("John said: Mr. John Smith came. John Smith left; Smith said. Dr. Smith, JOHN and John's.")
+    w = re.findall(r"\w+", text)
+    john, smith = w[0], w[4]
+    assert "John" not in text and "Smith" not in text and john != smith
+    assert text == f"{john} said: Mr. {john} {smith} came. {john} {smith} left; {smith} said. Dr. {smith}, {john.upper()} and {john}'s."
+    kept = PLAIN.replace("Dr. Anna Maria von der Leyen spoke.")[0]
+    assert re.fullmatch(r"Dr\. \w+ \w+ von der \w+ spoke\.", kept) and not re.search("Anna|Maria|Leyen", kept)
+    assert re.fullmatch(r"Mrs\. de la \w+ met Mr\. \w+\.", PLAIN.replace("Mrs. de la Cruz met Mr. O'Brien.")[0])
+    anna = PLAIN.replace("Dr. Anna Berg, Mrs. Anna Berg")[0]
+    assert anna[4:].split(",")[0] == anna.split("Mrs. ")[1] and anna[4:].split()[0].endswith("a")
+    arabic = PLAIN.replace("\u0627\u0644\u0633\u064a\u062f \u0645\u062d\u0645\u062f")[0].split()
+    assert arabic[0] == "\u0627\u0644\u0633\u064a\u062f" and all("\u0600" <= c < "\u0700" for c in arabic[1])
+
+
+def test_names_against_brute_force():
+    """Random texts with known names: what is not a name stays, and every name has one surrogate in all texts."""
+    rng = random.Random(7)
+    known = {"Otto": "given", "Ulla": "given", "Kern": "family", "O'Hara": "family", "Weiss": "family", "Ng": "family"}
+    plain = ["went home,", "(see 5)", "and", "Berlin", "the", "x.", "Kernel", "otto", "-"]
+    made: dict[str, set[str]] = {}
+    for _ in range(300):
+        pieces, told = [], set()
+        for given_name in rng.sample(["Otto", "Ulla"], rng.randint(0, 2)):
+            family = rng.choice([n for n, k in known.items() if k == "family"])
+            pieces.append(["Dr. ", given_name, " ", family, ";"])
+            told |= {given_name, family}
+        pieces += [[rng.choice(plain)] for _ in range(6)] + [[n] for n in rng.choices(list(known), k=5) if n in told]
+        rng.shuffle(pieces)
+        flat = [x for piece in pieces for x in [*piece, " | "]]
+        text, _ = PLAIN.replace("".join(flat))
+        pattern = "".join(r"([^\W\d_]+)" if x in told else re.escape(x) for x in flat)
+        found = re.fullmatch(pattern, text)
+        assert found, ("".join(flat), text)
+        for name, new in zip([x for x in flat if x in told], found.groups(), strict=True):
+            made.setdefault(name, set()).add(new)
+    assert all(len(v) == 1 for v in made.values()) and len(set.union(*made.values())) == len(made) == len(known)
+    assert not set.union(*made.values()) & set(known)
+
+
+def test_surrogates_stay_when_documents_are_added(spark):
+    first = [(i, f"Mr. Carl Name{chr(97 + i)}x wrote") for i in range(20)]
+    more = [(100 + i, f"Frau Eva Other{chr(97 + i)}y wrote") for i in range(26)]
+    one, two = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (first, first + more))
+    old = {r.doc_id: r.replaced.text for r in pii.replaced(one, pii.fit(one, b"k")).collect()}
+    new = {r.doc_id: r.replaced.text for r in pii.replaced(two, pii.fit(two, b"k")).collect()}
+    assert all(new[i] == t for i, t in old.items()) and len(set(new.values())) == 46
+
+
 def test_awkward_rows(spark, awkward, nothing):
     model = pii.fit(awkward, b"k")
     rows = awkward.select("text", pii.replace_entities(model, F.col("text")).alias("n")).collect()
