@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,17 +138,75 @@ def blend_weight_search(df: DataFrame, first: str, second: str, label: str, row_
     return table.select(F.col("w0").alias("weight"), "auc", "best")
 
 
+BLOCK = "lo double, hi double, total double, weight double"
+POOL_ROWS = 1 << 20
+
+
+def _pool_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool adjacent violators of blocks in rising order into blocks of strictly rising means."""
+    lo, hi, total, weight = stack = [], [], [], []
+    for pdf in batches:
+        block = [pdf[c].to_numpy() for c in ("lo", "hi", "total", "weight")]
+        while len(block[0]):
+            # a run in which no mean rises is one block: most of the work, without a loop over rows
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(block[2] / block[3]) > 0]))
+            ends = np.concatenate([starts[1:], [len(block[0])]]) - 1
+            shrunk = len(starts) < 0.9 * len(block[0])
+            block = [block[0][starts], block[1][ends], np.add.reduceat(block[2], starts), np.add.reduceat(block[3], starts)]
+            if not shrunk:
+                break
+        for first, last, t, w in zip(*(c.tolist() for c in block), strict=True):
+            while total and total[-1] / weight[-1] >= t / w:
+                first = lo.pop()
+                hi.pop()
+                t, w = t + total.pop(), w + weight.pop()
+            for column, value in zip(stack, (first, last, t, w), strict=True):
+                column.append(value)
+    for start in range(0, len(lo), 10_000):
+        cut = slice(start, start + 10_000)
+        yield pd.DataFrame({"lo": lo[cut], "hi": hi[cut], "total": total[cut], "weight": weight[cut]})
+
+
+def pool_violators(points: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """Blocks ``(lo, hi, total, weight)`` of the rising least-squares curve of ``points`` of the same columns.
+
+    Neighbours that violate the order inside a range of the points belong to one block of the whole curve. So each
+    round pools the ranges of one partitioning, of ever fewer ranges, until no two ranges violate the order
+    where they meet; only one pair of means per range reaches the driver. Equal means share a block.
+    """
+    task_rows = task_rows or POOL_ROWS
+    blocks, parts = materialize(points), None
+    while True:
+        needed = math.ceil(blocks.count() / task_rows)
+        parts = max(1, needed if parts is None else min(needed, parts // 2))
+        ranges = blocks.repartitionByRange(parts, "lo").sortWithinPartitions("lo")
+        pooled = materialize(ranges.mapInPandas(_pool_sorted, BLOCK).withColumn("_range", F.spark_partition_id()))
+        blocks = pooled.drop("_range")
+        if parts == 1:
+            return blocks
+        mean = F.col("total") / F.col("weight")
+        edges = pooled.groupBy("_range").agg(F.min("lo").alias("lo"), F.min_by(mean, "lo").alias("first"), F.max_by(mean, "lo").alias("last"))
+        edges = edges.orderBy("lo").collect()
+        if all(left["last"] < right["first"] for left, right in zip(edges, edges[1:], strict=False)):
+            return blocks
+
+
 def fit_isotonic(df: DataFrame, score: str, target: Column | str, increasing: bool = True) -> IsotonicRegressionModel:
     """Isotonic calibration curve; prediction interpolates and clips at the ends.
 
-    Rows are first averaged per distinct score, with their count as weight, which leaves the fit
-    unchanged and the input small where scores repeat.
+    Rows are summed per distinct score, then pooled in Spark; the model, which lives on the driver, is made from the
+    two ends of every final block. Rows whose score or target is NULL or NaN take no part.
     """
-    y = F.col(target) if isinstance(target, str) else target
-    points = df.groupBy(F.col(score).cast("double").alias("features")).agg(
-        F.avg(y.cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    return IsotonicRegression(isotonic=increasing, weightCol="weight").fit(points)
+    x = F.col(score).cast("double")
+    y = (F.col(target) if isinstance(target, str) else target).cast("double")
+    sign = 1.0 if increasing else -1.0
+    used = df.select(x.alias("lo"), (sign * y).alias("_y")).filter("NOT isnan(lo) AND NOT isnan(_y) AND lo IS NOT NULL AND _y IS NOT NULL")
+    points = used.groupBy("lo").agg(F.sum("_y").alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    blocks = pool_violators(points.select("lo", F.col("lo").alias("hi"), "total", "weight"))
+    half = F.struct(F.col("lo").alias("features"), (F.col("weight") / 2).alias("weight"))
+    other = F.struct(F.col("hi").alias("features"), (F.col("weight") / 2).alias("weight"))
+    ends = blocks.select((sign * F.col("total") / F.col("weight")).alias("label"), F.explode(F.array_distinct(F.array(half, other))).alias("p"))
+    return IsotonicRegression(isotonic=increasing, weightCol="weight").fit(ends.select("p.features", "label", "p.weight"))
 
 
 def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, score: str, out: str) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators.decisions import monotone_probabilities
@@ -156,13 +155,41 @@ def compare_models(
 # ---- class imbalance --------------------------------------------------------------------------------------------
 
 
+def nearest_rows(spark: SparkSession, rows: np.ndarray, scale: np.ndarray, k: int, block: int = 64) -> DataFrame:
+    """Edges ``(base, place, other)``: the ``k`` nearest other rows of every row, after division by ``scale``.
+
+    Exact; blocks of rows meet the whole matrix, which is shared by broadcast, once. Equal distances go to the
+    lesser row number; places count from 0, nearest first.
+    """
+    shared = spark.sparkContext.broadcast(rows / scale)
+
+    def search(batches):
+        scaled = shared.value
+        squares = (scaled**2).sum(1)
+        for pdf in batches:
+            for start in range(0, len(pdf), block):
+                base = pdf["id"].to_numpy()[start : start + block]
+                distance = squares[None, :] - 2 * scaled[base] @ scaled.T
+                distance[np.arange(len(base)), base] = np.inf
+                kth = np.partition(distance, k - 1, axis=1)[:, k - 1]
+                equal = distance == kth[:, None]
+                closer = distance < kth[:, None]
+                wanted = k - closer.sum(axis=1, keepdims=True)
+                row, other = np.nonzero(closer | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= wanted))
+                order = np.lexsort((other, distance[row, other], row))
+                yield pd.DataFrame({"base": base[row[order]], "place": np.arange(len(row)) % k, "other": other[order]})
+
+    return spark.range(len(rows)).mapInPandas(search, "base long, place long, other long")
+
+
 def smote(
     df: DataFrame, features: Sequence[str], label: str, row_id: Sequence[str], k: int = 5, limit: int = 120_000, seed: int = 42
 ) -> DataFrame:
     """Balance classes by interpolating minority rows towards one of their ``k`` nearest minority rows.
 
     As in the study this reproduces, the operator works on a sample of at most ``limit`` rows, which
-    bounds the minority matrix that is broadcast (checked below 256 MB); neighbours are exact.
+    bounds the minority matrix that is broadcast (checked below 256 MB). The exact neighbours of every minority row
+    are searched once; made rows draw a base, one of its neighbours and a share of the way, and join both.
     """
     sampled = materialize(
         sample_n(df.select(*row_id, *[F.col(f).cast("double").alias(f) for f in features], label), row_id, limit, seed)
@@ -179,34 +206,22 @@ def smote(
     ordered = hash_rank(positives, row_id, "_r", seed)
     matrix = np.array([list(r) for r in ordered.orderBy("_r").select(*features).collect()])
     spread = matrix.std(axis=0)
-    shared = spark.sparkContext.broadcast((matrix, np.where(spread > 0, spread, 1.0)))
-    names, neighbours = list(features), min(k, n_pos - 1)
-
-    def interpolate(batches):
-        rows, scale = shared.value
-        scaled = rows / scale
-        squares = (scaled**2).sum(1)
-        for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start : start + 256]
-                base = part["_base"].to_numpy()
-                distance = squares[None, :] - 2 * scaled[base] @ scaled.T
-                distance[np.arange(len(base)), base] = np.inf
-                nearest = np.argpartition(distance, neighbours - 1, axis=1)[:, :neighbours]
-                order = np.take_along_axis(distance, nearest, 1).argsort(axis=1, kind="stable")
-                nearest = np.take_along_axis(nearest, order, 1)
-                other = nearest[np.arange(len(base)), part["_pick"].to_numpy() % neighbours]
-                made = rows[base] + part["_u"].to_numpy()[:, None] * (rows[other] - rows[base])
-                yield pd.DataFrame(made, columns=names)
+    neighbours = min(k, n_pos - 1)
+    edges = nearest_rows(spark, matrix, np.where(spread > 0, spread, 1.0), neighbours)
+    first = ordered.agg(F.min("_r")).first()[0]
+    point = lambda name: ordered.select((F.col("_r") - first).alias(name), F.struct(*features).alias(f"_{name}"))
+    edges = materialize(edges.join(point("base"), "base").join(point("other"), "other"))
 
     draw = lambda salt: F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt))
     plan = spark.range(missing).select(
-        (F.col("id") % n_pos).alias("_base"),
-        F.pmod(draw("pick"), F.lit(1 << 30)).alias("_pick"),
+        (F.col("id") % n_pos).alias("base"),
+        F.pmod(F.pmod(draw("pick"), F.lit(1 << 30)), F.lit(neighbours)).alias("place"),
         (F.pmod(draw("u"), F.lit(1 << 30)) / float(1 << 30)).alias("_u"),
     )
-    schema = T.StructType([T.StructField(f, T.DoubleType()) for f in names])
-    made = plan.mapInPandas(interpolate, schema).withColumn(label, F.lit(1).cast(dict(plain.dtypes)[label]))
+    made = plan.join(edges, ["base", "place"]).select(
+        *[(F.col("_base")[f] + F.col("_u") * (F.col("_other")[f] - F.col("_base")[f])).alias(f) for f in features],
+        F.lit(1).cast(dict(plain.dtypes)[label]).alias(label),
+    )
     return plain.unionByName(made)
 
 

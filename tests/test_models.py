@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from conftest import COVARIATES
 from pyspark.sql import functions as F
@@ -60,6 +61,28 @@ def test_smote_balances_inside_the_minority_hull(labelled):
     assert seen[0] - 1e-9 <= new[0] and new[1] <= seen[1] + 1e-9
 
 
+def test_nearest_rows_equal_brute_force(spark):
+    """Integer points with ties and copies: distances are exact, equal ones go to the lesser row."""
+    rows = np.random.default_rng(5).integers(0, 4, (300, 3)).astype(float)
+    got = models.nearest_rows(spark, rows, np.ones(3), 5, block=50).orderBy("base", "place").collect()
+    expected = []
+    for i, r in enumerate(rows):
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (((rows[j] - r) ** 2).sum(), j))
+        expected += [(i, place, j) for place, j in enumerate(order[:5])]
+    assert [tuple(r) for r in got] == expected
+
+
+def test_smote_rows_lie_between_neighbours(spark):
+    """One feature: every made row lies between a minority row and one of its two nearest."""
+    rows = [(i, float(i * i), 1) for i in range(12)] + [(100 + i, -1.0, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, label int")
+    made = [r.x for r in models.smote(df, ["x"], "label", ["id"], k=2).filter("label = 1").collect()]
+    squares = [float(i * i) for i in range(12)]
+    near = {x: sorted((abs(x - o), o) for o in squares if o != x)[:2] for x in squares}
+    assert len(made) == 60 and set(squares) <= {round(x, 9) for x in made}
+    assert all(any(min(x, o) - 1e-9 <= m <= max(x, o) + 1e-9 for x, n in near.items() for _, o in n) for m in made)
+
+
 def test_importances(labelled):
     model = models.gbt_classifier(COVARIATES, maxIter=2, maxDepth=2)(labelled)
     gains = models.gain_importance(labelled, model, COVARIATES)
@@ -97,6 +120,51 @@ def test_isotonic_micro_case(spark):
     assert [r.p for r in blend.apply_isotonic(asked, model, "x", "p").orderBy("x").collect()] == pytest.approx([1 / 3, 2 / 3, 1])
 
 
+def _max_min(points):
+    """The rising curve at each point: the largest over starts of the smallest mean up to an end."""
+    y, w = np.array([p[1] for p in points]), np.array([p[2] for p in points])
+    sums, weights = np.concatenate([[0], np.cumsum(y)]), np.concatenate([[0], np.cumsum(w)])
+    mean = lambda a, b: (sums[b + 1] - sums[a]) / (weights[b + 1] - weights[a])
+    return [max(min(mean(a, b) for b in range(i, len(points))) for a in range(i + 1)) for i in range(len(points))]
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising", "cascade", "equal"])
+def test_violators_are_pooled_over_ranges(spark, shape):
+    """Ranges of 16 points: the blocks are those of the whole curve, whatever crosses the ranges."""
+    rng = np.random.default_rng(3)
+    y = {
+        "noise": np.arange(120) // 30 + rng.integers(0, 4, 120),
+        "falling": np.arange(120)[::-1],
+        "rising": np.arange(120),
+        "cascade": np.concatenate([np.arange(119), [-5000]]),
+        "equal": np.full(120, 3),
+    }[shape].astype(float)
+    points = [(float(i), float(t), float(w)) for i, (t, w) in enumerate(zip(y, rng.integers(1, 4, 120), strict=True))]
+    frame = spark.createDataFrame(points, "lo double, total double, weight double").repartition(5).withColumn("hi", F.col("lo"))
+    blocks = blend.pool_violators(frame.select("lo", "hi", "total", "weight"), task_rows=16).orderBy("lo").collect()
+    means = [b.total / b.weight for b in blocks]
+    assert all(a < b for a, b in zip(means, means[1:], strict=False))
+    curve = [m for b, m in zip(blocks, means, strict=True) for _ in range(int(b.lo), int(b.hi) + 1)]
+    assert curve == pytest.approx(_max_min(points))
+
+
+def test_a_million_falling_scores_leave_one_block(spark):
+    points = spark.range(1_000_000).select(
+        F.col("id").cast("double").alias("lo"), F.col("id").cast("double").alias("hi"), (-F.col("id")).cast("double").alias("total"), F.lit(1.0).alias("weight")
+    )
+    rows = blend.pool_violators(points, task_rows=100_000).collect()
+    assert [(r.lo, r.hi, r.weight) for r in rows] == [(0.0, 999_999.0, 1e6)]
+
+
+def test_isotonic_leaves_out_missing_and_falls(spark):
+    rows = [(0.1, 1.0), (0.2, 1.0), (0.3, 0.0), (0.4, 1.0), (0.5, 0.0), (None, 1.0), (float("nan"), 0.0), (0.1, None)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    model = blend.fit_isotonic(df, "x", "y", increasing=False)
+    asked = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.35,), (0.4,), (0.5,)], "x double")
+    got = [r.p for r in blend.apply_isotonic(asked, model, "x", "p").orderBy("x").collect()]
+    assert got == pytest.approx([1, 1, 0.5, 0.5, 0.5, 0])
+
+
 def test_second_stage_never_rises_with_hidden(labelled):
     df = labelled.withColumn("hidden", F.col("id") % 7).withColumn("p", F.lit(0.3))
     scored = blend.monotone_second_stage(df, "hidden", "p", "label", "s").groupBy("hidden").agg(F.max("s").alias("s"))
