@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ebbtide.catalog import sql as S
 from ebbtide.catalog.registry import query
 from ebbtide.functions.columns import apply_categories, fit_categories
-from ebbtide.operators import activity, assemble, balance, derived, network
+from ebbtide.operators import activity, assemble, balance, derived, dictionary, network
 from ebbtide.plans import features as plan
 from ebbtide.session import materialize
 from ebbtide.sources import roles
+from ebbtide.sources.tables import table
 
 Q, EW, OW = roles.QUARTER, roles.EVENTS_WINDOW, roles.ORDERS_WINDOW
 
@@ -159,6 +160,20 @@ def _(spark, folder):
     return apply_categories(base, fit_categories(profiles, ["GENDER", "REGION"]))
 
 
+@query(
+    "category_dictionary",
+    "o_orderkey:i code:i",
+    """WITH known AS (SELECT DISTINCT o_custkey || '/' || o_orderpriority AS v FROM orders WHERE o_orderstatus <> 'P'),
+      codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM known)
+      SELECT o_orderkey, coalesce(code, -1) AS code FROM orders LEFT JOIN codes ON v = o_custkey || '/' || o_orderpriority""",
+)
+def _(spark, folder):
+    value = F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority")
+    orders = table(spark, folder, "orders").withColumn("code", value)
+    fitted = dictionary.category_dictionary(orders.filter("o_orderstatus <> 'P'"), "code")
+    return dictionary.apply_dictionary(orders, "code", fitted)
+
+
 WIDE_CTES, WIDE_SPEC = S.wide(Q)
 
 

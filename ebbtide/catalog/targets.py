@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.catalog import sql as S
 from ebbtide.catalog.registry import query
+from ebbtide.functions.columns import hex_suffix_key
 from ebbtide.operators import activity, audit, blend, decisions, km, labels, metrics, ranks
 from ebbtide.session import materialize
 from ebbtide.sources import roles
@@ -274,6 +275,55 @@ def _(spark, folder):
     return audit.contiguity_test(audit.id_blocks(table(spark, folder, "orders"), "o_custkey", "o_orderkey"))
 
 
+# Identifiers of 32 digits: the order key in the upper 64 bits, a number from the order's customer in the lower ones.
+LONG_ID = "CAST(o_orderkey AS HUGEINT) * 18446744073709551616 + (o_custkey * 7919) % 100003"
+LONG_ORDERS = f"long_orders AS (SELECT o_custkey, o_orderdate, {LONG_ID} AS number FROM orders)"
+
+
+def _long_ids(spark, folder):
+    digits = lambda value: F.lpad(F.hex(value), 16, "0")
+    text = F.concat(digits(F.col("o_orderkey").cast("long")), digits(F.col("o_custkey").cast("long") * 7919 % 100003))
+    keys = _orders_clock(spark, folder).withColumn("number", hex_suffix_key(text))
+    return keys.select("o_custkey", "clock", "number", "o_orderkey")
+
+
+@query(
+    "id_monotone_long",
+    "entities:i mono:f",
+    S.with_(LONG_ORDERS, select=_mono_sql("long_orders", "o_custkey", "o_orderdate", "number")),
+)
+def _(spark, folder):
+    return audit.id_monotone_share(_long_ids(spark, folder), "o_custkey", "clock", "number")
+
+
+@query(
+    "leak_verdict_long",
+    "corr:f mono:f leak:i",
+    S.with_(LONG_ORDERS, select=_verdict_sql("long_orders", "o_custkey", "o_orderdate", "number")),
+)
+def _(spark, folder):
+    return audit.leak_verdict(_long_ids(spark, folder), "o_custkey", "clock", "number", ["o_orderkey"])
+
+
+def _long_blocks_sql() -> str:
+    """As ``_blocks_sql``, all counts 128-bit integers."""
+    return _blocks_sql("o_custkey", "number", "long_orders").replace("AS BIGINT", "AS HUGEINT")
+
+
+@query(
+    "id_blocks_long",
+    "id:i n:i fid:s lid:s hidden:s internal_holes:s",
+    S.with_(
+        LONG_ORDERS,
+        _long_blocks_sql(),
+        select="""SELECT id, n, lpad(lower(hex(fid)), 64, '0') AS fid, lpad(lower(hex(lid)), 64, '0') AS lid, hidden, internal_holes
+                  FROM blocks""",
+    ),
+)
+def _(spark, folder):
+    return audit.id_blocks(_long_ids(spark, folder), "o_custkey", "number")
+
+
 LABELLED = "lab AS (SELECT o_orderkey AS id, CAST(o_totalprice > 250000 AS INT) AS label FROM orders)"
 
 

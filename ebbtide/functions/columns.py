@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ HEX_DIGITS = 31
 def hex_suffix_to_number(column: Column) -> Column:
     """Value of the hexadecimal text after the last dash as ``decimal(38, 0)``, exact for up to 31 digits.
 
-    Text that is not hexadecimal, or longer, has no value; ``unparsed_share`` tells how much that is.
+    Text that is not hexadecimal, or longer, has no value; ``unparsed_share`` tells how much that is. Longer ones have
+    an ordered text, ``hex_suffix_key``.
     """
     tail = F.substring_index(column, "-", -1)
     padded = F.lpad(tail, HEX_DIGITS + 1, "0")
@@ -118,6 +120,46 @@ def unparsed_share(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(missing).alias("unparsed"))
 
 
+KEY_DIGITS = 64
+LARGEST_DIFFERENCE = 10**37
+
+
+def hex_suffix_key(column: Column) -> Column:
+    """The hexadecimal text after the last dash in lower case, zeros in front, so that text order is number order.
+
+    Holds up to ``KEY_DIGITS`` digits: identifiers of 128 and 256 bits. NULL where the text is not hexadecimal or longer.
+    """
+    tail = F.substring_index(column, "-", -1)
+    return F.when(tail.rlike(f"^[0-9A-Fa-f]{{1,{KEY_DIGITS}}}$"), F.lpad(F.lower(tail), KEY_DIGITS, "0"))
+
+
+def common_digits(df: DataFrame, column: str) -> int:
+    """Number of leading digits that all keys of a column share, from its smallest and its largest key."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return len(commonprefix([low or "", high or ""]))
+
+
+def hex_position(key: Column, skip: int = 0) -> Column:
+    """The 64 bits after the first ``skip`` digits as a double; never falls as the key rises, if those digits are shared."""
+    start = min(skip, KEY_DIGITS - 1) + 1
+    return F.conv(F.substring(key, start, 16), 16, 10).cast("double")
+
+
+def hex_difference(later: Column, earlier: Column) -> Column:
+    """``later - earlier`` of two keys as ``decimal(38, 0)``, exact up to ``LARGEST_DIFFERENCE`` and cut there.
+
+    Eight digits at a time from the front, so equal leading digits cost nothing.
+    """
+    total = F.lit(0).cast("decimal(38,0)")
+    digits = lambda key, start: F.conv(F.substring(key, start, 8), 16, 10).cast("decimal(10,0)")
+    for start in range(1, KEY_DIGITS + 1, 8):
+        grown = F.try_multiply(total, F.lit(16**8).cast("decimal(10,0)"))
+        total = F.try_add(grown, digits(later, start) - digits(earlier, start)).cast("decimal(38,0)")
+    largest = F.lit(str(LARGEST_DIFFERENCE)).cast("decimal(38,0)")
+    inside = total.between(-largest, largest)
+    return F.when(inside, total).when(later > earlier, largest).when(later < earlier, -largest)
+
+
 def fill_missing(df: DataFrame, by_column: dict[str, float], rest: float | None = None) -> DataFrame:
     """Fill NULL and NaN: named columns with their own constant, then all other numeric columns with ``rest``."""
     if by_column:

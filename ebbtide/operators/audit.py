@@ -1,4 +1,8 @@
-"""Leakage audits: dates after the window, identifiers that encode time or hidden activity."""
+"""Leakage audits: dates after the window, identifiers that encode time or hidden activity.
+
+An identifier is a number, or a text of ``hex_suffix_key``, which holds more digits than any number type and
+keeps their order; the audits compare such texts whole.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ebbtide.functions.columns import interval_labels, right_closed_bin
+from ebbtide.functions.columns import common_digits, hex_difference, hex_position, interval_labels, right_closed_bin
 from ebbtide.operators.ranks import assign_bucket, average_rank, bucket_count, join_null_safe, next_value, sketch_splits
 
 HIDDEN_EDGES = (0, 1, 2, 3, 5, 8, 13, 21, 34, 55, float("inf"))  # fixed values: bin edges of hidden counts
@@ -33,9 +37,18 @@ def assert_no_future(tables: Mapping[str, tuple[DataFrame, Column]], last_day: d
 
 
 def id_time_correlation(df: DataFrame, time: str, number: str, row_id: Sequence[str]) -> DataFrame:
-    """Correlation of the position in time (ties averaged) with a numeric identifier."""
+    """Correlation of the position in time (ties averaged) with an identifier.
+
+    A text counts by the 64 bits after the digits that all identifiers share, which a correlation cannot tell from the
+    whole number.
+    """
     ranked = average_rank(df, time, "_position", row_id)
-    return ranked.agg(F.corr("_position", number).alias("corr"))
+    value = hex_position(F.col(number), common_digits(df, number)) if _is_text(df, number) else F.col(number)
+    return ranked.agg(F.corr(F.col("_position"), value).alias("corr"))
+
+
+def _is_text(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] == "string"
 
 
 def previous_in_entity(df: DataFrame, entity: str, time: str, value: str, out: str, buckets: int | None = None) -> DataFrame:
@@ -82,18 +95,22 @@ def leak_verdict(df: DataFrame, entity: str, time: str, number: str, row_id: Seq
 def id_blocks(df: DataFrame, entity: str, number: str) -> DataFrame:
     """Identifier range per entity, ids missing inside it and ids up to the next entity's range.
 
-    ``fid, lid, n, internal_holes, hidden``; the last range has no successor and hides nothing.
+    ``fid, lid, n, internal_holes, hidden``; the last range has no successor and hides nothing. Counts between texts
+    are exact up to 37 digits and cut there.
     """
     ranges = df.groupBy(entity).agg(F.min(number).alias("fid"), F.max(number).alias("lid"), F.count(F.lit(1)).alias("n"))
-    followed = next_value(ranges, "fid", "_next")
-    after_all = ranges.agg(F.max("lid") + 1).scalar()
+    if _is_text(df, number):
+        ranges = ranges.withColumn("_place", hex_position(F.col("fid"), common_digits(df, number)))
+        followed = next_value(ranges, "fid", "_next", place="_place")
+        last = ranges.agg(F.max("lid")).scalar()
+        to_next, inside = hex_difference(F.col("_next"), F.col("lid")) - 1, hex_difference(F.col("lid"), F.col("fid"))
+        hidden = F.when(F.col("_next").isNull(), hex_difference(last, F.col("lid"))).otherwise(to_next)
+    else:
+        followed = next_value(ranges, "fid", "_next")
+        after_all = ranges.agg(F.max("lid") + 1).scalar()
+        hidden, inside = F.coalesce("_next", after_all) - F.col("lid") - 1, F.col("lid") - F.col("fid")
     return followed.select(
-        F.col(entity).alias("id"),
-        "fid",
-        "lid",
-        "n",
-        (F.coalesce("_next", after_all) - F.col("lid") - 1).alias("hidden"),
-        (F.col("lid") - F.col("fid") + 1 - F.col("n")).alias("internal_holes"),
+        F.col(entity).alias("id"), "fid", "lid", "n", hidden.alias("hidden"), (inside + 1 - F.col("n")).alias("internal_holes")
     )
 
 

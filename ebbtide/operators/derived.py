@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
-from ebbtide.functions.columns import EPS, apply_categories, fill_missing, flag, zero_if_null
+from ebbtide.functions.columns import EPS, fill_missing, flag, zero_if_null
 from ebbtide.operators.activity import TYPE_STEMS
 from ebbtide.operators.balance import EMPTY_WALLET
+from ebbtide.operators.dictionary import apply_codes
 from ebbtide.window import ObservationWindow
 
 c = F.col
@@ -182,9 +183,9 @@ def derive_all(df: DataFrame, window: ObservationWindow) -> DataFrame:
     return inactivity_flags(fill_missing(df, fills), window)
 
 
-def finalize_features(df: DataFrame, categories: dict[str, list], key: str = "id") -> DataFrame:
+def finalize_features(df: DataFrame, categories: dict[str, list | DataFrame], key: str = "id") -> DataFrame:
     """Category codes, then every numeric column as a filled double."""
-    coded = apply_categories(df, categories)
+    coded = apply_codes(df, categories)
     features = [name for name in coded.columns if name != key]
     return fill_missing(coded.selectExpr(key, *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features]), {}, rest=0.0)
 

@@ -294,14 +294,17 @@ def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[
     return {c: [found.get((c, float(p))) for p in probabilities] for c in columns}
 
 
-def next_value(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
+def next_value(df: DataFrame, value: str, out: str, buckets: int | None = None, place: str | None = None) -> DataFrame:
     """Next larger value over the whole table (``lead`` in global order); NULL for the last row.
 
+    A value that is not a number needs a number ``place`` that never falls as the value rises, to cut the range by.
+
     Inside a bucket this is a partitioned window; the last row of a bucket takes the smallest value of
     the next non-empty bucket from the one-row-per-bucket table.
     """
-    splits, _ = sketch_splits(df, [value], buckets or bucket_count(df))[value]
-    keyed = assign_bucket(df, value, splits, "_bucket")
+    place = place or value
+    splits, _ = sketch_splits(df, [place], buckets or bucket_count(df))[place]
+    keyed = assign_bucket(df, place, splits, "_bucket")
     firsts = keyed.groupBy("_bucket").agg(F.min(value).alias("_first"))
     firsts = firsts.select(
         "_bucket", F.lead("_first").over(W.partitionBy(F.lit(0)).orderBy("_bucket")).alias("_following")

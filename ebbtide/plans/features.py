@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ebbtide.functions.columns import fit_categories
 from ebbtide.operators import activity, assemble, balance, derived, network
+from ebbtide.operators.dictionary import fit_codes
 from ebbtide.session import materialize
 from ebbtide.window import ObservationWindow
 
@@ -47,7 +47,7 @@ def feature_matrix(
     balances: DataFrame,
     profiles: DataFrame,
     window: ObservationWindow,
-    categories: dict[str, list] | None = None,
+    categories: dict[str, list | DataFrame] | None = None,
     exact_senders: bool = False,
 ) -> DataFrame:
     """The complete numeric feature matrix keyed by ``id``; no NULL remains.
@@ -56,6 +56,6 @@ def feature_matrix(
     apart from the aggregations when the plan is compiled.
     """
     if categories is None:
-        categories = fit_categories(profiles, ["GENDER", "REGION"])
+        categories = fit_codes(profiles, ["GENDER", "REGION"])
     wide = materialize(assemble_features(trx, balances, profiles, window, exact_senders))
     return derived.finalize_features(derived.derive_all(wide, window), categories)
