@@ -113,6 +113,12 @@ def _(spark, folder):
     return cox.fit_cox(_with_segment(spark, folder), COVARIATES, strata=["c_mktsegment"]).summary(spark)
 
 
+@query("cox_concordance", "concordant:i tied_risk:i comparable:i c_index:f")
+def _(spark, folder):
+    df = materialize(_with_segment(spark, folder))
+    return cox.fit_cox(df, COVARIATES, strata=["c_mktsegment"]).concordance(df)
+
+
 @query("cox_start_stop", SUMMARY)
 def _(spark, folder):
     """Follow-up split at day 30: a covariate may take another value in the second part."""
@@ -164,6 +170,18 @@ def _(spark, folder):
     return parametric.fit_weibull_aft(_standard(frame(spark, folder), COVARIATES), COVARIATES).time_ratios(spark)
 
 
+@query("aft_summary", "feature:s coef:f time_ratio:f se:f lower:f upper:f z:f4 p:f")
+def _(spark, folder):
+    return parametric.fit_aft(frame(spark, folder), COVARIATES, "weibull").summary(spark)
+
+
+@query("aft_aic_concordance", "family:s aic:f4 best:i c_index:f")
+def _(spark, folder):
+    df = frame(spark, folder)
+    fits = [parametric.fit_aft(df, COVARIATES, f) for f in ("weibull", "lognormal", "loglogistic")]
+    return parametric.aic_table(spark, fits, df)
+
+
 @query("lognormal_aft", "feature:s coef:f time_ratio:f")
 def _(spark, folder):
     return parametric.fit_aft(frame(spark, folder), COVARIATES, "lognormal").time_ratios(spark)

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
+from ebbtide.operators.metrics import concordance
 from ebbtide.operators.quality import fit_scaler
 from ebbtide.operators.ranks import (
     assign_bucket,
@@ -200,6 +201,19 @@ class CoxModel:
         """``exp(beta . (x - mean))`` as a column expression."""
         return F.exp(self.linear_predictor())
 
+    def concordance(self, df: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
+        """One row ``concordant, tied_risk, comparable, c_index`` of the model's risk on ``df``.
+
+        A row censored at the time of an event outlives it. With strata only pairs of one stratum count, because
+        risks of different baselines do not compare; the strata are groups of one pass, their counts added up.
+        """
+        scored = df.withColumn("_risk", self.linear_predictor())
+        counts = concordance(scored, "_risk", time, event, tied_times=True, by=self.strata)
+        names = ["concordant", "tied_risk", "comparable"]
+        total = counts.agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+        share = F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("comparable"))
+        return total.withColumn("c_index", F.coalesce(share, F.lit(0.5)))
+
     def summary(self, spark) -> DataFrame:
         """Rows ``(feature, coef, hazard_ratio, se, lower, upper, z, p)``."""
         rows = []

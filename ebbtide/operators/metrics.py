@@ -6,14 +6,14 @@ it are bucketed (see ``ranks.running_totals``); no pair of rows is ever formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators.decisions import top_capture
-from ebbtide.operators.km import survival_table
+from ebbtide.operators.km import survival_at, survival_table
 from ebbtide.operators.ranks import (
     hash_rank,
     join_null_safe,
@@ -140,17 +140,24 @@ def ipcw_brier(df: DataFrame, times: Sequence[float], survival: Sequence[str], c
 
     ``curve`` is the censoring curve of the training data; columns ``brier_0 …`` follow ``times``.
     """
-    weighted = with_censoring_weight(df, curve)
-    at = _curve_at(curve, times)
+    scores = with_censoring_weight(df, curve).agg(*_weighted_errors(times, survival, _curve_at(curve, times)))
+    return _mean_over_times(scores, times, "brier_", "ibs")
+
+
+def _mean_over_times(scores: DataFrame, times: Sequence[float], prefix: str, out: str) -> DataFrame:
+    curve = [F.col(f"{prefix}{i}") for i in range(len(times))]
+    return scores.withColumn(out, V.trapezoid(curve, list(times)) / float(times[-1] - times[0]))
+
+
+def _weighted_errors(times: Sequence[float], survival: Sequence[str], at: Sequence[float], prefix: str = "brier_") -> list[Column]:
+    """Mean squared errors of rows with ``ipcw``, one aggregate per time; ``at`` is the censoring curve there."""
     columns = []
     for i, (t, s) in enumerate(zip(times, survival, strict=True)):
         early = (F.col("time") <= t) & (F.col("event") == 1)
         died = F.when(early, F.col(s) * F.col(s) * F.col("ipcw")).otherwise(F.lit(0.0))
         alive = F.when(F.col("time") > t, (1 - F.col(s)) * (1 - F.col(s)) / at[i]).otherwise(F.lit(0.0))
-        columns.append(F.avg(died + alive).alias(f"brier_{i}"))
-    scores = weighted.agg(*columns)
-    curve_columns = [F.col(f"brier_{i}") for i in range(len(times))]
-    return scores.withColumn("ibs", V.trapezoid(curve_columns, list(times)) / float(times[-1] - times[0]))
+        columns.append(F.avg(died + alive).alias(f"{prefix}{i}"))
+    return columns
 
 
 def _curve_at(curve: DataFrame, times: Sequence[float]) -> list[float]:
@@ -170,24 +177,26 @@ def time_dependent_auc(df: DataFrame, risk: str, times: Sequence[float], curve:
 
     Cases weigh 1/G(T) from the training censoring curve; equal risks count one half.
     """
-    weighted = with_censoring_weight(df, curve)
+    return _weighted_time_auc(with_censoring_weight(df, curve), risk, times)
+
+
+def _weighted_time_auc(weighted: DataFrame, risk: str, times: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    by = list(by)
     per_time = F.explode(F.array(*[F.lit(float(t)) for t in times])).alias("t")
     case = F.when((F.col("time") <= F.col("t")) & (F.col("event") == 1), F.col("ipcw")).otherwise(F.lit(0.0))
     control = (F.col("time") > F.col("t")).cast("double")
     hist = materialize(
-        weighted.select(F.col(risk).alias("score"), "time", "event", "ipcw", per_time)
-        .groupBy("t", "score")
+        weighted.select(*by, F.col(risk).alias("score"), "time", "event", "ipcw", per_time)
+        .groupBy(*by, "t", "score")
         .agg(F.sum(case).alias("case"), F.sum(control).alias("control"))
     )
-    run = running_totals(hist, "score", ["case", "control"], ["t"])
+    run = running_totals(hist, "score", ["case", "control"], [*by, "t"])
     won = F.col("case") * (F.col("cum_control") - F.col("control") / 2)
-    return run.groupBy("t").agg(F.try_divide(F.sum(won), F.max("tot_case") * F.max("tot_control")).alias("auc"))
+    return run.groupBy(*by, "t").agg(F.try_divide(F.sum(won), F.max("tot_case") * F.max("tot_control")).alias("auc"))
 
 
 def mean_time_auc(aucs: DataFrame, table: DataFrame, times: Sequence[float]) -> float:
     """Average of AUC(t) weighted by the drop of the survival curve over the evaluated times."""
-    from ebbtide.operators.km import survival_at
-
     surv = {r["t"]: r["surv"] for r in survival_at(table, times).collect()}
     score = {r["t"]: r["auc"] for r in aucs.collect()}
     total, previous = 0.0, 1.0
@@ -197,6 +206,44 @@ def mean_time_auc(aucs: DataFrame, table: DataFrame, times: Sequence[float]) ->
     return total / (1.0 - previous) if previous < 1.0 else float("nan")
 
 
+def survival_evaluation(
+    test: DataFrame, train: DataFrame, models: Mapping[str, tuple[str, Sequence[str]]], times: Sequence[float]
+) -> DataFrame:
+    """One row per model: ``model, c_index, ibs, mean_auc``.
+
+    ``models`` names a risk column and the survival columns at ``times`` (at least two, rising); censoring weights come from
+    ``train``, the weights of the times from the survival curve of ``test``. All models share the jobs: weights are
+    looked up once, Brier scores are one aggregate, and concordance and AUC take the model as a group. Rows without
+    a risk take part in neither; a model without a comparable pair has concordance 0.5; a time without cases or
+    controls adds nothing to the mean AUC; an empty table has no Brier score and no AUC.
+    """
+    curve = materialize(censoring_curve(train))
+    used = list(dict.fromkeys(c for risk, survival in models.values() for c in (risk, *survival)))
+    weighted = materialize(with_censoring_weight(test, curve).select("time", "event", "ipcw", *used))
+    risks = [F.struct(F.lit(m).alias("model"), plain_double(risk).alias("risk")) for m, (risk, _) in models.items()]
+    long = weighted.select("time", "event", "ipcw", F.explode(F.array(*risks)).alias("m")).select("time", "event", "ipcw", "m.*")
+    long = long.filter("risk is not null")
+
+    at, errors = _curve_at(curve, times), []
+    for i, (_, survival) in enumerate(models.values()):
+        errors += _weighted_errors(times, survival, at, f"brier_{i}_")
+    brier_row = weighted.agg(*errors)
+    for i in range(len(models)):
+        brier_row = _mean_over_times(brier_row, times, f"brier_{i}_", f"ibs_{i}")
+    ibs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"ibs_{i}").alias("ibs")) for i, m in enumerate(models)]))
+
+    surv = {r["t"]: r["surv"] for r in survival_at(survival_table(test), times).collect()}  # one row per asked time
+    levels = [1.0, *[1.0 if surv[float(t)] is None else float(surv[float(t)]) for t in times]]
+    drop = F.lit(0.0)
+    for t, before, after in zip(times, levels, levels[1:], strict=False):
+        drop = drop + F.when(F.col("t") == float(t), F.lit(before - after)).otherwise(F.lit(0.0))
+    aucs = _weighted_time_auc(long, "risk", times, ["model"]).groupBy("model")
+    mean_auc = aucs.agg(F.try_divide(F.sum(F.coalesce("auc", F.lit(0.0)) * drop), F.lit(1.0 - levels[-1])).alias("mean_auc"))
+    ranked = concordance(long, "risk", by=["model"]).select("model", "c_index")
+    row = brier_row.select(ibs.alias("r")).select("r.*").join(ranked, "model", "left").join(mean_auc, "model", "left")
+    return row.select("model", F.coalesce("c_index", F.lit(0.5)).alias("c_index"), "ibs", "mean_auc")
+
+
 # ---- concordance ----------------------------------------------------------------------------------------------
 
 DIGIT_BITS = 4

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.functions import vectors as V
+from ebbtide.operators.metrics import concordance
 from ebbtide.operators.quality import fit_scaler
 from ebbtide.session import materialize
 
@@ -176,6 +177,7 @@ class AftModel:
     coefficients: list[float]
     sigma: float
     log_likelihood: float
+    covariance: np.ndarray | None = None  # of the coefficients
 
     @property
     def aic(self) -> float:
@@ -212,6 +214,25 @@ class AftModel:
         rows = [(c, float(b), math.exp(b)) for c, b in zip(self.columns, self.coefficients, strict=True)]
         return spark.createDataFrame(rows, "feature string, coef double, time_ratio double")
 
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """Rows ``(feature, coef, time_ratio, se, lower, upper, z, p)``; the bounds are those of the ratio at 95 %.
+
+        Standard errors are Wald's, from the observed information of all parameters; NULL where it is singular.
+        """
+        rows = []
+        for i, (name, coef) in enumerate(zip(self.columns, self.coefficients, strict=True)):
+            variance = float("nan") if self.covariance is None else float(self.covariance[i, i])
+            if variance > 0:
+                se = math.sqrt(variance)
+                z = coef / se
+                rest = (se, math.exp(coef - 1.96 * se), math.exp(coef + 1.96 * se), z, math.erfc(abs(z) / math.sqrt(2)))
+            else:
+                rest = (None,) * 5
+            rows.append((name, float(coef), math.exp(coef), *rest))
+        return spark.createDataFrame(
+            rows, "feature string, coef double, time_ratio double, se double, lower double, upper double, z double, p double"
+        )
+
 
 @F.pandas_udf(T.DoubleType())
 def normal_survival(z: pd.Series) -> pd.Series:
@@ -270,7 +291,18 @@ def fit_aft(
             break
     coefficients = [theta[i + 1] / scaler[c][1] for i, c in enumerate(columns)]
     intercept = theta[0] - sum(b * scaler[c][0] for b, c in zip(coefficients, columns, strict=True))
-    return AftModel(family, list(columns), float(intercept), [float(b) for b in coefficients], math.exp(theta[-1]), float(ll))
+    spread = np.array([scaler[c][1] for c in columns])
+    covariance = _coefficient_covariance(h, spread)
+    return AftModel(family, list(columns), float(intercept), [float(b) for b in coefficients], math.exp(theta[-1]), float(ll), covariance)
+
+
+def _coefficient_covariance(hessian: np.ndarray, spread: np.ndarray) -> np.ndarray | None:
+    """Covariance of the original coefficients from the Hessian in ``(intercept, scaled beta, ln sigma)``."""
+    try:
+        inverse = np.linalg.inv(-hessian)
+    except np.linalg.LinAlgError:
+        return None
+    return inverse[1:-1, 1:-1] / np.outer(spread, spread)
 
 
 def fit_weibull_aft(df: DataFrame, columns: Sequence[str], time: str = "time", event: str = "event", **params) -> AftModel:
@@ -280,17 +312,30 @@ def fit_weibull_aft(df: DataFrame, columns: Sequence[str], time: str = "time", e
     )
     fitted = AFTSurvivalRegression(maxIter=100, tol=1e-9, **params).fit(staged)
     model = AftModel("weibull", list(columns), float(fitted.intercept), [float(b) for b in fitted.coefficients], float(fitted.scale), 0.0)
-    z = (F.ln("label") - model.location()) / model.sigma
-    ll = staged.agg(F.sum(F.col("censor") * (z - math.log(model.sigma) - F.ln("label")) - F.exp(z))).first()[0]
-    model.log_likelihood = float(ll)
+    size, theta = len(columns) + 2, np.array([model.intercept, *model.coefficients, math.log(model.sigma)])
+    rows = staged.select(*columns, F.ln("label").alias("y"), F.col("censor").alias("e"), F.lit(1.0).alias("n"))
+    sums = rows.mapInPandas(_partial_sums("weibull", theta, len(columns)), _SUMS)
+    total = sums.select(*[F.sum(F.element_at("sums", i + 1)) for i in range(1 + size + size * size)]).first()
+    model.log_likelihood = float(total[0])
+    model.covariance = _coefficient_covariance(np.array(total[1 + size :]).reshape(size, size), np.ones(len(columns)))
     return model
 
 
-def aic_table(spark: SparkSession, models: Sequence[AftModel]) -> DataFrame:
-    """Rows ``(family, log_likelihood, aic, best)``, lowest AIC first."""
+def aic_table(spark: SparkSession, models: Sequence[AftModel], df: DataFrame | None = None) -> DataFrame:
+    """Rows ``(family, log_likelihood, aic, best)``, lowest AIC first.
+
+    With ``df`` (``time, event`` and the covariates) also ``c_index``, the concordance of the predicted median times
+    there; all families are groups of one pass.
+    """
     best = min(models, key=lambda m: m.aic)
     rows = [(m.family, m.log_likelihood, m.aic, int(m is best)) for m in models]
-    return spark.createDataFrame(rows, "family string, log_likelihood double, aic double, best int").orderBy("aic")
+    table = spark.createDataFrame(rows, "family string, log_likelihood double, aic double, best int")
+    if df is not None:
+        risks = [F.struct(F.lit(m.family).alias("family"), (-m.median()).alias("risk")) for m in models]
+        long = df.select("time", "event", F.explode(F.array(*risks)).alias("r")).select("time", "event", "r.*")
+        ranked = concordance(long, "risk", tied_times=True, by=["family"])
+        table = table.join(ranked.select("family", "c_index"), "family", "left")
+    return table.orderBy("aic")
 
 
 def parametric_curves(df: DataFrame, model: AftModel, times: Sequence[float], row_id: str = "id") -> DataFrame:
