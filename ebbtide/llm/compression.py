@@ -7,7 +7,8 @@ divided by their sum, goes through a logistic curve fitted on labelled texts tha
 
 Defined results: a null or empty text has difference 0 and the score the curve gives there; repeated rows get
 equal scores; with fewer than ``LEAST`` texts of either label every score is the share of good labels (0.5
-without labels). If a label occurs twice for a document, the lower one counts.
+without labels). If a label occurs twice for a document, the lower one counts. An empty table gives no scores; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import windows_of
+from ebbtide.session import materialize
 
 LEAST = 8
 LEVEL = 3
+HASHES = 1 << 40
+SAMPLE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -94,19 +99,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(beta[0] / scale), float(beta[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[str, int]]:
-    """At most ``2 * per_label`` texts of each label, by a hash of the id; bounded, so it may go to the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """Whole texts of at most ``per_label`` documents of each label and at most ``sample_bytes`` of UTF-8 in all of a label.
+
+    The documents with the smallest hashes of their ids are taken, so the sample is the same in every run and
+    however the rows lie. A text longer than a sixteenth of ``sample_bytes`` teaches nothing; it is scored like any
+    other. Both bounds hold whatever the tables, so the sample may go to the driver.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    totals = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 40))
+    totals = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect() if r.quality in (0, 1)}
+    order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(HASHES)).alias("place")
     parts = []
     for quality in (0, 1):
-        most = int((1 << 40) * min(1.0, per_label / max(1, totals.get(quality, 0))))
-        parts.append(known.where((F.col("quality") == quality) & (order <= most)).limit(2 * per_label))
+        # ids below twice the expected hash are far more than enough, so only those are ordered
+        most = int(HASHES * min(1.0, (2 * per_label + 100) / max(1, totals.get(quality, 0))))
+        near = known.where(F.col("quality") == quality).select("doc_id", "quality", order).where(F.col("place") <= most)
+        parts.append(near.orderBy("place", "doc_id").limit(per_label))
     ids = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id")
-    picked = rows.groupBy("doc_id", "quality").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return [(r.text, int(r.quality)) for r in picked]
+    rows = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("bytes"))
+    fitting = rows.where(F.col("bytes") <= sample_bytes // 16).join(ids, "doc_id")
+    picked = materialize(fitting.groupBy("doc_id", "quality", "place").agg(F.max("text").alias("text")))
+    sizes = picked.select("doc_id", "quality", "place", F.octet_length("text").cast("long").alias("bytes"))
+    so_far = F.sum("bytes").over(W.partitionBy("quality").orderBy("place", "doc_id"))  # at most ``per_label`` rows
+    kept = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("doc_id")
+    found = picked.join(F.broadcast(kept), "doc_id").orderBy("doc_id").select("text", "quality").collect()
+    return [(r.text, int(r.quality)) for r in found]
 
 
 def fit(

@@ -58,3 +58,18 @@ def test_sample_takes_the_lower_of_two_labels(spark):
     sample = compression.labelled_sample(docs.unionByName(docs), twice, 10_000)
     assert len(sample) == 160 and {y for _, y in sample} == {0}
     assert len(compression.labelled_sample(docs, labels, 10)) <= 40
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    docs, labels = training(spark)
+    sample = compression.labelled_sample(docs, labels, 10)
+    assert [sum(y == q for _, y in sample) for q in (0, 1)] == [10, 10]
+    moved = compression.labelled_sample(docs.repartition(7), labels.repartition(5, "quality"), 10)
+    assert moved == sample
+    longest = spark.createDataFrame([(i, "x" * 5000) for i in range(2000, 2040)], "doc_id long, text string")
+    marked = longest.select("doc_id", F.lit(1).alias("quality"))
+    small = compression.labelled_sample(docs.unionByName(longest), labels.unionByName(marked), 1000, 16 * 400)
+    assert all(len(t.encode()) <= 400 for t, _ in small)
+    for quality in (0, 1):
+        assert 0 < sum(len(t.encode()) for t, y in small if y == quality) <= 16 * 400
+    assert compression.labelled_sample(docs.limit(0), labels, 10) == []
