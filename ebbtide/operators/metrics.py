@@ -55,26 +55,48 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
     return run.groupBy(*by).agg(F.sum(gained * F.col("cum_pos") / F.col("cum_all")).alias("ap"))
 
 
+def threshold_areas(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by…, auc, ap``: both areas from one histogram and one running sum, for all groups at once.
+
+    Counts from the highest score down are the totals less the counts below.
+    """
+    hist = materialize(score_histogram(df, score, label, by))
+    run = running_totals(hist, "score", ["pos", "neg"], by)
+    below = F.col("cum_neg") - F.col("neg") / 2
+    found = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
+    named = found + F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
+    pairs = F.max("tot_pos").cast("double") * F.max("tot_neg").cast("double")
+    return run.groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auc"),
+        F.sum(F.try_divide(F.col("pos"), F.col("tot_pos")) * found / named).alias("ap"),
+    )
+
+
 def classifier_metrics(df: DataFrame, score: str, label: str, row_id: Sequence[str], fraction: float = 0.1) -> DataFrame:
     """One row: AUC, average precision, precision and recall in the top fraction."""
-    top = top_capture(df, score, label, row_id, fraction)
-    return top.select(
-        auc(df, score, label).scalar().alias("auc"),
-        average_precision(df, score, label).scalar().alias("ap"),
-        F.col("precision").alias("p_at_10"),
-        F.col("recall").alias("r_at_10"),
-    )
+    areas = threshold_areas(df, score, label).select(F.struct("auc", "ap").alias("areas")).scalar()
+    top = top_capture(df, score, label, row_id, fraction).withColumn("areas", areas)
+    return top.select("areas.auc", "areas.ap", F.col("precision").alias("p_at_10"), F.col("recall").alias("r_at_10"))
 
 
 def model_table(df: DataFrame, scores: Sequence[str], label: str, row_id: Sequence[str], minutes=None) -> DataFrame:
-    """``classifier_metrics`` of several score columns, one row per model."""
+    """``model, auc, ap, p_at_10, r_at_10, fit_min``: ``classifier_metrics`` of several score columns, one row per model.
+
+    The areas of all models come from one scan; ``minutes`` by model, 0 where unknown.
+    """
+    scored = [F.struct(F.lit(name).alias("model"), F.col(f"`{name}`").cast("double").alias("score")) for name in scores]
+    long = df.select(F.col(f"`{label}`").alias("y"), F.explode(F.array(*scored)).alias("s")).select("y", "s.*")
+    areas = threshold_areas(long, "score", "y", ["model"])
     out = None
     for name in scores:
-        row = classifier_metrics(df, name, label, row_id).select(
-            F.lit(name).alias("model"), "*", F.lit(float((minutes or {}).get(name, 0.0))).alias("fit_min")
+        row = top_capture(df, name, label, row_id).select(
+            F.lit(name).alias("model"),
+            F.col("precision").alias("p_at_10"),
+            F.col("recall").alias("r_at_10"),
+            F.lit(float((minutes or {}).get(name, 0.0))).alias("fit_min"),
         )
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.join(areas, "model", "left").select("model", "auc", "ap", "p_at_10", "r_at_10", "fit_min")
 
 
 # ---- survival probabilities ---------------------------------------------------------------------------------

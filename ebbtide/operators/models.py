@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators.decisions import monotone_probabilities
-from ebbtide.operators.metrics import classifier_metrics, concordance
+from ebbtide.operators.metrics import classifier_metrics, concordance, model_table
 from ebbtide.operators.ranks import hash_order, hash_rank
 from ebbtide.operators.splits import holdout_split, sample_n, undersample
 from ebbtide.session import materialize
@@ -136,19 +136,21 @@ def horizon_models(
 def compare_models(
     train: DataFrame, models: dict[str, Fitter], k: int, label: str, row_id: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold scores of every model as columns, and the table of their metrics with fit minutes."""
+    """Out-of-fold scores of every model and of their mean, ``ensemble``, as columns, and the table of their metrics.
+
+    ``fit_min`` is a model's time to fit and score in minutes, for the ensemble that of all models together.
+    """
+    if "ensemble" in models:
+        raise ValueError("ensemble is the name of the mean of all models")
     scored, minutes = train, {}
     for name, fit in models.items():
         started = clock.monotonic()
         scored, _ = out_of_fold(scored, None, fit, k, name)
         scored = materialize(scored)
         minutes[name] = (clock.monotonic() - started) / 60
-    table = None
-    for name in models:
-        row = classifier_metrics(scored, name, label, row_id).select(
-            F.lit(name).alias("model"), "*", F.lit(minutes[name]).alias("fit_min")
-        )
-        table = row if table is None else table.unionByName(row)
+    scored = scored.withColumn("ensemble", V.mean([F.col(name) for name in models]))
+    minutes["ensemble"] = sum(minutes.values())
+    table = model_table(scored, list(minutes), label, row_id, minutes)
     return scored, table
 
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import COVARIATES
 from pyspark.sql import functions as F
 
-from ebbtide.operators import cox, km, metrics, parametric
+from ebbtide.operators import cox, km, metrics, models, parametric
 
 TIMES = [2.0, 4.0, 6.0]
 
@@ -92,3 +92,40 @@ def test_aic_table_with_concordance(spark, recipe, recipe_df):
         location = recipe[COVARIATES].to_numpy(float) @ np.array(model.coefficients)
         won, tied, pairs = _brute_concordance(recipe.time.to_numpy(), recipe.event.to_numpy(), -location)
         assert rows[model.family].c_index == pytest.approx((won + tied / 2) / pairs, abs=1e-6)
+
+
+def _brute_areas(score, y):
+    won = sum((score[y == 1][:, None] > score[y == 0]).sum(1)) + (score[y == 1][:, None] == score[y == 0]).sum() / 2
+    levels = np.unique(score)[::-1]
+    ap = sum(((score == v) & (y == 1)).sum() / y.sum() * (y[score >= v].sum() / (score >= v).sum()) for v in levels)
+    return won / (y.sum() * (len(y) - y.sum())), ap
+
+
+def test_areas_of_many_models_equal_pair_counts(recipe, recipe_df):
+    y = recipe.event.to_numpy()
+    df = recipe_df.withColumn("decade", F.floor(F.col("age") / 10))
+    rows = {r.model: r for r in metrics.model_table(df, ["age", "decade"], "event", ["id"], {"age": 2.0}).collect()}
+    assert rows["age"].fit_min == 2.0 and rows["decade"].fit_min == 0.0
+    for name, score in (("age", recipe.age.to_numpy()), ("decade", np.floor(recipe.age.to_numpy() / 10))):
+        expected = _brute_areas(score, y)
+        assert (rows[name].auc, rows[name].ap) == pytest.approx(expected)
+        one = metrics.classifier_metrics(df, name, "event", ["id"]).first()
+        assert (one.auc, one.ap) == pytest.approx(expected)
+        assert (one.p_at_10, one.r_at_10) == pytest.approx((rows[name].p_at_10, rows[name].r_at_10))
+
+
+def test_areas_without_a_class_are_null(recipe_df):
+    row = metrics.classifier_metrics(recipe_df.filter("event = 1"), "age", "event", ["id"]).first()
+    assert row.auc is None and row.ap == pytest.approx(1.0)
+
+
+def test_compared_models_get_an_ensemble_row(recipe_df):
+    df = recipe_df.withColumn("label", F.col("event")).withColumn("fold", (F.col("id") % 2).cast("int"))
+    fits = {"few": models.logistic_classifier(["age"]), "all": models.logistic_classifier(COVARIATES)}
+    scored, table = models.compare_models(df, fits, 2, "label", ["id"])
+    assert scored.filter(F.abs(F.col("ensemble") - (F.col("few") + F.col("all")) / 2) > 1e-12).count() == 0
+    rows = {r.model: r for r in table.collect()}
+    assert set(rows) == {"few", "all", "ensemble"}
+    assert rows["ensemble"].fit_min == pytest.approx(rows["few"].fit_min + rows["all"].fit_min)
+    with pytest.raises(ValueError):
+        models.compare_models(df, {"ensemble": fits["few"]}, 2, "label", ["id"])
