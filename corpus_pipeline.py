@@ -16,6 +16,9 @@ from ebbtide.llm.common import bounded_batches, read
 from ebbtide.llm.queries import DOMAINS, LANGUAGES, MAX_EPOCHS, PII_KEY, SOURCES, domain_of_source
 from ebbtide.session import materialize
 
+#: Differing bits of two linked fingerprints.
+RADIUS = 2
+
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language can be told, with the predicted language where ``lang`` is null.
@@ -30,9 +33,13 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of the smallest id of every group linked by five-word similarity of 0.8 or more."""
+    """The document of the smallest id of every near-duplicate group of five-word shingles.
+
+    Documents are linked where their SimHash fingerprints differ in at most ``RADIUS`` bits. Fingerprints of texts that share
+    four fifths of their shingles lie up to some 20 bits apart, so those of similarity 0.8 or more, confirmed exactly, are linked too.
+    """
     bounded_batches(spark)
-    return simhash.keep_first(docs, materialize(shingles.grouped(docs.select("doc_id", "text"))))
+    return simhash.keep_first(docs, materialize(shingles.grouped(docs.select("doc_id", "text"), radius=RADIUS)))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

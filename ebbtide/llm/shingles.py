@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import broadcast_if_small, partitions
-from ebbtide.llm.simhash import HASHES, SEED, _edge_batch, _forest, components
+from ebbtide.llm.simhash import SEED, Majority, _edge_batch, _forest, components, roots_of, shingle_hashes
 from ebbtide.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
@@ -34,20 +34,24 @@ MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, np.
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted different hashes of a text's shingles."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    n = max(1, len(tokens) - words + 1)
-    if not tokens:
+    return _merged([np.unique(piece) for piece in shingle_hashes(text, words)])
+
+
+def _merged(pieces: list[np.ndarray]) -> np.ndarray:
+    if not pieces:
         return np.empty(0, np.uint64)
-    ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
-    starts = [0, *ends]
-    joined, hashed, last = b" ".join(tokens), xxhash.xxh64_intdigest, len(tokens) - 1
-    pieces = [
-        np.unique(np.fromiter((hashed(joined[starts[i] : ends[min(i + words - 1, last)] - 1], SEED) for i in range(a, min(n, a + HASHES))), np.uint64))
-        for a in range(0, n, HASHES)
-    ]
     return pieces[0] if len(pieces) == 1 else np.unique(np.concatenate(pieces))
 
 
+def print_and_set(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
+    """The SimHash of a text and the sorted different hashes of its shingles, hashed once."""
+    majority, pieces = Majority(), []
+    for piece in shingle_hashes(text, words):
+        majority.add(piece)
+        pieces.append(np.unique(piece))
+    return majority.value(), _merged(pieces)
+
+
 def band_keys(items: np.ndarray) -> np.ndarray:
     """One key per band: the hash of its number and its minimum hashes; none for the empty set."""
     if not len(items):
@@ -59,18 +63,18 @@ def band_keys(items: np.ndarray) -> np.ndarray:
 
 
 def signatures(text: Column, words: int = WORDS) -> Column:
-    """``node`` (the hash of the shingle set), ``size`` and ``bands`` of a text column; one set is held at a time."""
+    """``node`` (the hash of the shingle set), ``fp`` (the SimHash), ``size`` and ``bands`` of a text column; one set is held at a time."""
 
-    @F.arrow_udf("node long, size int, bands array<long>")
+    @F.arrow_udf("node long, fp long, size int, bands array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            nodes, sizes, bands = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int32), []
+            nodes, fps, sizes, bands = np.empty(len(texts), np.uint64), np.empty(len(texts), np.uint64), np.empty(len(texts), np.int32), []
             for i, t in enumerate(texts):
-                items = shingle_set(t.as_py(), words)
+                fps[i], items = print_and_set(t.as_py(), words)
                 nodes[i], sizes[i] = xxhash.xxh64_intdigest(items.tobytes(), SEED), len(items)
                 bands.append(band_keys(items).view(np.int64))
-            columns = [pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(columns, names=["node", "size", "bands"])
+            columns = [pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, names=["node", "fp", "size", "bands"])
 
     return of(text)
 
@@ -191,15 +195,28 @@ def near_edges(shared: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     return dealt.sortWithinPartitions("key", "role").mapInArrow(lambda batches: _compare(batches, similarity), "a long, b long")
 
 
-def grouped(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, text_hash, root`` of every row; ``root`` names the group of linked texts."""
+def print_edges(prints: DataFrame, radius: int) -> DataFrame:
+    """Edges ``a, b`` that connect all nodes (``node, fp``) whose fingerprints are linked within ``radius`` bits."""
+    pairs = materialize(prints.select("node", "fp").distinct())
+    roots = roots_of(materialize(pairs.select("fp").distinct()), radius).withColumnRenamed("root", "print")
+    named = materialize(pairs.join(roots, "fp").select("node", "print"))
+    lows = named.groupBy("print").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("print", "low")
+    return named.join(lows, "print").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def grouped(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, root`` of every row; ``root`` names the group of linked texts.
+
+    With ``radius`` texts whose SimHash fingerprints of the same shingles differ in that many bits at most are linked as well.
+    """
     row = F.xxhash64("doc_id", "text")
     signed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), row.alias("row"), signatures(F.col("text"), words).alias("s"))
-    prints = materialize(signed.select("doc_id", "text_hash", "row", "s.node", "s.size", "s.bands"))
+    prints = materialize(signed.select("doc_id", "text_hash", "row", "s.node", "s.fp", "s.size", "s.bands"))
     distinct = materialize(prints.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("row").alias("row")))
     shared = materialize(candidates(distinct))
     wanted = broadcast_if_small(distinct.join(shared.select("node").distinct(), "node", "left_semi").select("node", "row"))
     texts = docs.select(row.alias("row"), "text").join(wanted, "row").select("node", "text")
     sets = materialize(shingle_sets(texts.dropDuplicates(["node"]), words))
-    roots = components(near_edges(shared, sets, similarity))
+    edges = near_edges(shared, sets, similarity)
+    roots = components(edges if radius is None else edges.unionByName(print_edges(prints, radius)))
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

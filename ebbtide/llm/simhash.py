@@ -38,26 +38,42 @@ BLOCK = 2048
 PARTITION_ROWS = 200_000
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a whole text; hashes are counted in bounded pieces."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a whole text's shingles, repeats included, in bounded pieces; a shorter text is one shingle."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(tokens) - words + 1
     if not tokens:
-        return 0
-    if n < 1:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
+        return
+    n, last = max(1, len(tokens) - words + 1), len(tokens) - 1
     ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
     starts = [0, *ends]
     joined, hashed = b" ".join(tokens), xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
     for first in range(0, n, HASHES):
-        last = min(n, first + HASHES)
-        h = np.fromiter(
-            (hashed(joined[starts[i] : ends[i + words - 1] - 1], SEED) for i in range(first, last)), np.uint64, last - first
+        stop = min(n, first + HASHES)
+        yield np.fromiter(
+            (hashed(joined[starts[i] : ends[min(i + words - 1, last)] - 1], SEED) for i in range(first, stop)), np.uint64, stop - first
         )
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+
+
+class Majority:
+    """Counts the bits of hashes piece by piece; ``value`` has the bits of more than half of them."""
+
+    def __init__(self) -> None:
+        self.counts, self.n = np.zeros(BITS, np.int64), 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        self.n += len(h)
+
+    def value(self) -> int:
+        return int(np.packbits(2 * self.counts > self.n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of a whole text; hashes are counted in bounded pieces."""
+    majority = Majority()
+    for piece in shingle_hashes(text, words):
+        majority.add(piece)
+    return majority.value()
 
 
 def fingerprints(text: Column, words: int = 3) -> Column:
@@ -229,12 +245,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = materialize(small(large(state).where("u != v").distinct()).where("u != v").distinct())
 
 
+def roots_of(distinct: DataFrame, radius: int) -> DataFrame:
+    """``fp, root`` of all different fingerprints; ``root`` is the smallest one reachable by links within ``radius`` bits."""
+    roots = components(near_edges(distinct, distinct.count(), radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def grouped(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     """``doc_id, text_hash, fp, root, component_id`` of every row; ``root`` names the group of fingerprints."""
     prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text"), words).alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_edges(distinct.select("fp"), distinct.count(), radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots_of(distinct.select("fp"), radius), "fp").select("fp", "least", "root")
     lows = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = materialize(named.join(lows, "root").select("fp", "root", "component_id"))
     return prints.join(final, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")

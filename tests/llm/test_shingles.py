@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from ebbtide.llm import shingles
+from ebbtide.llm import shingles, simhash
 from ebbtide.session import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,6 +64,28 @@ def test_near_copies_leave_the_pipeline_stage(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
 
 
+def test_stage_links_by_simhash_too(spark):
+    """Texts that repeat one passage have near fingerprints, though their sets share less than four fifths."""
+    rng, rows = random.Random(11), []
+    for k in range(6):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(7)] * 100
+        for j in range(2):
+            own = [f"t{rng.randrange(10**6)}" for _ in range(30)]
+            rows.append((2 * k + j, " ".join(passage + own), "en", "src1", 0))
+    texts = [r[1] for r in rows]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert all((prints[k] ^ prints[k + 1]).bit_count() <= 2 for k in range(0, 12, 2)) and not brute_links(texts)
+    kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 12, 2))
+
+
+@pytest.mark.parametrize("text", [None, " ", "a", "a b c d", "a b c d e", "A b c d e f " * 5000])
+def test_print_and_set_are_those_of_their_operators(text):
+    found, items = shingles.print_and_set(text)
+    assert found == simhash.fingerprint(text, 5) and items.tolist() == sorted(set(shingles.shingle_set(text).tolist()))
+    assert len(items) == len(words5(text))
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
 def test_recall_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
