@@ -7,14 +7,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators import histboost
 from ebbtide.operators.histboost import Target
-from ebbtide.operators.metrics import auc, concordance
+from ebbtide.operators.metrics import concordance
 from ebbtide.operators.ranks import average_rank
 from ebbtide.session import materialize
 
@@ -89,13 +91,87 @@ def apply_blend(df: DataFrame, survival_risk: str, signal: str, weight: float, o
     return ranked.withColumn(out, weight * F.col("_a") + (1 - weight) * F.col("_b")).drop("_a", "_b")
 
 
+TASK_ROWS, HELD_ROWS, BIN_ROWS, CUT_ROWS = 10_000, 50_000, 500_000, 4_000
+_PIECE = "candidate int, bin int, score binary, pos binary, neg binary"
+_PART = "candidate int, bin int, pos double, neg double, inside double"
+
+
+def _tallied(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different score once, rising, with its sums."""
+    values, at = np.unique(score, return_inverse=True)
+    return values, np.bincount(at, pos, len(values)), np.bincount(at, neg, len(values))
+
+
 def auc_of_blends(df: DataFrame, blends: dict[str, Column], label: str) -> dict[str, float]:
-    """AUC of several combined columns from one histogram per column, all in a single job."""
+    """AUC of several combined columns, all in a single job; NULL when a class is missing.
+
+    The scores of each candidate are cut into bins of about ``BIN_ROWS`` rows. A task sends the different scores of its
+    rows, packed by candidate and bin; a bin meets in one place, where its pairs are counted, and the pairs between bins
+    follow from the counts of the lower bins. Equal scores are added up before they move. The cut points come from the
+    rows of smallest hashes, ``CUT_ROWS`` at most; they decide on the balance of the bins and not on the result.
+    """
     names = list(blends)
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("score")) for n, c in blends.items()]))
-    long = df.select(pairs.alias("p"), F.col(label).alias("label")).select("p.*", "label")
-    found = {r["name"]: r["auc"] for r in auc(long, "score", "label", by=["name"]).collect()}
-    return {n: found.get(n) for n in names}
+    table = df.select(F.array(*[c.cast("double") for c in blends.values()]).alias("s"), F.col(label).cast("bigint").alias("y"))
+    table = table.where("y IS NOT NULL")
+    n = table.count()
+    bins = max(1, math.ceil(n / BIN_ROWS))
+    tasks = min(len(names) * bins, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = np.empty((len(names), 0))
+    if bins > 1:
+        drawn = table.where(F.pmod(F.xxhash64("s"), F.lit(max(1, 2 * n // CUT_ROWS))) == 0).select("s").limit(CUT_ROWS).collect()
+        if drawn:
+            cuts = np.quantile(np.array([r.s for r in drawn], np.float64), [i / bins for i in range(1, bins)], axis=0, method="lower").T
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD_ROWS:
+                yield pieces(held)
+                held, rows = [], 0
+        if rows:
+            yield pieces(held)
+
+    def pieces(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        scores = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names)) for b in held])
+        pos = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(np.float64)
+        out = []
+        for i in range(len(names)):
+            values, p, q = _tallied(scores[:, i], pos, 1 - pos)
+            edges = [0, *np.searchsorted(values, cuts[i], side="right").tolist(), len(values)]
+            out += [
+                (i, j, values[a:b].tobytes(), p[a:b].tobytes(), q[a:b].tobytes()) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b
+            ]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECE.split(", ")])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                _, p, q = _tallied(*[np.concatenate([np.frombuffer(piece[k], np.float64) for piece in held]) for k in range(3)])
+                inside = float((p * (np.cumsum(q) - q / 2)).sum())
+                columns = [pa.array([slot[0]], pa.int32()), pa.array([slot[1]], pa.int32()), *[pa.array([float(v)]) for v in (p.sum(), q.sum(), inside)]]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PART.split(", ")])
+
+        for batch in batches:
+            for i, j, *piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (i, j) != slot:
+                    yield from done()
+                    slot, held = (i, j), []
+                held.append(piece)
+        yield from done()
+
+    moved = table.mapInArrow(packed, _PIECE).repartition(tasks, "candidate", "bin")
+    parts = moved.sortWithinPartitions("candidate", "bin").mapInArrow(counted, _PART)
+    lower = F.coalesce(F.sum("neg").over(W.partitionBy("candidate").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    placed = parts.withColumn("pairs", F.col("inside") + F.col("pos") * lower)
+    area = F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg"))
+    found = {r.candidate: r.auc for r in placed.groupBy("candidate").agg(area.alias("auc")).collect()}
+    return {name: found.get(i) for i, name in enumerate(names)}
 
 
 def rank_ensemble(df: DataFrame, models: Sequence[str], label: str, row_id: Sequence[str], step: float = 0.05) -> DataFrame:
@@ -106,7 +182,10 @@ def rank_ensemble(df: DataFrame, models: Sequence[str], label: str, row_id: Sequ
     ranked = df
     for i, model in enumerate(models):
         ranked = average_rank(ranked, model, f"_r{i}", row_id)
-    ranked = materialize(ranked.select(label, *[f"_r{i}" for i in range(len(models))]))
+    # a row is small and its blends are many, so even a small table is dealt over all cores
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(math.ceil(n / TASK_ROWS), max(cores, math.ceil(n / BIN_ROWS))))
+    ranked = materialize(ranked.select(label, *[f"_r{i}" for i in range(len(models))]).repartition(tasks))
     parts = round(1 / step)
     grid = [w for w in _compositions(parts, len(models))]
     rows = []

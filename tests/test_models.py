@@ -7,7 +7,7 @@ import pytest
 from conftest import COVARIATES
 from pyspark.sql import functions as F
 
-from ebbtide.operators import audit, blend, decisions, models, quality, splits, tuning
+from ebbtide.operators import audit, blend, decisions, metrics, models, quality, splits, tuning
 
 
 @pytest.fixture(scope="module")
@@ -200,3 +200,27 @@ def test_scaler_caps_and_audit_forms(labelled):
     exact = {r.feature: r.p99_over_med for r in quality.skew_audit(labelled, ["age", "balance"]).collect()}
     sketch = {r.feature: r.p99_over_med for r in quality.skew_audit(labelled, ["age", "balance"], approximate=True).collect()}
     assert sketch == pytest.approx(exact, rel=0.05)
+
+
+def test_auc_of_blends_counts_over_bins(spark, monkeypatch):
+    """Bins of 50 rows, packed from batches of 30 and more, with ties, a heavy value, null labels and a single class."""
+    monkeypatch.setattr(blend, "BIN_ROWS", 50)
+    monkeypatch.setattr(blend, "HELD_ROWS", 30)
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.integers(40)), 7.0 if k % 3 else float(k), int(rng.random() < 0.3) if k % 11 else None) for k in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, y int").repartition(5)
+    blends = {"a": F.col("a"), "b": F.col("b"), "c": 3 * F.col("a") - F.col("b")}
+    found = blend.auc_of_blends(df, blends, "y")
+    for name, score in (("a", lambda a, b: a), ("b", lambda a, b: b), ("c", lambda a, b: 3 * a - b)):
+        pos, neg = ([score(a, b) for a, b, y in rows if y == k] for k in (1, 0))
+        wins = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg)
+        assert found[name] == wins / (len(pos) * len(neg))
+    assert blend.auc_of_blends(df.where("y = 1"), blends, "y") == {"a": None, "b": None, "c": None}
+    assert blend.auc_of_blends(df.where("y = 2"), blends, "y") == {"a": None, "b": None, "c": None}
+
+
+def test_auc_of_blends_moves_packed_bins_and_no_rows(spark, monkeypatch):
+    """No score leaves its task as a row: neither a histogram by score nor a running sum over it is made."""
+    monkeypatch.setattr(metrics, "score_histogram", None)
+    df = spark.range(1000).select("id", (F.col("id") % 10).alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    assert blend.rank_ensemble(df, ["a", "b"], "y", ["id"]).count() == 21
