@@ -301,14 +301,19 @@ def permutation_importance(
 ) -> DataFrame:
     """Rows ``(feature, importance, std)``: loss of concordance when a feature is shuffled.
 
-    ``risk`` adds a column ``risk`` to a table of features, times and events. All shuffles are scored by one
-    grouped concordance.
+    ``risk`` adds a column ``risk`` to a table of features, times and events. A repeat shuffles all features by the same
+    two numberings, made once, as ``shuffle_column`` does one. All shuffles are scored by one grouped concordance.
     """
     needed = ["risk", time, event]
     tables = risk(df).select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *needed)
-    for f in features:
-        for r in range(repeats):
-            shuffled = risk(shuffle_column(df, f, row_id, seed + r))
+    names = [f"_shuffled_{i}" for i in range(len(features))]
+    for r in range(repeats):
+        rows = hash_rank(df, row_id, "_r", f"{seed + r}-rows").drop("_r_of")
+        values = df.select(*row_id, *[F.col(f).alias(name) for f, name in zip(features, names, strict=True)])
+        values = hash_rank(values, row_id, "_r", f"{seed + r}-values").select("_r", *names)
+        met = materialize(rows.join(values, "_r").drop("_r"))
+        for f, name in zip(features, names, strict=True):
+            shuffled = risk(met.withColumn(f, F.col(name)).drop(*names))
             tables = tables.unionByName(shuffled.select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *needed))
     found = materialize(concordance(tables, "risk", time, event, by=["feature", "repeat"]))
     whole = found.filter("feature = ''").select(F.col("c_index").alias("whole"))

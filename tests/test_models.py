@@ -224,3 +224,15 @@ def test_auc_of_blends_moves_packed_bins_and_no_rows(spark, monkeypatch):
     monkeypatch.setattr(metrics, "score_histogram", None)
     df = spark.range(1000).select("id", (F.col("id") % 10).alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     assert blend.rank_ensemble(df, ["a", "b"], "y", ["id"]).count() == 21
+
+
+def test_permutation_importance_numbers_rows_once_a_repeat(labelled, monkeypatch):
+    """Two numberings per repeat, whatever the number of features; each feature is shuffled as ``shuffle_column`` does."""
+    features, calls, plain = ["age", "balance", "group"], [], models.hash_rank
+    monkeypatch.setattr(models, "hash_rank", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    risk = lambda x: x.withColumn("risk", F.col("age") / 30 - F.col("balance") / 2000 + F.col("group"))
+    found = {r.feature: r.importance for r in models.permutation_importance(labelled, risk, features, ["id"], repeats=2).collect()}
+    assert len(calls) == 4 and set(found) == set(features)
+    whole = metrics.concordance_index(risk(labelled), "risk")
+    shuffled = [metrics.concordance_index(risk(models.shuffle_column(labelled, "balance", ["id"], 42 + r)), "risk") for r in range(2)]
+    assert found["balance"] == pytest.approx(whole - sum(shuffled) / 2, abs=1e-12)
