@@ -17,7 +17,7 @@ from ebbtide.functions import vectors as V
 from ebbtide.operators import histboost
 from ebbtide.operators.histboost import Target
 from ebbtide.operators.metrics import concordance
-from ebbtide.operators.ranks import average_rank
+from ebbtide.operators.ranks import average_rank, average_ranks
 from ebbtide.session import materialize
 
 # fixed values: weights of the survival rank tried by the sweep
@@ -48,7 +48,7 @@ def risk_candidates(
             "risk_cox": F.col(hazard).cast("double"),
         }
     )
-    ranked = average_rank(average_rank(scored, "risk_cox", "_a", row_id), "risk_expected", "_b", row_id)
+    ranked = average_ranks(scored, [("risk_cox", "_a"), ("risk_expected", "_b")], row_id)
     return ranked.withColumn("risk_blend", 0.5 * F.col("_a") + 0.5 * F.col("_b")).drop("_a", "_b")
 
 
@@ -64,13 +64,14 @@ def blend_sweep(
 
     Ranks are computed once; the candidates become rows, and one grouped concordance scores them all.
     """
-    ranked = average_rank(df, survival_risk, "_r", row_id)
-    for i, signal in enumerate(timing):
-        ranked = average_rank(ranked, signal, f"_t{i}", row_id)
+    time, event = concordance_options.get("time", "time"), concordance_options.get("event", "event")
+    used = df.select(*dict.fromkeys([*row_id, time, event, survival_risk, *timing]))
+    names = [f"_t{i}" for i in range(len(timing))]
+    ranked = average_ranks(used, [(survival_risk, "_r"), *zip(timing, names, strict=True)], row_id)
+    ranked = materialize(ranked.select(time, event, survival_risk, "_r", *names))
     candidates = [("", 1.0, F.col(survival_risk).cast("double"))]
     for i, signal in enumerate(timing):
         candidates += [(signal, float(w), w * F.col("_r") + (1 - w) * F.col(f"_t{i}")) for w in weights]
-    time, event = concordance_options.get("time", "time"), concordance_options.get("event", "event")
     blends = F.array(*[F.struct(F.lit(i).alias("candidate"), c.alias("blend")) for i, (_, _, c) in enumerate(candidates)])
     rows = ranked.select(time, event, F.explode(blends).alias("b")).select(time, event, "b.candidate", "b.blend")
     scored = materialize(concordance(rows, "blend", by=["candidate"], **concordance_options).select("candidate", "c_index"))
@@ -87,7 +88,7 @@ def apply_blend(df: DataFrame, survival_risk: str, signal: str, weight: float, o
     """The chosen blend on another table, ranked within that table."""
     if not signal or weight == 1.0:
         return df.withColumn(out, F.col(survival_risk))
-    ranked = average_rank(average_rank(df, survival_risk, "_a", row_id), signal, "_b", row_id)
+    ranked = average_ranks(df, [(survival_risk, "_a"), (signal, "_b")], row_id)
     return ranked.withColumn(out, weight * F.col("_a") + (1 - weight) * F.col("_b")).drop("_a", "_b")
 
 
@@ -179,9 +180,7 @@ def rank_ensemble(df: DataFrame, models: Sequence[str], label: str, row_id: Sequ
 
     Candidate columns are scored in batches, one job per batch.
     """
-    ranked = df
-    for i, model in enumerate(models):
-        ranked = average_rank(ranked, model, f"_r{i}", row_id)
+    ranked = average_ranks(df, [(model, f"_r{i}") for i, model in enumerate(models)], row_id)
     # a row is small and its blends are many, so even a small table is dealt over all cores
     n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(math.ceil(n / TASK_ROWS), max(cores, math.ceil(n / BIN_ROWS))))
@@ -328,11 +327,10 @@ def banded_score(
     n_unknown, n_retained = unknown.count(), retained.count()
     unknown = average_rank(unknown, behaviour, "_b", row_id)
     unknown = unknown.withColumn("score", UNKNOWN_BAND[0] + UNKNOWN_BAND[1] * F.col("_b") / max(1, n_unknown)).withColumn("band", F.lit("B"))
-    retained = average_rank(retained.withColumn("_h", -F.col(hidden)), "_h", "_a", row_id)
-    retained = average_rank(retained, second or behaviour, "_b", row_id)
+    retained = average_ranks(retained.withColumn("_h", -F.col(hidden)), [("_h", "_a"), (second or behaviour, "_b")], row_id)
     # rounded so that blends that differ by floating-point noise tie
     retained = retained.withColumn("_c", F.round(weight * F.col("_a") + (1 - weight) * F.col("_b"), 9))
-    retained = average_rank(retained, "_c", "_d", row_id)
+    retained = average_ranks(retained, [("_c", "_d")], row_id)
     retained = retained.withColumn("score", POSITIVE_BAND[0] + POSITIVE_BAND[1] * F.col("_d") / max(1, n_retained)).withColumn("band", F.lit("C"))
     kept = [*df.columns, "score", "band"]
     out = certain.select(*kept)

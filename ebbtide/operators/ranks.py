@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ebbtide.session import materialize
+
 SUB_BUCKETS = 256
 
 
@@ -110,6 +112,17 @@ def average_rank(
     return ranked.withColumn(out, first + (ties - 1) / 2).drop(*_WORK)
 
 
+def average_ranks(df: DataFrame, columns: Sequence[tuple[str, str]], row_id: Sequence[str]) -> DataFrame:
+    """``average_rank`` of several columns, given as pairs ``(value, out)``.
+
+    A rank reads its input three times, for the cuts, the counts and the rows, so a chain of ranks would compute the
+    input of the first a power of the columns often. Each step is therefore written once and read from its files.
+    """
+    for value, out in columns:
+        df = average_rank(materialize(df), value, out, row_id)
+    return df
+
+
 def unique_rank(
     df: DataFrame, value: str, out: str, row_id: Sequence[str], seed: int | str = 0, buckets: int | None = None
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from ebbtide.functions import vectors as V
 from ebbtide.operators import audit, blend, decisions, histboost, metrics, models, splits
 from ebbtide.operators.histboost import Target
 from ebbtide.operators.quality import log_copies
-from ebbtide.operators.ranks import average_rank
+from ebbtide.operators.ranks import average_ranks
 from ebbtide.session import materialize
 
 
@@ -100,7 +100,6 @@ def _leak_aware(
 def _blend(df: DataFrame, names: Sequence[str], weights: Sequence[float], row_id: Sequence[str]) -> DataFrame:
     """Weighted mean of the model ranks, scaled to (0, 1]."""
     n = max(df.count(), 1)
-    for name in names:
-        df = average_rank(df, name, f"rank_{name}", row_id)
+    df = average_ranks(df, [(name, f"rank_{name}") for name in names], row_id)
     mixed = V.total([F.col(f"rank_{name}") * float(w) for name, w in zip(names, weights, strict=True)])
     return df.withColumn("ensemble", mixed / n).drop(*[f"rank_{name}" for name in names])

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import ranks
+from ebbtide.operators import blend, ranks
 from ebbtide.operators.audit import previous_in_entity
 from ebbtide.operators.skew import hot_keys, salted_join
 from ebbtide.session import materialize, scratch
@@ -32,6 +32,40 @@ def test_average_rank(frame, values, buckets):
     assert (got.r.to_numpy() == values.x.rank().to_numpy()).all()
 
 
+def test_a_chain_of_ranks_computes_its_input_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        rows.add(1)
+        return x
+
+    values = [(i, float(i * 7 % 5), float(i * 3 % 11), float(i % 2), None if i % 9 == 0 else float(-i)) for i in range(40)]
+    df = spark.createDataFrame(values, "id long, a double, b double, c double, d double").withColumn("a", F.udf(seen, "double")("a"))
+    columns = [(c, f"r_{c}") for c in "abcd"]
+    got = ranks.average_ranks(df, columns, ["id"]).toPandas().sort_values("id")
+    assert rows.value == len(values)
+    for i, (column, out) in enumerate(columns, 1):
+        want = pd.Series([v[i] for v in values], dtype=float).rank(na_option="top")
+        assert got[out].tolist() == want.tolist(), column
+
+
+def test_blend_sweep_reads_its_table_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        rows.add(1)
+        return x
+
+    values = [(i, i % 13, int(i % 3 > 0), float(i * 7 % 23), float(i * 5 % 17)) for i in range(60)]
+    df = spark.createDataFrame(values, "id long, time int, event int, risk double, a double").withColumn("risk", F.udf(seen, "double")("risk"))
+    found = {(r.signal, r.weight): r.c_index for r in blend.blend_sweep(df, "risk", ["a", "risk"], ["id"], (0.5,)).collect()}
+    assert rows.value == len(values)
+    pdf = pd.DataFrame(values, columns=["id", "time", "event", "risk", "a"])
+    for key, x in {("", 1.0): pdf.risk, ("a", 0.5): pdf.risk.rank() / 2 + pdf.a.rank() / 2, ("risk", 0.5): pdf.risk.rank()}.items():
+        pairs = [(x[i] > x[j]) + (x[i] == x[j]) / 2 for i in pdf.index[pdf.event == 1] for j in pdf.index[pdf.time > pdf.time[i]]]
+        assert found[key] == pytest.approx(np.mean(pairs))
+
+
 def test_average_rank_micro_case(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0), (3, 5.0)], "id int, x double")
     got = ranks.average_rank(df, "x", "r", ["id"]).orderBy("id").toPandas()
