@@ -12,14 +12,17 @@ Rows may carry a start time (time-varying covariates): a row at risk in ``(start
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ebbtide.functions import vectors as V
 from ebbtide.operators.metrics import concordance
@@ -38,6 +41,8 @@ from ebbtide.session import materialize
 DIRECT = 256  # tied events of one time that are summed one by one
 TAIL = 64  # of more, as many at the end, where the terms change fastest
 NODES, WEIGHTS = np.polynomial.legendre.leggauss(32)
+FEW_TIMES = 1_000  # times of all strata that one place cumulates
+HELD_ROWS = 100_000  # rows of a task that are summed per time at once
 
 
 def _efron_terms(k, d, r, e) -> np.ndarray:
@@ -128,6 +133,7 @@ class RiskSets:
         self.n, self.events = counts["n"], counts["d"] or 0
         times = stop.select(*self.strata, "t").distinct()
         splits = sketch_splits(times, ["t"], bucket_count(df))["t"][0]
+        self.few = times.limit(FEW_TIMES + 1).count() <= FEW_TIMES
         self.rows = materialize(assign_bucket(stop, "t", splits, "bucket"))
 
     def table(self, beta: np.ndarray, second: bool = True) -> DataFrame:
@@ -160,6 +166,8 @@ class RiskSets:
         Every task reduces its event times to one vector of ``1 + p + p*p`` numbers; only their sum leaves
         the cluster.
         """
+        if self.few:
+            return self._evaluate_few(beta)
         p = len(self.z)
 
         def reduce(batches):
@@ -175,6 +183,83 @@ class RiskSets:
             values[row["pos"]] = row["v"]
         return float(values[0]), values[1 : 1 + p], values[1 + p :].reshape(p, p)
 
+    def _evaluate_few(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The same with ``FEW_TIMES`` times at most: one job with one shuffle, of one row per task and time.
+
+        A task sums the products of its rows per stratum and time in blocks; the times of a stratum meet in one place,
+        which cumulates them from the last one on. As in any sum a NULL does not count: a row without a covariate is
+        in no risk set, and an event time without any is unknown.
+        """
+        p, z, weights = len(self.z), list(self.z), [float(b) for b in beta]
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        factors = [(), *[(i,) for i in range(p)], *pairs]
+        moments = ["0", *[f"1_{i}" for i in range(p)], *[f"2_{i}_{j}" for i, j in pairs]]
+        q, covariates = len(moments), [f"X{i}" for i in range(p)]
+        # then how many values stand behind the sums of the events
+        names = [*[f"R{m}" for m in moments], *[f"D{m}" for m in moments], *covariates, "d", "eta", "nD", *[f"n{c}" for c in covariates]]
+        strata = [f"k{i}" for i in range(len(self.strata))]
+        keys = [*strata, "t"]
+
+        def added(table: pa.Table) -> pa.Table:
+            sums = table.group_by(keys, use_threads=False).aggregate([(c, "sum") for c in names])
+            return sums.select([*keys, *[f"{c}_sum" for c in names]]).rename_columns([*keys, *names])
+
+        def block(table: pa.Table) -> pa.Table:
+            x = [table.column(c).to_numpy() for c in z]
+            known = [~table.column(c).is_null().to_numpy() for c in z]
+            e, sign = table.column("e").cast(pa.float64()).to_numpy(), table.column("sign").to_numpy()
+            counted = ~table.column("e").is_null().to_numpy()
+            inside = np.logical_and.reduce([np.ones(len(e), bool), *known])
+            died = inside & counted
+            with np.errstate(over="ignore", invalid="ignore"):
+                eta = sum((v * b for v, b in zip(x, weights, strict=True)), np.zeros(len(e)))
+                w = np.exp(eta)
+                products = [math.prod((x[i] for i in at), start=w) for at in factors]
+                columns = [np.where(inside, sign * m, 0.0) for m in products] + [np.where(died, e * m, 0.0) for m in products]
+                columns += [np.where(own & counted, e * v, 0.0) for v, own in zip(x, known, strict=True)]
+                columns += [np.where(counted, e, 0.0), np.where(died, e * eta, 0.0)]
+            columns += [flag.astype(np.float64) for flag in (died, *[own & counted for own in known])]
+            places = [*[table.column(k) for k in strata], pc.add(table.column("t"), 0.0)]  # -0.0 is 0.0
+            return added(pa.table([*places, *columns], names=[*keys, *names]))
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows, total = [], 0, None
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= HELD_ROWS:
+                    found = block(pa.Table.from_batches(held))
+                    total = found if total is None else added(pa.concat_tables([total, found]))
+                    held, rows = [], 0
+            if rows:
+                found = block(pa.Table.from_batches(held))
+                total = found if total is None else added(pa.concat_tables([total, found]))
+            if total is not None:
+                yield from total.to_batches()
+
+        def reduced(table: pa.Table) -> pa.Table:
+            sums = added(table).to_pandas()
+            t = sums["t"].to_numpy(np.float64)
+            sums = sums.iloc[np.argsort(-np.where(np.isnan(t), np.inf, t), kind="stable")]  # a time that is no number comes last
+            sums[names[:q]] = sums[names[:q]].cumsum()
+            sums = sums[sums["d"] > 0]
+            sums.loc[sums["nD"] == 0, names[q : 2 * q]] = np.nan
+            for c in covariates:
+                sums.loc[sums[f"n{c}"] == 0, c] = np.nan
+            parts = _likelihood_parts(sums, p) if len(sums) else np.zeros(1 + p + p * p)
+            return pa.table({"pos": pa.array(np.arange(len(parts))), "v": pa.array(parts)})
+
+        kinds = {f.name: f.dataType for f in self.rows.schema}
+        renamed = [F.col(c).alias(k) for k, c in zip(strata, self.strata, strict=True)]
+        place = [StructField(k, kinds[c]) for k, c in zip(strata, self.strata, strict=True)]
+        schema = StructType([*place, *[StructField(c, DoubleType()) for c in ("t", *names)]])
+        partial = self.rows.select(*renamed, "t", "e", "sign", *z).mapInArrow(summed, schema)
+        parts = partial.withColumn("whole", F.lit(0)).groupBy("whole", *strata).applyInArrow(reduced, "pos long, v double")
+        values = np.zeros(1 + p + p * p)
+        for row in parts.groupBy("pos").agg(F.sum("v").alias("v")).collect():
+            values[row["pos"]] = row["v"]
+        return float(values[0]), values[1 : 1 + p], values[1 + p :].reshape(p, p)
+
 
 @dataclass
 class CoxModel:

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import time as clock
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -325,14 +328,19 @@ def permutation_importance(
 
 def cross_validated_concordance(
     df: DataFrame, fit_risk: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], k: int = 5, fold: str = "fold",
-    time: str = "time", event: str = "event",
+    time: str = "time", event: str = "event", parallelism: int = 5,
 ) -> DataFrame:
-    """Rows ``(fold, c_index, mean, std)``; the last two (population std) repeat over the folds."""
-    tables = None
-    for i in range(k):
-        held = fit_risk(df.filter(F.col(fold) != i))(df.filter(F.col(fold) == i)).withColumn("fold", F.lit(i))
-        held = held.select("fold", "risk", time, event)
-        tables = held if tables is None else tables.unionByName(held)
+    """Rows ``(fold, c_index, mean, std)``; the last two (population std) repeat over the folds.
+
+    A fit is a chain of jobs that mostly wait for the driver, so ``parallelism`` folds are fitted at a time.
+    """
+
+    def held(i: int) -> DataFrame:
+        scored = fit_risk(df.filter(F.col(fold) != i))(df.filter(F.col(fold) == i)).withColumn("fold", F.lit(i))
+        return scored.select("fold", "risk", time, event)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        tables = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(held), range(k)))
     found = concordance(tables, "risk", time, event, by=["fold"]).select("fold", "c_index")
     whole = W.partitionBy(F.lit(0))  # one row per fold
     return found.select("fold", "c_index", F.avg("c_index").over(whole).alias("mean"), F.stddev_pop("c_index").over(whole).alias("std"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pytest
 from conftest import COVARIATES
@@ -226,6 +228,21 @@ def test_auc_of_blends_moves_packed_bins_and_no_rows(spark, monkeypatch):
     assert blend.rank_ensemble(df, ["a", "b"], "y", ["id"]).count() == 21
 
 
+def test_cross_validation_fits_folds_side_by_side(labelled):
+    together = threading.Barrier(3, timeout=20)
+
+    def fit(train):
+        together.wait()  # breaks unless all three folds are being fitted
+        mean = train.agg(F.avg("age")).first()[0]
+        return lambda x: x.withColumn("risk", F.col("age") - mean)
+
+    rows = {r.fold: r for r in models.cross_validated_concordance(labelled, fit, 3).collect()}
+    for fold, row in rows.items():
+        held = labelled.filter(F.col("fold") == fold).withColumn("risk", F.col("age"))
+        assert row.c_index == pytest.approx(metrics.concordance_index(held, "risk"))
+    assert len(rows) == 3 and rows[0]["mean"] == pytest.approx(np.mean([r.c_index for r in rows.values()]))
+
+
 def test_permutation_importance_numbers_rows_once_a_repeat(labelled, monkeypatch):
     """Two numberings per repeat, whatever the number of features; each feature is shuffled as ``shuffle_column`` does."""
     features, calls, plain = ["age", "balance", "group"], [], models.hash_rank

@@ -99,6 +99,31 @@ def test_sampled_concordance_is_close(recipe_df):
     assert sampled == pytest.approx(exact, abs=0.01)
 
 
+@pytest.mark.parametrize("strata", [[], ["g"]], ids=["whole", "strata"])
+def test_cox_evaluation_of_few_times_is_one_short_job(spark, strata, monkeypatch):
+    """Ties, blocks of 20 rows, late entries, a NULL stratum, covariates and events that are missing: as over time buckets."""
+    monkeypatch.setattr(cox, "HELD_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = [
+        (None if k % 7 == 0 else "ab"[k % 2], float(rng.integers(3, 15)), float(rng.integers(0, 3)), None if k % 41 == 0 else int(rng.random() < 0.6),
+         None if k % 29 == 0 else float(rng.normal()), float(rng.normal()))
+        for k in range(400)
+    ]
+    df = spark.createDataFrame(rows, "g string, time double, start double, event int, x double, y double").repartition(3)
+    sets = cox.RiskSets(df, ["x", "y"], "time", "event", strata, "start")
+    beta = np.array([0.4, -0.3])
+    context = spark.sparkContext
+    context.setJobGroup(f"few-{len(strata)}", "one evaluation")
+    found = sets.evaluate(beta)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup(f"few-{len(strata)}")) <= 3
+    sets.few = False
+    for a, b in zip(found, sets.evaluate(beta), strict=True):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    monkeypatch.setattr(cox, "FEW_TIMES", 5)
+    assert not cox.RiskSets(df, ["x", "y"], "time", "event", strata).few
+
+
 def efron(beta, t, e, x):
     eta = x @ beta
     w, total = np.exp(eta), 0.0
